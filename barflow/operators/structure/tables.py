@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from barflow.operators.structure.config import StructureConfig
 from barflow.operators.structure.kernel import (
     SegmentFinder, StrokeFold, ZoneFinder, as_lines, assign,
 )
+from barflow.session import cut
 
 BATCH = 20000
 
@@ -194,13 +194,11 @@ class Structure:
 
 
 def build(bars: DataFrame, conf: StructureConfig | None = None, keep: bool = True) -> Structure:
-    """Run the fold once. The line table is a small fraction of the bars and is read many times, so it is kept;
-    a lost executor only means that Spark recomputes the missing partitions from the bars."""
+    """Run the fold once. The line table is a small fraction of the bars and is read by many branches, so it is
+    written to the checkpoint folder by default."""
     conf = conf or StructureConfig()
     lines = _sorted_bars(bars).mapInArrow(_fold(conf, merged=False), ddl(LINES))
-    if keep:
-        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    return Structure(bars, lines, conf)
+    return Structure(bars, cut(lines) if keep else lines, conf)
 
 
 def fractals(merged: DataFrame) -> DataFrame:

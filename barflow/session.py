@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "barflow", cpus: int | None = None) -> SparkSession:
@@ -39,3 +39,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the checkpoint folder and go on from there.
+
+    Used where several branches read one result: neither the plan nor the work is repeated, and the files
+    survive the loss of executors.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
