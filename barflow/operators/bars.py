@@ -87,10 +87,23 @@ def bar_end(ts: str = "ts", level: str = "level") -> Column:
     return F.when(bare, t + F.expr("INTERVAL 23 HOURS 59 MINUTES")).otherwise(t)
 
 
-def out_of_order(bars: DataFrame, arrival: str, ts: str = "ts") -> DataFrame:
-    """Rows whose time does not exceed every earlier arrival of the series."""
-    w = Window.partitionBy("symbol").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return bars.withColumn("prev_ts", F.max(ts).over(w)).filter(F.col(ts) <= F.col("prev_ts"))
+def out_of_order(bars: DataFrame, arrival: str, ts: str = "ts", range_bits: int = 16) -> DataFrame:
+    """Rows whose time does not exceed every earlier arrival of the series.
+
+    Arrivals are cut into ranges: the maximum before a range comes from one row per range, the rest from a
+    window inside the range, so no series is gathered in one task.
+    """
+    x = bars.withColumn("_rng", F.shiftright(F.col(arrival).cast("bigint"), range_bits))
+    before = Window.partitionBy("symbol").orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    tops = x.groupBy("symbol", "_rng").agg(F.max(ts).alias("_top")).select("symbol", "_rng", F.max("_top").over(before).alias("_base"))
+    inside = Window.partitionBy("symbol", "_rng").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        x.withColumn("_in", F.max(ts).over(inside))
+        .join(tops, ["symbol", "_rng"])
+        .withColumn("prev_ts", F.greatest("_base", "_in"))
+        .filter(F.col(ts) <= F.col("prev_ts"))
+        .drop("_rng", "_base", "_in")
+    )
 
 
 def long_enough(bars: DataFrame, k: int) -> DataFrame:

@@ -1,2 +1,3 @@
+from barflow.operators.structure import config
 from barflow.operators.structure.config import PointRules, StructureConfig
-from barflow.operators.structure.tables import Structure, build, merged_bars
+from barflow.operators.structure.tables import Structure, build, fractals, gap_to_next, merged_bars

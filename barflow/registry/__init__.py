@@ -4,7 +4,7 @@ import importlib
 
 from barflow.registry import core
 
-MODULES = ["indicators"]
+MODULES = ["indicators", "bars", "structure"]
 
 
 def all_queries():
