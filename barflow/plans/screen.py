@@ -69,7 +69,7 @@ def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compa
     packed = F.struct("dir", "begin_val", "end_val", "begin_mb", "end_mb", "in_full_area", "in_peak")
     stroke = lines.groupBy("symbol").agg(F.max_by(packed, "idx").alias("s"))
     zone = s.zones.groupBy("symbol").agg(F.max_by(F.struct("low", "high"), "idx").alias("z"), F.count("*").alias("zn"))
-    seg = s.segments.groupBy("symbol").agg(F.max_by(F.struct("stroke_cnt", "end_stroke"), "idx").alias("g"))
+    seg = s.segments.groupBy("symbol").agg(F.max_by(F.struct(F.col("stroke_cnt").alias("seg_strokes"), "end_stroke"), "idx").alias("g"))
     tail = s.strokes.select("symbol", F.col("idx").alias("end_stroke"), F.col("dir").alias("seg_dir"))
     seg = seg.select("symbol", "g.*").join(tail, ["symbol", "end_stroke"], "left").drop("end_stroke")
     base = summary(s, points, bars)
@@ -94,13 +94,13 @@ def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compa
             "zs_width_norm": width,
             "zs_peak_range_norm": width,
             "zs_breakout_dir": F.when(F.col("price") > F.col("z.high"), 1.0).when(F.col("price") < F.col("z.low"), -1.0).otherwise(0.0),
-            "seg_amp": F.when(F.col("stroke_cnt").isNotNull(), 1.0).otherwise(0.0),
-            "seg_bi_cnt": F.coalesce(seg["stroke_cnt"], F.lit(0)).cast("double"),
+            "seg_amp": F.when(F.col("seg_strokes").isNotNull(), 1.0).otherwise(0.0),
+            "seg_bi_cnt": F.coalesce("seg_strokes", F.lit(0)).cast("double"),
             "seg_is_up": F.when(F.lit(compat) | (F.col("seg_dir") == 1), 1.0).otherwise(0.0),
             "divergence_ratio": F.coalesce("divergence_rate", F.lit(0.0)),
             **{f: F.lit(0.0) for f in ZERO_FEATURES},
         }
-    ).drop("s", "z", "zn", "seg_dir", "divergence_rate")
+    ).drop("s", "z", "zn", "seg_dir", "seg_strokes", "divergence_rate")
 
 
 def quick_rank(spark: SparkSession, sf: str, top: int = 15) -> DataFrame:

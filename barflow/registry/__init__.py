@@ -4,7 +4,7 @@ import importlib
 
 from barflow.registry import core
 
-MODULES = ["indicators", "bars", "structure"]
+MODULES = ["indicators", "bars", "structure", "rules", "context"]
 
 
 def all_queries():
