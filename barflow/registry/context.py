@@ -15,7 +15,8 @@ from barflow.registry import shared
 from barflow.registry.bars import BOARD_SQL, board_rows
 from barflow.registry.core import query, r
 from barflow.registry.indicators import MOMENTUM_SQL, SHORT_SQL, back, lag
-from barflow.registry.prelude import POSITIONS, QUOTES, THEMES, UNIVERSE, with_bars
+from barflow.registry.prelude import POSITIONS, QUOTES, THEMES, UNIVERSE, recursive, with_bars
+from barflow.registry.rules import FEATURE_SQL, SCORE_SQL, VOL_SCORE_SQL, VOL_SIGNAL_SQL
 from barflow.sources import tables as T
 
 Q = lambda body, *more: with_bars(body, QUOTES, *more)
@@ -123,9 +124,9 @@ mrow AS (SELECT max(CASE WHEN name = 'DXY' THEN value END) AS dxy, max(CASE WHEN
 """
 
 
-@query("src21_macro_series", "WITH " + MACRO + " SELECT name, day, round(close, 4) AS close, round(high, 4) AS high, round(low, 4) AS low FROM ms")
+@query("src21_macro_series", "WITH " + MACRO + " SELECT name, day, round(close, 8) AS close, round(high, 8) AS high, round(low, 8) AS low FROM ms")
 def macro_series(spark, sf):
-    return C.macro_series(spark, sf).select("name", "day", r("close", 4), r("high", 4), r("low", 4))
+    return C.macro_series(spark, sf).select("name", "day", r("close", 8), r("high", 8), r("low", 8))
 
 
 @query("ind29_macro_summary", "WITH " + MACRO + " SELECT * FROM macro")
@@ -253,7 +254,10 @@ def by_abs_change(spark, sf):
     return screen.rank_by_score(x, "mag").select("symbol", "change_pct", "rank")
 
 
-@query("top02_quick_rank")
+@query(
+    "top02_quick_rank",
+    recursive(FEATURE_SQL + f" SELECT symbol, day, round(close, 2) AS price, score, vol_signal, vol_score, trunc(score * 0.6::DOUBLE + vol_score * 0.2::DOUBLE + 50 * 0.2::DOUBLE)::INTEGER AS final_score FROM (SELECT *, {SCORE_SQL} AS score, {VOL_SIGNAL_SQL} AS vol_signal, {VOL_SCORE_SQL} AS vol_score FROM feats) ORDER BY 7 DESC, symbol LIMIT 15"),
+)
 def quick_rank(spark, sf):
     return screen.quick_rank(spark, sf)
 
