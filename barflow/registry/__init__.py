@@ -4,7 +4,7 @@ import importlib
 
 from barflow.registry import core
 
-MODULES = ["indicators", "bars", "structure", "rules", "context", "text"]
+MODULES = ["indicators", "bars", "structure", "rules", "context", "text", "learning"]
 
 
 def all_queries():
