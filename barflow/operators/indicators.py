@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.scan import SERIES, Axis, Recur, recur
+from barflow.operators.scan import SERIES, Axis, Recur, gridded, recur, ungridded
 
 TINY = 1e-10
 
@@ -266,15 +266,17 @@ def macd(df: DataFrame, axis: Axis = SERIES, fast: int = 12, slow: int = 26, sig
     """EMAs seeded by the first close; the histogram is doubled."""
     f, s = f"{prefix}ema_fast", f"{prefix}ema_slow"
     close = F.col("close")
-    df = recur(df, axis, [Recur(f, close, 2 / (fast + 1), close), Recur(s, close, 2 / (slow + 1), close)])
+    df, ax = gridded(df, axis)
+    df = recur(df, ax, [Recur(f, close, 2 / (fast + 1), close), Recur(s, close, 2 / (slow + 1), close)])
     df = df.withColumn(f"{prefix}dif", F.col(f) - F.col(s))
     dif = F.col(f"{prefix}dif")
-    df = recur(df, axis, [Recur(f"{prefix}dea", dif, 2 / (signal + 1), F.lit(0.0))])
-    return df.withColumn(f"{prefix}macd", 2 * (dif - F.col(f"{prefix}dea"))).drop(f, s)
+    df = recur(df, ax, [Recur(f"{prefix}dea", dif, 2 / (signal + 1), F.lit(0.0))])
+    return ungridded(df.withColumn(f"{prefix}macd", 2 * (dif - F.col(f"{prefix}dea"))).drop(f, s), axis)
 
 
 def macd_seeded(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
     """EMAs seeded by the mean of the first window and 0 before it; signal seeded at its own window; % of close."""
+    outer, (df, axis) = axis, gridded(df, axis)
     close = F.col("close")
     seed = {w: F.avg("close").over(axis.back(w)) for w in (12, 26)}
     df = df.withColumns({"_m12": seed[12], "_m26": seed[26]})
@@ -305,7 +307,7 @@ def macd_seeded(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
         "macd_hist_slope": (F.col("_hist") - ph) / F.greatest(F.abs(ph), F.lit(TINY)),
     }
     df = df.withColumns({k: F.when(ok, v).otherwise(0.0) for k, v in cols.items()})
-    return df.drop("_m12", "_m26", "_e12", "_e26", "_line", "_sig", "_hist")
+    return ungridded(df.drop("_m12", "_m26", "_e12", "_e26", "_line", "_sig", "_hist"), outer)
 
 
 def macd_summary(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
@@ -325,6 +327,7 @@ def macd_summary(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
 
 def rsi_wilder(df: DataFrame, axis: Axis = SERIES, n: int = 14, out: str = "rsi_w") -> DataFrame:
     """Running means for the first n-1 moves, smoothing by 1/n afterwards."""
+    outer, (df, axis) = axis, gridded(df, axis)
     d = F.col("_d")
     up, down = F.when(d > 0, d).when(d <= 0, 0.0), F.when(d < 0, -d).when(d >= 0, 0.0)
     df = df.withColumn("_d", F.col("close") - prev(axis, "close", 1))
@@ -336,16 +339,18 @@ def rsi_wilder(df: DataFrame, axis: Axis = SERIES, n: int = 14, out: str = "rsi_
     )
     u, v = F.coalesce("_u", "_u0"), F.coalesce("_v", "_d0")
     rsi = F.when(v == 0, F.when(u > 0, 100.0).otherwise(0.0)).otherwise(100.0 - 100.0 / (1.0 + u / v))
-    return df.withColumn(out, F.when(F.col("idx") == 0, 50.0).otherwise(rsi)).drop("_d", "_u0", "_d0", "_u", "_v")
+    df = df.withColumn(out, F.when(F.col("idx") == 0, 50.0).otherwise(rsi))
+    return ungridded(df.drop("_d", "_u0", "_d0", "_u", "_v"), outer)
 
 
 def kdj(df: DataFrame, axis: Axis = SERIES, n: int = 9) -> DataFrame:
+    outer, (df, axis) = axis, gridded(df, axis)
     hi, lo = F.max("high").over(axis.back(n)), F.min("low").over(axis.back(n))
     df = df.withColumn("_rsv", F.when(hi != lo, 100 * (F.col("close") - lo) / (hi - lo)).otherwise(0.0))
     start = lambda c: 50.0 * 2 / 3 + F.col(c) / 3
     df = recur(df, axis, [Recur("kdj_k", F.col("_rsv"), 1 / 3, start("_rsv"))])
     df = recur(df, axis, [Recur("kdj_d", F.col("kdj_k"), 1 / 3, start("kdj_k"))])
-    return df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("_rsv")
+    return ungridded(df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("_rsv"), outer)
 
 
 def filter_gains(delta: float, vt: float, steps: int) -> list[float]:
@@ -430,6 +435,7 @@ def with_metrics(df: DataFrame, wanted: list[tuple[str, dict]], axis: Axis = SER
 
 def price_features(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
     """The price, mean, MACD, band, volatility, RSI, trend and volume features at every bar."""
+    outer, (df, axis) = axis, gridded(df, axis)
     df = with_moves(macd_seeded(df, axis), axis)
     df = df.withColumns(
         {
@@ -451,4 +457,4 @@ def price_features(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
         }
     )
     df = df.withColumn("trend_strength", F.when(F.col("adx") > 25, 1.0).otherwise(0.0))
-    return df.drop("diff", "ret1", "tr", "plus_dm", "minus_dm")
+    return ungridded(df.drop("diff", "ret1", "tr", "plus_dm", "minus_dm"), outer)

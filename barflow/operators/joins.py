@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.session import spread
+
 PATTERN_SLICE = 200_000
 
 
@@ -35,23 +37,30 @@ def asof_last(left: DataFrame, right: DataFrame, on: str, value: str, width: int
     )
 
 
+SHORT = 4  # patterns up to this length match so often that counting them one by one is cheaper
+
+
 def _scan(patterns: list[str]):
-    """A matcher for all patterns at once: non-overlapping counts per pattern in one pass over the text."""
+    """A matcher for all patterns at once: non-overlapping counts of (pattern, n) in a text."""
     import ahocorasick
 
+    short = [p for p in patterns if len(p) <= SHORT]
     auto = ahocorasick.Automaton()
     for n, p in enumerate(patterns):
-        auto.add_word(p, (n, len(p)))
-    auto.make_automaton()
+        if len(p) > SHORT:
+            auto.add_word(p, (n, len(p)))
+    if len(auto):
+        auto.make_automaton()
 
-    def count(text: str) -> dict[int, int]:
+    def count(text: str) -> list[tuple[str, int]]:
+        out = [(p, text.count(p)) for p in short if p in text]
         found: dict[int, int] = {}
         free: dict[int, int] = {}
-        for end, (n, size) in auto.iter(text):
+        for end, (n, size) in auto.iter(text) if len(auto) else ():
             if end - size + 1 >= free.get(n, 0):
                 found[n] = found.get(n, 0) + 1
                 free[n] = end + 1
-        return found
+        return out + [(patterns[n], c) for n, c in found.items()]
 
     return count
 
@@ -69,12 +78,16 @@ def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "t
     for s in range(slices):
         words = [r[0] for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == s).collect()]
 
-        def run(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
             count = _scan(words) if words else None
-            for pdf in batches:
-                rows = [(k, words[n], c) for k, t in zip(pdf[key], pdf[text]) if t and count for n, c in count(t).items()]
-                yield pd.DataFrame(rows, columns=[key, "pattern", "n"])
-
-        part = docs.select(key, text).mapInPandas(run, schema)
+            for b in batches:
+                keys, pats, ns = [], [], []
+                for k, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist()):
+                    for p, c in count(t) if t and count else ():
+                        keys.append(k), pats.append(p), ns.append(c)
+                cols = [pa.array(keys, b.schema.field(key).type), pa.array(pats, pa.string()), pa.array(ns, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, [key, "pattern", "n"])
+
+        part = spread(docs.select(key, text)).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out

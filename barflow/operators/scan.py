@@ -9,7 +9,7 @@ series is spread over many tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,12 +19,19 @@ SUB = 128
 
 @dataclass(frozen=True)
 class Axis:
+    """Columns that delimit one ordered run of rows.
+
+    `run` names a column that numbers stretches of SUB positions. Once it is there, every window sorts by
+    (run, order), which is the same order, so plain windows and the recurrence share one sort.
+    """
+
     keys: tuple[str, ...] = ("symbol",)
     order: str = "idx"
     start: str | None = None
+    run: str | None = None
 
     def w(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(self.order)
+        return Window.partitionBy(*self.keys).orderBy(*([self.run] if self.run else []), self.order)
 
     def back(self, k: int) -> WindowSpec:
         """The current row and the k-1 rows before it."""
@@ -39,6 +46,19 @@ class Axis:
 
 
 SERIES = Axis()
+RUN = "_run"
+
+
+def gridded(df: DataFrame, axis: Axis) -> tuple[DataFrame, Axis]:
+    """The same rows with their stretch number, and the axis that sorts by it."""
+    if axis.run:
+        return df, axis
+    return df.withColumn(RUN, F.floor(F.col(axis.order) / SUB).cast("int")), replace(axis, run=RUN)
+
+
+def ungridded(df: DataFrame, axis: Axis) -> DataFrame:
+    """Drop the stretch number unless the caller's axis owns it."""
+    return df if axis.run else df.drop(RUN)
 
 
 def numbered(bars: DataFrame, bucket: Column, ts: str = "ts") -> DataFrame:
@@ -91,46 +111,26 @@ def _decaying_sum(decay: float):
 
 
 def recur(df: DataFrame, axis: Axis, specs: list[Recur]) -> DataFrame:
-    """Several linear recurrences in one pass of two windows over the same sort order.
+    """Several linear recurrences in one pass of two windows over one sort order.
 
-    Rows are cut into runs of SUB positions. Inside a run the recurrence is a plain running sum of scaled
-    inputs; the run ends form a short list whose fold gives the value carried into each run.
+    Inside a stretch of SUB positions the recurrence is a plain running sum of scaled inputs; positions before the
+    seed add nothing. The ends of the stretches form a short list whose fold gives the value carried into each.
     """
-    tmp: list[str] = []
-    step1: dict[str, Column] = {}
-    for n, s in enumerate(specs):
-        j = F.col(axis.order) - F.greatest(axis.first(), F.lit(s.at))
-        step1[f"_j{n}"] = j
-    runs = df.withColumns(step1)
-    step2: dict[str, Column] = {}
-    for n, s in enumerate(specs):
-        t = F.pmod(F.col(f"_j{n}"), F.lit(SUB))
-        x = F.when(F.col(f"_j{n}") == 0, s.seed).when(F.col(f"_j{n}") > 0, s.a * s.x)
-        step2[f"_t{n}"] = t
-        step2[f"_x{n}"] = x * F.pow(F.lit(1 / (1 - s.a)), t)
-    runs = runs.withColumns(step2)
-    groups = sorted({s.at for s in specs})
-    for at in groups:
-        ids = [n for n, s in enumerate(specs) if s.at == at]
-        sub = f"_s{at}"
-        tmp.append(sub)
-        runs = runs.withColumn(sub, F.floor(F.col(f"_j{ids[0]}") / SUB))
-        inner = Window.partitionBy(*axis.keys, sub).orderBy(axis.order).rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(*axis.keys).orderBy(sub, axis.order).rowsBetween(Window.unboundedPreceding, -1)
-        runs = runs.withColumns(
-            {f"_l{n}": F.sum(f"_x{n}").over(inner) * F.pow(F.lit(1 - specs[n].a), F.col(f"_t{n}")) for n in ids}
-        )
-        runs = runs.withColumns(
-            {
-                f"_c{n}": F.collect_list(F.when((F.col(f"_t{n}") == SUB - 1) & (F.col(f"_j{n}") >= 0), F.col(f"_l{n}"))).over(before)
-                for n in ids
-            }
-        )
+    rows, ax = gridded(df, axis)
+    t = F.pmod(F.col(ax.order), F.lit(SUB))
+    since = {n: F.col(ax.order) - F.greatest(ax.first(), F.lit(s.at)) for n, s in enumerate(specs)}
+    inner = Window.partitionBy(*ax.keys, ax.run).orderBy(ax.order).rowsBetween(Window.unboundedPreceding, 0)
+    before = ax.w().rowsBetween(Window.unboundedPreceding, -1)
+    inputs = {
+        f"_x{n}": F.when(since[n] == 0, s.seed).when(since[n] > 0, s.a * s.x).otherwise(0.0) * F.pow(F.lit(1 / (1 - s.a)), t)
+        for n, s in enumerate(specs)
+    }
+    rows = rows.withColumns(inputs)
+    rows = rows.withColumns({f"_l{n}": F.sum(f"_x{n}").over(inner) * F.pow(F.lit(1 - s.a), t) for n, s in enumerate(specs)})
+    rows = rows.withColumns({f"_c{n}": F.collect_list(F.when(t == SUB - 1, F.col(f"_l{n}"))).over(before) for n in range(len(specs))})
     out: dict[str, Column] = {}
     for n, s in enumerate(specs):
-        decay = (1 - s.a) ** SUB
-        carry = F.aggregate(f"_c{n}", F.lit(0.0), _decaying_sum(decay))
-        y = F.col(f"_l{n}") + carry * F.pow(F.lit(1 - s.a), F.col(f"_t{n}") + 1)
-        out[s.out] = F.when(F.col(f"_j{n}") >= 0, y)
-        tmp += [f"_j{n}", f"_t{n}", f"_x{n}", f"_l{n}", f"_c{n}"]
-    return runs.withColumns(out).drop(*tmp)
+        carry = F.aggregate(f"_c{n}", F.lit(0.0), _decaying_sum((1 - s.a) ** SUB))
+        out[s.out] = F.when(since[n] >= 0, F.col(f"_l{n}") + carry * F.pow(F.lit(1 - s.a), t + 1))
+    tmp = [f"_{k}{n}" for k in "xlc" for n in range(len(specs))]
+    return ungridded(rows.withColumns(out).drop(*tmp), axis)

@@ -358,10 +358,16 @@ def find_points(lines: DataFrame, groups: DataFrame, zones: DataFrame, buy: Poin
     )
 
 
-def stroke_points(s: Structure, bars: DataFrame) -> DataFrame:
-    """Points on strokes. `bars` must carry the columns the chosen strengths read (macd for the default)."""
+def stroke_lines(s: Structure, bars: DataFrame, extra: set[str] = frozenset()) -> DataFrame:
+    """Strokes with the strengths the rules ask for, and `extra` ones. `bars` must carry the columns they read."""
     c = s.conf
-    lines = with_strengths(s.strokes, bars, {c.buy.macd_algo, c.sell.macd_algo})
+    return with_strengths(s.strokes, bars, {c.buy.macd_algo, c.sell.macd_algo} | set(extra))
+
+
+def stroke_points(s: Structure, bars: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Points on strokes, from bars (with macd for the default strength) or from prepared `stroke_lines`."""
+    c = s.conf
+    lines = stroke_lines(s, bars) if lines is None else lines
     groups = s.segments.select(KEY, F.col("idx").alias("g"), "dir", "is_sure", F.col("begin_stroke").alias("begin"), F.col("end_stroke").alias("end"))
     return find_points(lines, groups, s.zones, c.buy, c.sell)
 

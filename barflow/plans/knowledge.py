@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import text as X
 from barflow.operators.joins import asof_last, find_patterns
-from barflow.session import cut
+from barflow.session import cut, spread
 
 # Output fields every concept must promise, and the chunk limit of a concept's manifest entry.
 CONTRACT = ["操作级别", "走势定位", "买卖点", "结构依据", "图形参照", "置信度", "失效条件"]
@@ -52,7 +52,7 @@ def concepts_in(docs: DataFrame, concepts: DataFrame, key: str, text: str = "tex
 def page_chunks(pages: DataFrame, toc: DataFrame, concepts: DataFrame) -> DataFrame:
     """Window chunks of pages with id, lesson, concepts and at most 80 keywords. pages: (page, text); toc: (page, lesson)."""
     with_lesson = asof_last(pages, toc, "page", "lesson")
-    w = with_lesson.select("page", "lesson", F.posexplode(X.windows("text")).alias("i", "w")).filter("w.text <> ''")
+    w = spread(with_lesson).select("page", "lesson", F.posexplode(X.windows("text")).alias("i", "w")).filter("w.text <> ''")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     chunks = w.select(
         F.concat(F.lit("pdf.p"), F.format_string("%04d", F.col("page").cast("bigint")), F.lit("."), F.format_string("%02d", F.col("i") + 1)).alias("chunk_id"),

@@ -13,6 +13,7 @@ from barflow.operators.scan import SERIES
 from barflow.operators.structure import points as P
 from barflow.operators.structure.strength import with_strengths
 from barflow.plans import context
+from barflow.session import cut
 from barflow.sources import tables as T
 
 # Names of the point columns and of the structure features that stay 0.
@@ -60,12 +61,12 @@ def summary(s: S.Structure, points: DataFrame, bars: DataFrame, zone_pick: str =
     return out.withColumn("signal", R.signal_label())
 
 
-def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compat: bool = False) -> DataFrame:
+def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compat: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """Point one-hots and stroke, zone and segment features per symbol. `bars` must carry macd.
 
     compat=True reproduces the known quirks: point columns are 0 and the last segment always counts as rising.
     """
-    lines = with_strengths(s.strokes, bars, {"full_area", "peak"})
+    lines = with_strengths(s.strokes, bars, {"full_area", "peak"}) if lines is None else lines
     packed = F.struct("dir", "begin_val", "end_val", "begin_mb", "end_mb", "in_full_area", "in_peak")
     stroke = lines.groupBy("symbol").agg(F.max_by(packed, "idx").alias("s"))
     zone = s.zones.groupBy("symbol").agg(F.max_by(F.struct("low", "high"), "idx").alias("z"), F.count("*").alias("zn"))
@@ -118,13 +119,13 @@ def quick_rank(spark: SparkSession, sf: str, top: int = 15) -> DataFrame:
 
 def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.StructureConfig | None = None) -> DataFrame:
     """The whole screen: structure, features, rule score, volume and sector context, penalty and blend."""
-    bars = T.walk_bars(spark, sf)
-    with_macd = ind.macd(bars)
+    bars = cut(T.walk_bars(spark, sf))  # read by the fold, the strengths, the features and the quotes
     s = S.build(bars, conf or S.StructureConfig.from_dict(S.config.SCREEN))
-    points = P.stroke_points(s, with_macd)
-    struct = structure_features(s, points, with_macd)
+    lines = cut(P.stroke_lines(s, ind.macd(bars), {"full_area", "peak"}))
+    points = cut(P.stroke_points(s, lines=lines))
+    struct = structure_features(s, points, bars, lines=lines)
     feats = last_bar(ind.price_features(bars).withColumns({**ind.volume_price(SERIES), "year_chg": ind.year_change(SERIES)}))
-    drop = [c for c in feats.columns if c in struct.columns and c != "symbol"]
+    drop = list((set(feats.columns) & set(struct.columns)) - {"symbol"})
     x = feats.drop(*drop).join(struct, "symbol")
     buys = sum((F.col(f"bsp_buy_type{k}") for k in POINT_KINDS), F.lit(0.0)) > 0
     sells = sum((F.col(f"bsp_sell_type{k}") for k in POINT_KINDS), F.lit(0.0)) > 0
@@ -150,7 +151,7 @@ def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.Structur
 def rank_by_score(df: DataFrame, score: str = "score", key: str = "symbol", out: str = "rank") -> DataFrame:
     """Global rank by (score descending, key) without one global sort: rows are numbered inside (score, first two
     characters of the key), and a table of the bucket sizes gives each bucket its offset."""
-    x = df.withColumn("_p", F.substring(key, 1, 2))
+    x = cut(df.withColumn("_p", F.substring(key, 1, 2)))  # read for the sizes and for the rows
     order = Window.orderBy(F.desc(score), "_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = x.groupBy(score, "_p").agg(F.count("*").alias("_n"))
     offs = sizes.select(score, "_p", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off"))

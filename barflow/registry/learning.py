@@ -135,7 +135,7 @@ def stroke_stream(spark, sf):
     return ST.final_strokes(spark, path)
 
 
-@query("stm04_parent_child_join")
+@query("stm04_parent_child_join", "WITH " + HOURS + " SELECT symbol, ts + INTERVAL 1 HOUR AS child_end, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS parent_end FROM hbars")
 def parent_child(spark, sf):
     path = folder(spark)
     h = T.hour_bars(spark, sf).select("symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("end_ts"))
@@ -144,4 +144,4 @@ def parent_child(spark, sf):
     d.write.parquet(f"{path}/parents")
     kids, parents = (spark.readStream.schema(x.schema).parquet(f"{path}/{n}") for x, n in ((h, "kids"), (d, "parents")))
     ST.to_folder(ST.children_of(parents, kids), path, "append")
-    return spark.read.parquet(f"{path}/data").drop("epoch")
+    return spark.read.parquet(f"{path}/data").select("symbol", F.col("child_end").cast("timestamp_ntz").alias("child_end"), F.col("parent_end").cast("timestamp_ntz").alias("parent_end"))
