@@ -123,8 +123,7 @@ def setups(bars: DataFrame, rules: SequenceRules | None = None) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["symbol", "idx", "kind", "dir", "count"])
 
-    spark = bars.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = 2 * bars.sparkSession.sparkContext.defaultParallelism
     return (
         bars.select("symbol", F.col("idx").cast("int").alias("idx"), "close", "high", "low")
         .repartition(n, "symbol").sortWithinPartitions("symbol", "idx").mapInArrow(run, SCHEMA)

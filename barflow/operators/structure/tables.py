@@ -128,9 +128,8 @@ def _fold(conf: StructureConfig, merged: bool):
 
 
 def _sorted_bars(bars: DataFrame) -> DataFrame:
-    """Four columns, one partition per share of the series. The count is fixed because the fold is CPU-bound."""
-    spark = bars.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """Four columns, two partitions per core: the fold is CPU-bound and holds little, so cores set the count."""
+    n = 2 * bars.sparkSession.sparkContext.defaultParallelism
     return (
         bars.select("symbol", F.col("idx").cast("int").alias("idx"), F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
         .repartition(n, "symbol")

@@ -29,6 +29,16 @@ def sector_heat(quotes: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def sector_leaders(pool: DataFrame, k: int = 5) -> DataFrame:
+    """Mean change and the k strongest symbols of each sector. The rank filter runs before the shuffle too, so no
+    sector is gathered whole."""
+    w = Window.partitionBy("sector").orderBy(F.desc("change_pct"), "symbol")
+    top = pool.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    names = top.groupBy("sector").agg(F.array_sort(F.collect_list(F.struct("_rn", "symbol"))).alias("t"))
+    means = pool.groupBy("sector").agg(F.round(F.avg("change_pct"), 2).alias("sector_chg"))
+    return means.join(names, "sector").select("sector", "sector_chg", F.transform("t", lambda x: x["symbol"]).alias("leading"))
+
+
 def heat_or_inferred(direct: DataFrame, inferred: DataFrame, min_rows: int = 10) -> DataFrame:
     """The direct table when it has more than `min_rows` rows, else the heat inferred from members."""
     n = F.broadcast(direct.agg(F.count("*").alias("n_direct")))

@@ -47,7 +47,7 @@ def samples(spark, sf):
     """Built once per session and dataset: the windows multiply the bars by size / step."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SAMPLES:
-        _SAMPLES[key] = cut(TR.samples(T.walk_bars(spark, sf), step=20, gain=GAIN))
+        _SAMPLES[key] = cut(TR.samples(T.walk_bars(spark, sf), gain=GAIN))
     return _SAMPLES[key]
 
 
@@ -72,7 +72,7 @@ def model_or_rule(spark, sf):
 
 @query("stm02_replay")
 def replay(spark, sf):
-    return TR.replay(T.walk_bars(spark, sf), step=50).select("symbol", "end", "price", "is_buy", "types", "zs", "position", "signal")
+    return TR.replay(T.walk_bars(spark, sf)).select("symbol", "end", "price", "is_buy", "types", "zs", "position", "signal")
 
 
 def folder(spark) -> str:

@@ -14,6 +14,7 @@ from barflow.registry import shared
 from barflow.registry.core import query, r
 from barflow.registry.indicators import MACD_SQL, back, lag
 from barflow.registry.prelude import FUNDAMENTALS, QUOTES, UNIVERSE, recursive, with_bars
+from barflow.session import cut
 from barflow.sources import tables as T
 
 TYPES = ["", "1", "1p", "2", "2s", "3a", "3b", "2,3b"]
@@ -322,20 +323,22 @@ leaders AS (SELECT symbol, sector, greatest(0, least(100, final))::INTEGER AS le
 """
 
 
-def leader_rows(spark, sf):
-    """Pool × structure × sector × market, all joined with broadcastable dimensions."""
-    x = latest(spark, sf).select("symbol", "vol_ratio", F.col("symbol").cast("bigint").alias("k"))
+def sector_pool(spark, sf):
+    """Change, sector, sector leaders and market breadth per symbol; needs the quotes only."""
     q = T.quotes(T.walk_bars(spark, sf)).select("symbol", (F.col("change_pct") * 5).alias("change_pct"))
-    pool = x.join(q, "symbol").join(T.universe(spark, sf).select("symbol", "sector"), "symbol").withColumns(
-        {"turnover": (F.col("k") * 7 % 40).cast("double"), "limit_up": F.col("change_pct") >= 9, "boards": F.col("k") % 4}
-    )
-    order = F.array_sort(F.collect_list(F.struct((-F.col("change_pct")).alias("c"), "symbol")))
-    heat = pool.filter(~F.endswith("sector", F.lit("7"))).groupBy("sector").agg(F.round(F.avg("change_pct"), 2).alias("sector_chg"), F.slice(F.transform(order, lambda s: s["symbol"]), 1, 5).alias("leading"))
+    pool = cut(q.join(T.universe(spark, sf).select("symbol", "sector"), "symbol"))
+    heat = C.sector_leaders(pool.filter(~F.endswith("sector", F.lit("7"))))
     market = C.breadth(pool).select((F.col("up_count") / F.greatest("total_count", F.lit(1))).alias("up_ratio"), "limit_down_count")
+    return pool.join(heat, "sector", "left").crossJoin(F.broadcast(market))  # one row of market totals
+
+
+def leader_rows(spark, sf):
+    """Pool × structure × sector × market."""
+    x = latest(spark, sf).select("symbol", "vol_ratio", F.col("symbol").cast("bigint").alias("k")).join(sector_pool(spark, sf), "symbol")
+    x = x.withColumns({"turnover": (F.col("k") * 7 % 40).cast("double"), "limit_up": F.col("change_pct") >= 9, "boards": F.col("k") % 4})
     b = F.col("boards")
     struct = {"in_zs": b % 2 == 0, "has_zs": F.lit(True), "signal": F.when(b == 0, L.BUYS["1"]).when(b == 1, L.BUYS["2"]).when(b == 2, "Buy").otherwise("Hold")}
-    joined = pool.withColumns(struct).join(heat, "sector", "left").crossJoin(F.broadcast(market))
-    return joined.withColumns(R.leader()).filter("raw_score >= 30")
+    return x.withColumns(struct).withColumns(R.leader()).filter("raw_score >= 30")
 
 
 @query("rule16_leaders", recursive(LEADER_SQL + " SELECT symbol, leader_score, leader_level FROM leaders"))
@@ -345,17 +348,7 @@ def leaders(spark, sf):
 
 @query("join09_leader_inputs", recursive(LEADER_SQL + " SELECT symbol, sector, chg AS sector_chg, array_to_string(lead_list, ',') AS lead_list, up_ratio, limit_down AS limit_down_count FROM pj"))
 def leader_inputs(spark, sf):
-    return join_inputs(spark, sf)
-
-
-def join_inputs(spark, sf):
-    q = T.quotes(T.walk_bars(spark, sf)).select("symbol", (F.col("change_pct") * 5).alias("change_pct"))
-    pool = q.join(T.universe(spark, sf).select("symbol", "sector"), "symbol")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("change_pct")).alias("c"), "symbol")))
-    heat = pool.filter(~F.endswith("sector", F.lit("7"))).groupBy("sector").agg(F.round(F.avg("change_pct"), 2).alias("sector_chg"), F.slice(F.transform(order, lambda s: s["symbol"]), 1, 5).alias("leading"))
-    market = C.breadth(pool).select((F.col("up_count") / F.greatest("total_count", F.lit(1))).alias("up_ratio"), "limit_down_count")
-    x = pool.join(heat, "sector", "left").crossJoin(F.broadcast(market))
-    return x.select("symbol", "sector", "sector_chg", F.coalesce(F.array_join("leading", ","), F.lit("")).alias("lead_list"), "up_ratio", "limit_down_count")
+    return sector_pool(spark, sf).select("symbol", "sector", "sector_chg", F.coalesce(F.array_join("leading", ","), F.lit("")).alias("lead_list"), "up_ratio", "limit_down_count")
 
 
 ADVICE = "advice(lv, action, pos) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in L.ADVICE.items()) + ")"

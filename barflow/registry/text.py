@@ -188,34 +188,35 @@ def page_chunks(spark, sf):
     return chunks(spark, sf)
 
 
-def conv_text(spark, sf, sep):
-    c = T.load(spark, sf, "conversations")
-    line = F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("## "), F.col("role"), F.lit("\n"))).otherwise(""), F.col("text"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda s: s["t"])
-    return c.groupBy("conv_id").agg(F.array_join(rows, sep).alias("text"))
+def paged(spark, sf):
+    """Every line of a document on a page of its own."""
+    return T.load(spark, sf, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
 
 
-CONV = "conv AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN '## ' || role || chr(10) ELSE '' END || text, {sep} ORDER BY turn, CASE WHEN turn % 2 = 0 THEN '## ' || role || chr(10) ELSE '' END || text) AS text FROM conversations GROUP BY conv_id)"
+def headed(spark, sf):
+    """A heading after every comma."""
+    return T.load(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit("\n## ")).alias("text"))
 
 
-@query("src25_pages", "WITH " + CONV.format(sep="chr(12)") + r", p AS (SELECT conv_id, unnest(string_split(text, chr(12))) AS raw, unnest(range(len(string_split(text, chr(12))))) AS k FROM conv) SELECT conv_id, (k + 1)::INTEGER AS page, length(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', ''))::INTEGER AS n FROM p WHERE regexp_replace(raw, '\s+', '', 'g') <> ''")
+@query("src25_pages", r"WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents) SELECT doc_id, (k + 1)::INTEGER AS page, length(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', ''))::INTEGER AS n FROM p WHERE regexp_replace(raw, '\s+', '', 'g') <> ''")
 def split_pages(spark, sf):
-    return K.split_pages(conv_text(spark, sf, "\f"), "conv_id").select("conv_id", "page", F.length("text").alias("n"))
+    return K.split_pages(paged(spark, sf), "doc_id").select("doc_id", "page", F.length("text").alias("n"))
 
 
 @query(
     "src26_sections",
-    "WITH " + CONV.format(sep="chr(10)") + r""", l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM conv),
-    h AS (SELECT *, regexp_extract(line, '^#{1,3}\s+(.+?)\s*$', 1) AS head FROM l), s AS (SELECT *, sum(CASE WHEN head <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS sec FROM h)
-    SELECT conv_id, sec::BIGINT AS section, max(head) AS heading, min(n)::INTEGER AS line_start, max(n)::INTEGER AS line_end FROM s WHERE sec > 0 GROUP BY conv_id, sec""",
+    r"""WITH t AS (SELECT doc_id, replace(text, ', ', chr(10) || '## ') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM t),
+    h AS (SELECT *, regexp_extract(line, '^#{1,3}\s+(.+?)\s*$', 1) AS head FROM l), s AS (SELECT *, sum(CASE WHEN head <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM h),
+    z AS (SELECT *, max(sec) OVER (PARTITION BY doc_id) AS heads FROM s)
+    SELECT doc_id, sec::BIGINT AS section, max(CASE WHEN head <> '' THEN head END) AS heading, min(n)::INTEGER AS line_start, max(n)::INTEGER AS line_end FROM z WHERE sec > 0 OR heads = 0 GROUP BY doc_id, sec HAVING regexp_replace(string_agg(line, ''), '\s+', '', 'g') <> ''""",
 )
 def sections(spark, sf):
-    return K.split_sections(conv_text(spark, sf, "\n"), "conv_id").select("conv_id", "section", "heading", "line_start", "line_end")
+    return K.split_sections(headed(spark, sf), "doc_id").select("doc_id", "section", "heading", "line_start", "line_end")
 
 
 @query("kb10_section_chunks")
 def section_chunks(spark, sf):
-    return K.section_chunks(K.split_sections(conv_text(spark, sf, "\n"), "conv_id"), "conv_id")
+    return K.section_chunks(K.split_sections(headed(spark, sf), "doc_id"), "doc_id")
 
 
 TREE = "nodes AS (SELECT doc_id AS id, CASE WHEN doc_id > 0 THEN doc_id // 3 END AS parent, lang || doc_id AS title FROM documents)"
@@ -373,6 +374,6 @@ def retrieval_eval(spark, sf):
 @query("kb23_card_stats", "SELECT role AS school, count(*) AS cards, count(DISTINCT conv_id) AS convs, round(avg(length(text)), 4) AS mean_len FROM conversations GROUP BY role")
 def card_stats(spark, sf):
     c = T.load(spark, sf, "conversations")
-    nested = c.groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("source_cards"))
+    nested = c.select("conv_id", F.array(F.struct("role", "text")).alias("source_cards"))
     x = nested.select("conv_id", F.explode("source_cards").alias("s"))
     return x.groupBy(F.col("s.role").alias("school")).agg(F.count("*").alias("cards"), F.count_distinct("conv_id").alias("convs"), r(F.avg(F.length("s.text")), 4, "mean_len"))
