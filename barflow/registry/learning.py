@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -76,7 +76,8 @@ def replay(spark, sf):
 
 
 def folder(spark) -> str:
-    return tempfile.mkdtemp(prefix="stream-", dir=checkpoint_dir(spark)) if "://" not in checkpoint_dir(spark) else f"{checkpoint_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def event_ticks(spark, sf):
@@ -124,14 +125,15 @@ def price_alerts(spark, sf):
 
 @query("stm01_05_stroke_stream")
 def stroke_stream(spark, sf):
-    """The hourly bars written as several files and read back as a stream, one file per micro-batch."""
+    """The hourly bars arrive week by week; each arrival resumes the stream from its checkpoint."""
     from barflow.operators.scan import numbered
 
     path = folder(spark)
     h = numbered(T.hour_bars(spark, sf), F.date_trunc("month", "ts")).select("symbol", "idx", "ts", "high", "low")
-    h.repartitionByRange(4, "ts").write.parquet(f"{path}/bars")
-    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/bars")
-    ST.to_folder(ST.strokes(stream), path, "append")
+    for week in range(5):
+        h.filter(F.floor((F.dayofmonth("ts") - 1) / 7) == week).write.mode("append").parquet(f"{path}/bars")
+        stream = spark.readStream.schema(h.schema).parquet(f"{path}/bars")
+        ST.to_folder(ST.strokes(stream), path, "append")
     return ST.final_strokes(spark, path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
@@ -47,14 +48,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a fresh local one where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    """The shared checkpoint folder the cluster names; a folder of our own only where none is named, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
