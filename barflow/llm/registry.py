@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from barflow.llm import row_queries, text_queries
 
-MODULES = ["text_queries", "row_queries"]
+MODULES = [text_queries, row_queries]
 
 
 def all_queries():
     queries, oracles = {}, {}
-    for m in MODULES:
-        module = importlib.import_module(f"barflow.llm.{m}")
+    for module in MODULES:
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles

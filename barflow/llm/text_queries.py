@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from barflow.llm import fingerprints
+from pyspark.sql import functions as F
+
+from barflow.llm import fingerprints, jaccard_join, toxicity
 from barflow.llm.common import load, query
 
 
+def held_out(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    labels = load(spark, sf_dir, "labels", "doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "threshold", "rejected")
+
+
 @query
 def op4_document_fingerprints(spark, sf_dir):
     return fingerprints.compare_in_order(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op4_document_fingerprints": op4_document_fingerprints}
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_classes(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_document_fingerprints": op4_document_fingerprints, "op5_ngram_jaccard_join": op5_ngram_jaccard_join}
 ORACLES = {}
