@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from barflow.llm import row_queries, text_queries
 
 MODULES = [text_queries, row_queries]
@@ -12,4 +13,7 @@ def all_queries():
     for module in MODULES:
         queries |= module.QUERIES
         oracles |= module.ORACLES
+    queries["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
     return queries, oracles

@@ -241,5 +241,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, score double, threshold double, rejected boolean")
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is not rejected; decided where the row is read, so nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in pieces(batches, "text"):
+            w = Words(b.column(text), LETTERS, PREFIXES)
+            limits = np.array([m.thresholds.get(x, 0.5) for x in b.column(lang).to_pylist()])
+            yield b.filter(pa.array(m.scores(buckets(w, m.settings), w.per_doc) < limits))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return train(*sample(docs, labels, s), s)
