@@ -132,19 +132,27 @@ def smallest(h: np.ndarray, keep: int = KEEP) -> np.ndarray:
     return np.unique(h)[:keep]
 
 
-def fingerprint(p: Prefix, s: np.ndarray) -> str:
-    return f"{p.n:x}-{p.whole()}-{s.astype('>u4').tobytes().hex()}"
+def head(p: Prefix) -> str:
+    return f"{p.n:x}-{p.whole()}"
 
 
-def hashes_of(fp: str) -> frozenset[int]:
-    return frozenset(np.frombuffer(bytes.fromhex(fp.rpartition("-")[2]), ">u4").tolist())
+def fingerprint(text: str) -> str:
+    p = Prefix(code_points(text))
+    return f"{head(p)}-{smallest(run_hashes(p)).astype('>u4').tobytes().hex()}"
+
+
+def hashes_of(fp: str) -> set[int]:
+    return set(np.frombuffer(bytes.fromhex(fp.rpartition("-")[2]), ">u4").tolist())
 
 
 def likeness(a: str, b: str, keep: int = KEEP) -> float:
     """1 for equal fingerprints, else the share of common hashes among the smallest of both; empty against other texts 0."""
     if a == b:
         return 1.0
-    x, y = hashes_of(a), hashes_of(b)
+    return share(hashes_of(a), hashes_of(b), keep)
+
+
+def share(x: set[int], y: set[int], keep: int = KEEP) -> float:
     if not x or not y:
         return 0.0
     union = sorted(x | y)[:keep]
@@ -157,9 +165,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-_OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+#: a fingerprint travels as its head and its packed hashes, and becomes a string at the end
+_COLUMNS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "head": pa.string(), "packed": pa.binary(), "edited_head": pa.string(), "edited_packed": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "common_prefix": pa.int64()}
+_ENDS = {"part": pa.int32(), "place": pa.int32(), "end_id": pa.int64(), "end_text": pa.string()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double"}
+
+
+def _schema(columns: dict) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in columns.items())
+
+
+def _record(rows: list[tuple], columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), columns.values())], list(columns))
 
 
 class _Document:
@@ -169,9 +186,9 @@ class _Document:
         self.doc, self.text = doc, text
         self.prefix = Prefix(code_points(text))
         self.hashes = run_hashes(self.prefix)
-        self.print = fingerprint(self.prefix, smallest(self.hashes))
+        self.head, self.least = head(self.prefix), smallest(self.hashes)
 
-    def row(self, following: str, next_print: str) -> tuple:
+    def row(self, following: str, other: "_Document") -> tuple:
         e = edited(self.text, following)
         kept = self.prefix.n - self.prefix.n // 3
         q = Prefix(code_points(e), self.prefix, kept)
@@ -181,13 +198,11 @@ class _Document:
             hashes = np.concatenate([self.hashes[:same], run_hashes(q, first=same)])
         else:
             hashes = run_hashes(q)
-        efp = fingerprint(q, smallest(hashes))
-        digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-        return self.doc, self.prefix.n, digest, self.print, efp, likeness(self.print, efp), likeness(self.print, next_print), common_extension(self.prefix, 0, q, 0)
-
-
-def _record(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _OUT)
+        own, least = head(q), smallest(hashes)
+        digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest()
+        near = [1.0 if self.head == h and np.array_equal(self.least, x) else share(set(self.least.tolist()), set(x.tolist())) for h, x in ((own, least), (other.head, other.least))]
+        packed = [x.astype(">u4").tobytes() for x in (self.least, least)]
+        return self.doc, self.prefix.n, digest, self.head, packed[0], own, packed[1], *near, common_extension(self.prefix, 0, q, 0)
 
 
 def compare_in_order(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -217,24 +232,20 @@ def compare_in_order(docs: DataFrame, partitions: int | None = None) -> DataFram
                 if held is None:
                     first = now
                 else:
-                    out.append((*held.row(now.text, now.print), None, None, None, None))
+                    out.append((*held.row(now.text, now), None, None, None, None))
                 held = now
                 if len(out) >= 500:
-                    yield _wide(out)
+                    yield _record(out, _COLUMNS | _ENDS)
                     out = []
         if held is not None:
             # the partition's ends: its first and its last row
-            out.append((None,) * len(_OUT) + (part, 1, first.doc, first.text))
-            out.append((None,) * len(_OUT) + (part, 2, held.doc, held.text))
-            yield _wide(out)
-
-    def _wide(rows):
-        kinds = [*_TYPES, pa.int32(), pa.int32(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*_OUT, "part", "place", "end_id", "end_text"])
+            out.append((None,) * len(_COLUMNS) + (part, 1, first.doc, first.text))
+            out.append((None,) * len(_COLUMNS) + (part, 2, held.doc, held.text))
+            yield _record(out, _COLUMNS | _ENDS)
 
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the written table fixes which rows were in which partition
-    table = cut(dealt.select("doc_id", "text").mapInArrow(run, SCHEMA + ", part int, place int, end_id long, end_text string"))
+    table = cut(dealt.select("doc_id", "text").mapInArrow(run, _schema(_COLUMNS | _ENDS)))
     ends = table.filter("part is not null")
     # two rows for each partition with rows, its first and its last document
     first_rows, last_rows = ends.filter("place = 1").select("part", F.col("end_text").alias("next_text")), ends.filter("place = 2").select("part", "end_id", "end_text")
@@ -246,8 +257,13 @@ def compare_in_order(docs: DataFrame, partitions: int | None = None) -> DataFram
         for b in batches:
             done = []
             for doc, text, following in zip(*(c.to_pylist() for c in b.columns)):
-                done.append(_Document(doc, text).row(following, _Document(None, following).print))
+                done.append(_Document(doc, text).row(following, _Document(None, following)))
             if done:
-                yield _record(done)
+                yield _record(done, _COLUMNS)
+
+    both = table.filter("part is null").select(*_COLUMNS).unionByName(open_rows.mapInArrow(finish, _schema(_COLUMNS)))
+
+    def text_of(h: str, p: str, name: str):
+        return F.concat(h, F.lit("-"), F.lower(F.hex(p))).alias(name)
 
-    return table.filter("part is null").select(*_OUT).unionByName(open_rows.mapInArrow(finish, SCHEMA))
+    return both.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), text_of("head", "packed", "fingerprint"), text_of("edited_head", "edited_packed", "edited_fingerprint"), "near_edited", "near_next", "common_prefix")

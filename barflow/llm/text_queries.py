@@ -30,7 +30,7 @@ def _op2_sql() -> str:
     one that the bands must have retrieved."""
     names = ", ".join(f"('{n}', '{t}')" for n, t in licences.TEMPLATES)
     grams = "list_transform(range(1, len(w) - 1), lambda i: list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2))"
-    words = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')".replace("\\", "\")
+    words = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return f"""
 WITH t AS (SELECT licence, list_distinct({grams}) AS g FROM (SELECT licence, {words.format("txt")} AS w FROM (VALUES {names}) v(licence, txt))),
 d AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL))
