@@ -5,18 +5,19 @@ differ in at most (a + b) / 7 elements. The domain of hashes is partitioned, mor
 in a part is the hash of all its elements there. Of the parts that either set fills, at most (a + b) / 7 can differ, so two
 sets share a signature if both enumerate their first k + 1 filled parts, in one order for all, with k the difference to the
 largest partner. Sizes are banded, and a set signs in each band where it may meet a partner. Elements that many documents
-have (counted over all documents) are partitioned apart and come last in the order.
+have (counted over all documents) are partitioned apart and come last in the order, so passages that many documents share
+seldom sign.
 
 From signatures to classes:
 
 1. Equal sets are linked by their hash alone.
-2. Within a signature every document is paired with the smallest only. Pairs pass an exact lower bound of the difference
-   (element counts by part) and are then verified on whole texts. Components of the verified links follow.
-3. Signatures whose documents are not all in one component are open. Small ones are paired across components; in larger
-   ones a second, independent signature is added to the key, again and again, which splits chance meetings but keeps every
-   real link. What is still large at the end is paired in full.
+2. Within a signature every document is paired with the smallest only, its centre. Pairs pass an exact lower bound of the
+   difference (parity bits of the elements) and are then verified on whole texts. Components of the verified links follow.
+3. Two linked documents share a signature, hence a centre. So a component and all documents that have one of its documents
+   as a centre form a family, and each document outside the component is held against the whole family, by the bound and in
+   blocks of bounded size; the few pairs that pass are verified like the others.
 
-No step emits the pairs of a large group of copies, and no link is lost: the result equals the components of all links.
+No step emits the pairs of a group, and no link is lost: the result equals the components of all links.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ WIDTH = 5
 _U = np.uint64
 #: sizes of a band, its growth, elements a part holds at the band's upper end
 GROWTH, LOAD, SINGLE = 4, 2.2, 64
-#: share of documents from which an element counts as frequent
-FREQUENT = 0.002
-SMALL_GROUP = 40
-LEVELS = 3
+#: elements that come last in the order: the most frequent ones, this many at most, of which a task saw two or more
+FREQUENT = 1_000_000
+#: documents of a block in which a family is compared
+BLOCK = 2000
 
 
 def differences(n: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def parts_of(b: int, level: int) -> int:
 
 
 def _place(v: np.ndarray, parts: int, seed: int) -> np.ndarray:
-    x = mix(v + _U(0x9E3779B97F4A7C15) * _U(2 * seed + 1))
+    x = mix(v + _U(0x9E3779B97F4A7C15 * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF))
     return x % _U(parts) if parts else x >> _U(1)
 
 
@@ -69,26 +70,25 @@ def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct(h, rows, w.rows)
 
 
-def count_parts(n: int) -> int:
-    """Parts of the count sketch: about four elements each."""
-    return 1 << max(0, n // 4).bit_length() if n >= 4 else 1
+def sketch(v: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of 4 n to 8 n parts, as bits. Bits in which two sketches differ never
+    outnumber the elements in which the sets differ."""
+    m = 1 << (len(v).bit_length() + 2)
+    odd = np.bincount((v >> _U(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch(v: np.ndarray) -> bytes:
-    """Elements by part, at most 255. The sum of absolute differences of two sketches never exceeds the sets' difference."""
-    m = count_parts(len(v))
-    return np.minimum(np.bincount((v >> _U(20)).astype(np.int64) & (m - 1), minlength=m), 255).astype(np.uint8).tobytes()
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) with as few parts as `size` bytes hold: parts are low bits, so halves are added."""
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if len(x) != len(y):
-        # parts are low bits, so the finer sketch folds onto the coarser; clipped counts would not add up
-        if (x == 255).any() or (y == 255).any():
-            return 0
-        m = min(len(x), len(y))
-        x, y = x.reshape(-1, m).sum(0), y.reshape(-1, m).sum(0)
-    return int(np.abs(x - y).sum())
+    x, y = (np.frombuffer(t, np.uint8)[None, :] for t in (a, b))
+    size = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
 # --- first pass: sizes, set hashes, sketches, frequent elements -------------------------------------------------------
@@ -113,11 +113,11 @@ def _bands(n: int) -> list[int]:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
-    docs = size = 0
+    size = 0
 
     def common() -> pa.RecordBatch | None:
         v, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, _U), np.zeros(0, int))
-        often = n >= max(8, FREQUENT * docs)
+        often = n >= 2
         if not often.any():
             return None
         v, n = v[often], n[often]
@@ -140,11 +140,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((doc, 0, None, None, None, None, None, None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIRST_TYPES)], _FIRST_NAMES)
         held.append(v)
-        docs, size = docs + b.num_rows, size + len(v)
-        if docs >= 4096 or size >= 3_000_000:
+        size += len(v)
+        if size >= 4_000_000:
             if (out := common()) is not None:
                 yield out
-            held, docs, size = [], 0, 0
+            held, size = [], 0
     if (out := common()) is not None:
         yield out
 
@@ -273,6 +273,78 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(links, pa.bool_())).select(["a", "b"])
 
 
+def _cell(comp, n, counts, docs, asks) -> list[tuple[int, int]]:
+    """Possible pairs of one cell: rows that ask against all rows, of different components."""
+    sizes = np.array([len(c) for c in counts])
+    by_size = {z: (rows := np.flatnonzero(sizes == z), np.frombuffer(b"".join(counts[i] for i in rows), np.uint8).reshape(len(rows), z)) for z in np.unique(sizes).tolist()}
+    out = []
+    for z, (rows, bits) in by_size.items():
+        mine = asks[rows]
+        q, qb = rows[mine], bits[mine]
+        for y in (z // 2, z, 2 * z):
+            if y not in by_size or not len(q):
+                continue
+            other, ob = by_size[y]
+            size = min(y, z)
+            word = np.uint64 if size % 8 == 0 else np.uint8
+            u, v = (np.ascontiguousarray(fold(t, size)).view(word) for t in (qb, ob))
+            step = max(1, (8 << 20) // max(1, v.nbytes))
+            for at in range(0, len(q), step):
+                i = q[at : at + step]
+                apart = np.bitwise_count(u[at : at + step, None, :] ^ v[None, :, :]).sum(2, dtype=np.int64)
+                both = n[i][:, None] + n[other][None, :]
+                ok = (7 * apart <= both) & (comp[i][:, None] != comp[other][None, :]) & (7 * np.minimum(n[i][:, None], n[other][None, :]) >= 3 * both)
+                out += [(docs[i[j]], docs[other[k]]) for j, k in zip(*np.nonzero(ok))]
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells in their order: (family, x, y, asks, doc_id, component, n, counts). One cell is held at a time."""
+    key, held = None, []
+
+    def pairs() -> list[tuple[int, int]]:
+        asks, docs, comp, n, counts = zip(*held)
+        return _cell(np.array(comp), np.array(n), counts, docs, np.array(asks, bool)) if any(asks) and len(held) > 1 else []
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([max(r) for r in rows], pa.int64()), pa.array([min(r) for r in rows], pa.int64())], ["a", "b"])
+
+    out: list[tuple[int, int]] = []
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for f, x, y, *row in zip(*columns):
+            if (f, x, y) != key:
+                if held:
+                    out += pairs()
+                if len(out) > 10_000:
+                    yield batch(out)
+                    out = []
+                key, held = (f, x, y), []
+            held.append(row)
+    if held:
+        out += pairs()
+    yield batch(out)
+
+
+def _family_pairs(groups: DataFrame, classes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Possible pairs between each family's outsiders and its members."""
+    label = lambda name: classes.toDF(f"{name}_node", f"{name}_component")
+    met = groups.select("doc_id", "center").distinct().join(label("c"), F.col("center") == F.col("c_node"), "left")
+    family = met.select("doc_id", F.coalesce("c_component", "center").alias("family")).distinct()
+    family = cut(family.join(label("d"), F.col("doc_id") == F.col("d_node"), "left").select("doc_id", "family", F.coalesce("d_component", "doc_id").alias("component")))
+    outside = F.col("component") != F.col("family")
+    sizes = family.groupBy("family").agg(F.count("*").alias("all"), F.count_if(outside).alias("out")).filter("out > 0")
+    sized = family.join(sizes, "family").withColumns({"columns": F.ceil(F.col("all") / F.lit(float(block))), "lines": F.ceil(F.col("out") / F.lit(float(block))), "pick": F.xxhash64("doc_id")})
+    asking = sized.filter(outside).select("family", F.pmod("pick", "lines").alias("x"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("y"), F.lit(True).alias("asks"), "doc_id", "component")
+    # every row of a cell counts as a member of it, so outsiders are not sent to their own line twice
+    member = sized.select("family", F.explode(F.expr("sequence(0L, lines - 1)")).alias("x"), F.pmod("pick", "columns").alias("y"), F.lit(False).alias("asks"), "doc_id", "component", "pick", "lines")
+    member = member.filter(~outside | (F.pmod("pick", "lines") != F.col("x"))).drop("pick", "lines")
+    rows = asking.unionByName(member)
+    filled = rows.join(sets.filter("n > 0").select(F.col("doc_id").alias("_id"), "n", "counts"), F.col("doc_id") == F.col("_id")).select("family", "x", "y", "asks", "doc_id", "component", "n", "counts")
+    dealt = filled.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return dealt.mapInArrow(_compare, "a long, b long").filter("a <> b").distinct()
+
+
 def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: sizes and sketches first, then whole texts."""
     s = sets.filter("n > 0").select("doc_id", "n", "counts")
@@ -290,12 +362,31 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(signature, doc_id) rows of signatures with several documents, with their number and the smallest document."""
+    """(signature, doc_id) rows of signatures with several documents, with the smallest of them."""
     w = Window.partitionBy("signature")
-    return rows.withColumns({"members": F.count("*").over(w), "center": F.min("doc_id").over(w)}).filter("members > 1")
+    return rows.withColumns({"last": F.max("doc_id").over(w), "center": F.min("doc_id").over(w)}).filter("center < last").drop("last")
+
 
+def _frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """The elements of the highest document counts, ascending; as many powers of two of counts as fit into `most`.
 
-def near_classes(documents: DataFrame, frequent: float = FREQUENT, small_group: int = SMALL_GROUP) -> DataFrame:
+    Which elements these are decides the order of parts only, never a result.
+    """
+    summed = cut(counts.groupBy("element").agg(F.sum("documents").alias("documents")).filter("documents >= 4"))
+    sizes = summed.groupBy(F.floor(F.log2("documents")).alias("power")).count().orderBy(F.desc("power")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = 2 ** r["power"]
+    if least is None:
+        return np.zeros(0, _U)
+    got = summed.filter(F.col("documents") >= least).select("element").toArrow()
+    return np.sort(got.column(0).to_numpy().view(_U))
+
+
+def near_classes(documents: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
     Null and empty texts and texts without words have size 0 and no link. Rows with one doc_id count as one document: each
@@ -308,10 +399,7 @@ def near_classes(documents: DataFrame, frequent: float = FREQUENT, small_group:
     sets = table.filter("element is null").select("doc_id", "n", "h1", "h2", "counts", "own", "next")
     docs = docs.filter("doc_id is not null and text is not null")
     named = sets.filter("doc_id is not null")
-    total = sets.count()
-    # at most set size / (share / 2) elements reach this share, whatever the number of documents
-    common = table.filter("element is not null").groupBy("element").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= max(8, total * frequent / 2))
-    often = np.sort(np.array([r[0] for r in common.select("element").toLocalIterator()], np.int64).view(_U))
+    often = _frequent(table.filter("element is not null"), frequent)
     sized = named.filter("n > 0").withColumn("band", F.floor(F.log(float(GROWTH), F.col("n") + 0.5)).cast("int"))
     wanted_level = sized.select("band", F.col("own").alias("level")).unionByName(sized.filter("next is not null").select(F.col("band") + 1, F.col("next")).toDF("band", "level"))
     levels = {r["band"]: r["level"] for r in wanted_level.groupBy("band").agg(F.max("level").alias("level")).collect()}
@@ -326,28 +414,10 @@ def near_classes(documents: DataFrame, frequent: float = FREQUENT, small_group:
     links = cut(_links(stars, docs, named).unionByName(same))
     classes = cut(components(links))
 
-    # 3. open signatures
-    for level in range(1, LEVELS + 1):
-        labelled = groups.select("signature", "doc_id").join(classes, F.col("doc_id") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        kinds = labelled.groupBy("signature").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("signature", "members")
-        still = cut(labelled.join(kinds, "signature"))
-        last = level == LEVELS
-        few = still if last else still.filter(F.col("members") <= small_group)
-        few = few.join(named.filter("n > 0").select(F.col("doc_id").alias("_id"), "n").distinct(), F.col("doc_id") == F.col("_id")).drop("_id")
-        left = few.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-        right = few.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        pairs = left.join(right, "signature").filter("a > b and ca <> cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-        found = cut(_links(pairs, docs, named))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = cut(components(links))
-        if last:
-            break
-        large = still.filter(F.col("members") > small_group).select("signature", "doc_id")
-        if large.isEmpty():
-            break
-        again = docs.mapInArrow(_sign(shared, level, _bitmap(large.select("doc_id"))), "second long, doc_id long")
-        groups = cut(_grouped(large.join(again, "doc_id").select(F.xxhash64("signature", "second").alias("signature"), "doc_id").distinct()))
+    # 3. families
+    found = cut(_links(_family_pairs(groups, classes, named, block), docs, named))
+    if not found.isEmpty():
+        classes = cut(components(links.unionByName(found)))
 
     out = sets.join(classes, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

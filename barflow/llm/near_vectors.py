@@ -262,15 +262,15 @@ def _regions(entities: DataFrame, s: Settings) -> DataFrame:
 
         def place(vectors: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
             if not len(vectors) or not len(near):
-                return pd.DataFrame({"entity": [], "embedding": [], "child": []})
+                return pd.DataFrame({"entity": [], "embedding": [], "region": [], "child": []})
             near = near.sort_values("rank")
             x = unit(np.stack(vectors["embedding"].to_numpy()).astype(np.float64)).astype(np.float32)
             at = assign(x, np.stack(near["center"].to_numpy()).astype(np.float32), s.margin, s.most_regions)
             i, j = np.nonzero(at >= 0)
             return pd.DataFrame({"entity": vectors["entity"].to_numpy()[i], "embedding": vectors["embedding"].to_numpy()[i], "region": vectors["region"].to_numpy()[i], "child": at[i, j]})
 
-        ranked = centers.withColumn("rank", F.xxhash64("center")).join(salts, "region")
-        moved = salted.groupBy("region", "salt").cogroup(ranked.groupBy("region", "salt")).applyInPandas(place, "entity long, embedding array<float>, region long, child long")
+        ranked = centers.join(salts.toDF("of", "part"), F.col("region") == F.col("of")).select("of", "part", "center", F.xxhash64("center").alias("rank"))
+        moved = salted.groupBy("region", "salt").cogroup(ranked.groupBy("of", "part")).applyInPandas(place, "entity long, embedding array<float>, region long, child long")
         todo = moved.select("entity", "embedding", F.xxhash64("region", "child", F.lit(level + 1)).alias("region"))
     return done
 

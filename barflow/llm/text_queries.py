@@ -49,6 +49,22 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.near_classes(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = s.doc_id
+"""
+
+
 @query
 def op7_embedding_near_dedup(spark, sf_dir):
     return near_vectors.near_vectors(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -83,4 +99,4 @@ QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES = {"op2_license_scan": _op2_sql(), "op7_embedding_near_dedup": OP7_SQL}
+ORACLES = {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard_join": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL}
