@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barflow.operators.structure.tables import Structure, merged_bars
 
@@ -98,37 +94,32 @@ def segment_attributes(segments: DataFrame) -> DataFrame:
     )
 
 
-def _fit(points: list, up: bool, inside: bool) -> tuple[float, float, float] | None:
-    """Steepest (inside) or flattest (outside) line from the newest point on, tried from each hull corner; the one
-    with the least total distance to all points wins."""
-    best, rest = None, [(p["x"], p["y"]) for p in points]
-    every = list(rest)
-    while len(rest) > 1:
-        (x0, y0), step = rest[0], 1
-        slope = 0.0 if inside else (float("inf") if up else float("-inf"))
-        for n, (x, y) in enumerate(rest[1:], start=1):
-            k = (y0 - y) / (x0 - x) if x0 != x else float("inf")
-            if k < 0 if up else k > 0:
-                continue
-            if (k > slope) == (up == inside) and k != slope:
-                slope, step = k, n
-        if abs(slope) != float("inf"):
-            far = sum(abs(slope * x - y + y0 - slope * x0) for x, y in every) / (slope * slope + 1) ** 0.5
-            if best is None or far < best[3]:
-                best = (float(x0), float(y0), float(slope), far)
-        rest = rest[step:]
-    return best[:3] if best else None
+def best_line(points: Column, sign: Column, steep: bool) -> Column:
+    """Line (x, y, slope) through one of the points, newest first, and an older one; null with fewer than two points.
+
+    From a point, the line goes to the older point seen at the steepest (`steep`) or flattest angle that does not run
+    against the direction `sign`; where there is none a steep line is level, and a flat one is not drawn. The lines met
+    by going on from the point that the last one reached are the candidates, and of these the one with the smallest total
+    distance to all points is taken, the newest of equals."""
 
+    def seen_from(i: Column) -> Column:
+        a = F.element_at(points, i + 1)
+        rise = F.transform(F.slice(points, i + 2, F.size(points)), lambda q, k: F.struct(((q["y"] - a["y"]) / (q["x"] - a["x"]) * sign).alias("rise"), (-k if steep else k).alias("near")))
+        onward = F.filter(rise, lambda r: r["rise"] > 0 if steep else r["rise"] >= 0)
+        best = F.array_max(onward) if steep else F.array_min(onward)
+        level = F.lit(0.0) if steep else F.lit(None).cast("double")
+        reached = F.coalesce(F.abs(best["near"]), F.lit(0)) + i + 1
+        return F.struct(i.alias("i"), reached.alias("reached"), a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"), (F.coalesce(best["rise"], level) * sign + 0.0).alias("slope"))
 
-# A type object, not a DDL string: workers import this module without a session.
-LINE_TYPE = StructType([StructField(n, DoubleType()) for n in ("x", "y", "slope")])
+    edges = F.when(F.size(points) > 1, F.transform(F.sequence(F.lit(0), F.size(points) - 2), seen_from)).otherwise(F.array())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,reached:int,x:double,y:double,slope:double>>").alias("met"))
+    walk = F.aggregate(edges, start, lambda w, e: F.when(e["i"] == w["at"], F.struct(e["reached"].alias("at"), F.concat(w["met"], F.array(e)).alias("met"))).otherwise(w))
 
+    def with_distance(e: Column) -> Column:
+        off = F.aggregate(points, F.lit(0.0), lambda t, q: t + F.abs(e["slope"] * (q["x"] - e["x"]) - (q["y"] - e["y"])))
+        return F.struct((off / F.sqrt(e["slope"] * e["slope"] + 1)).alias("far"), e["i"].alias("i"), e["x"].alias("x"), e["y"].alias("y"), e["slope"].alias("slope"))
 
-@F.pandas_udf(LINE_TYPE)
-def _fit_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for points, up, inside in batches:
-        rows = [_fit(list(p), u, i) or (None, None, None) for p, u, i in zip(points, up, inside)]
-        yield pd.DataFrame(rows, columns=["x", "y", "slope"], dtype="float64")
+    return F.array_min(F.transform(F.filter(walk["met"], lambda e: e["slope"].isNotNull()), with_distance))
 
 
 def trend_lines(strokes: DataFrame, segments: DataFrame) -> DataFrame:
@@ -142,7 +133,8 @@ def trend_lines(strokes: DataFrame, segments: DataFrame) -> DataFrame:
         KEY, "seg_idx", "y0", "y1", "dir",
         F.explode(F.array(F.struct(F.lit("support").alias("side"), F.col("inner").alias("p"), F.lit(True).alias("inside")), F.struct(F.lit("resistance").alias("side"), F.col("outer").alias("p"), F.lit(False).alias("inside")))).alias("s"),
     )
-    line = _fit_udf(F.col("s.p"), F.col("dir") == 1, F.col("s.inside"))
+    sign = F.when(F.col("dir") == 1, 1.0).otherwise(-1.0)
+    line = F.when(F.col("s.inside"), best_line(F.col("s.p"), sign, True)).otherwise(best_line(F.col("s.p"), sign, False))
     out = sides.select(KEY, "seg_idx", F.col("s.side").alias("side"), "y0", "y1", line.alias("l")).filter("l.x IS NOT NULL")
     at = lambda y: (F.col(y) - F.col("l.y")) / (F.col("l.slope") + 1e-7) + F.col("l.x")
     return out.select(KEY, "seg_idx", "side", "l.x", "l.y", "l.slope", at("y0").alias("x0"), "y0", at("y1").alias("x1"), "y1")

@@ -95,9 +95,10 @@ def tree_chunks(nodes: DataFrame) -> DataFrame:
     marks = X.page_numbers(F.concat_ws("\n", "raw_text", "title"))
     x = x.withColumns({"pages": marks, "lesson": X.lesson_of(F.concat_ws("\n", "title", F.substring("raw_text", 1, 800)))})
     x = x.withColumns({"page_start": F.array_min("pages"), "page_end": F.array_max("pages")})
-    prefix = F.when(F.col("lesson").isNotNull(), F.format_string("l%03d", F.col("lesson"))).otherwise(F.lit("front"))
-    span = F.when(F.col("page_end") != F.col("page_start"), F.format_string("-p%04d", F.col("page_end"))).otherwise(F.lit(""))
-    base = F.when(F.col("page_start").isNotNull(), F.concat(F.lit("pageindex."), prefix, F.format_string(".p%04d", F.col("page_start")), span)).otherwise(
+    # number 0 stands for none, of lessons and of pages
+    prefix = F.when(F.col("lesson") > 0, F.format_string("l%03d", F.col("lesson"))).otherwise(F.lit("front"))
+    span = F.when((F.col("page_end") > 0) & (F.col("page_end") != F.col("page_start")), F.format_string("-p%04d", F.col("page_end"))).otherwise(F.lit(""))
+    base = F.when(F.col("page_start") > 0, F.concat(F.lit("pageindex."), prefix, F.format_string(".p%04d", F.col("page_start")), span)).otherwise(
         F.concat(F.lit("pageindex.node"), F.format_string("%04d", F.col("id").cast("bigint")))
     )
     x = x.withColumn("base_id", base)
@@ -106,18 +107,21 @@ def tree_chunks(nodes: DataFrame) -> DataFrame:
 
 
 def toc_rows(pages: DataFrame, book: str = "book") -> DataFrame:
-    """Table-of-contents lines of the first four pages: lesson, title, date, page."""
+    """Table-of-contents lines of the first four pages with text: lesson, title, date, page; the last line of a lesson counts."""
     line = F.regexp_replace(F.regexp_replace("text", r"教你炒股票\s*(\d+)\s*：\s*", "\n教你炒股票 $1："), r"\s*\n\s*", "\n")
-    rows = pages.filter("page <= 4").select(book, F.explode(F.split(line, "\n")).alias("line"))
+    first = F.row_number().over(Window.partitionBy(book).orderBy("page"))
+    front = pages.filter(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("n", first).filter("n <= 4")
+    rows = front.select(book, "page", F.posexplode(F.split(line, "\n")).alias("at", "line"))
     rx = r"^教你炒股票\s*(\d{1,3})\s*[：:]\s*(.*?)\(\s*(\d{4}-\d{2}-\d{2}[^)]*)\)\s*[.。·…\s]*(\d{1,4})\s*$"
     g = lambda i: F.regexp_extract("line", rx, i)
-    x = rows.filter(F.col("line").rlike(rx)).select(book, g(1).cast("int").alias("lesson"), X.squeeze(F.regexp_replace(g(2), r"[.。·…\s]+$", "")).alias("title"), g(3).alias("date"), g(4).cast("int").alias("toc_page"))
-    return x.filter("lesson BETWEEN 1 AND 108").dropDuplicates([book, "lesson"])
+    x = rows.filter(F.col("line").rlike(rx)).select(book, F.struct("page", "at").alias("place"), g(1).cast("int").alias("lesson"), X.squeeze(F.regexp_replace(g(2), r"[.。·…\s]+$", "")).alias("title"), g(3).alias("date"), g(4).cast("int").alias("toc_page"))
+    last = x.filter("lesson BETWEEN 1 AND 108").groupBy(book, "lesson").agg(F.max_by(F.struct("title", "date", "toc_page"), "place").alias("r"))
+    return last.select(book, "lesson", "r.title", "r.date", "r.toc_page")
 
 
 def toc_from_headings(pages: DataFrame, toc: DataFrame, book: str = "book") -> DataFrame:
     """Lessons the contents page misses, taken from the first dated heading after page four."""
-    rx = r"教你炒股票\s*(\d{1,3})\s*[：:]?\s*([^\n]{0,180}?)\(\s*(\d{4}-\d{2}-\d{2}[^)]*)\)"
+    rx = r"教你炒股票\s*(\d{1,3})\s*[：:]?\s*([\s\S]{0,180}?)\(\s*(\d{4}-\d{2}-\d{2}[^)]*)\)"
     all_of = lambda i: F.regexp_extract_all("text", F.lit(rx), F.lit(i))
     z = F.arrays_zip(all_of(1).alias("a"), all_of(2).alias("b"), all_of(3).alias("c"))
     x = pages.filter("page > 4").select(book, "page", F.posexplode(z).alias("i", "m"))

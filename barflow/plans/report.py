@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import labels as L
@@ -22,14 +22,16 @@ def _lines(df: DataFrame, section: int, order: list, *cols) -> DataFrame:
     return df.select(F.lit(section).alias("section_no"), F.row_number().over(w).alias("row_no"), F.concat_ws(" | ", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]).alias("line"))
 
 
-def build(spark: SparkSession, sf: str) -> DataFrame:
-    """(section_no, row_no, line) in the fixed section order. Every section is a short top-k or summary table."""
+def build(spark: SparkSession, sf: str, as_of: Column | None = None) -> DataFrame:
+    """(section_no, row_no, line) in the fixed section order; section 1 holds the week from `as_of` on. Every section is a
+    short top-k or summary table."""
+    as_of = F.lit("2001-07-26").cast("date") if as_of is None else as_of
     heads = spark.createDataFrame([(i + 1, 0, f"## {t}") for i, t in enumerate(L.SECTIONS)], "section_no int, row_no int, line string")
     macro = C.macro_summary(C.macro_series(spark, sf))
     scan = screen.full_scan(spark, sf)
     inside = scan.filter(F.col("is_buy") & (F.col("position") == L.INSIDE)).orderBy(F.desc("score"), "symbol").limit(10)
-    events = C.upcoming(T.load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), F.lit("2001-01-01").cast("date")).orderBy("day", "o_orderkey").limit(7)
-    heat = C.sector_heat(T.quotes(T.walk_bars(spark, sf)), T.universe(spark, sf)).orderBy(F.desc("chg"), "sector").limit(15)
+    events = C.upcoming(T.load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), as_of).filter("days <= 7")
+    heat = C.sector_heat(T.quotes(T.walk_bars(spark, sf)), T.universe(spark, sf))
     second = scan.filter("is_buy").orderBy(F.desc("score"), "symbol").limit(5)
     parts = [
         _lines(events, 1, ["day", "o_orderkey"], "tag", "day", "o_orderkey"),
@@ -39,7 +41,7 @@ def build(spark: SparkSession, sf: str) -> DataFrame:
         _lines(heat, 5, [F.desc("chg"), "sector"], "sector", "chg", "up", "dn"),
         _lines(inside, 6, [F.desc("score"), "symbol"], "symbol", "price", "score", "zs", F.round("entry", 2), F.round("stop", 2), F.round("tp1", 2), F.round("tp2", 2), F.round("rr", 1)),
         _lines(second, 7, [F.desc("score"), "symbol"], "symbol", "price", "score", "signal", "zs"),
-        _lines(inside.limit(6), 8, [F.desc("score"), "symbol"], "symbol", "signal", F.round("entry", 2)),
+        _lines(inside, 8, [F.desc("score"), "symbol"], "symbol", "signal", F.round("entry", 2)),
     ]
     out = heads
     for p in parts:

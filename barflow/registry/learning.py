@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from barflow.functions import rules as R
 from barflow.plans import training as TR
 from barflow.registry.core import query, r
 from barflow.registry.prelude import HOURS, with_bars
@@ -51,6 +51,19 @@ def samples(spark, sf):
     return _SAMPLES[key]
 
 
+_MODELS: dict = {}
+
+
+def saved_model(spark, sf):
+    """The model of a dataset, trained once per session on the earlier days and read back from the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+        TR.train(cut(TR.time_split(samples(spark, sf))[0])).write().save(path)
+        _MODELS[key] = path
+    return PipelineModel.load(_MODELS[key])
+
+
 @query("ml01_samples")
 def training_samples(spark, sf):
     return samples(spark, sf)
@@ -58,16 +71,21 @@ def training_samples(spark, sf):
 
 @query("ml04_06_train_and_score")
 def train_and_score(spark, sf):
-    a, b = TR.time_split(samples(spark, sf))
-    model = TR.train(cut(a), trees=10)
-    return TR.score(model, b).select("symbol", "day", "label", "prediction", "model_score")
+    return TR.score(saved_model(spark, sf), TR.time_split(samples(spark, sf))[1]).select("symbol", "day", "label", "prediction", "model_score")
+
+
+@query("ml05_metrics")
+def model_metrics(spark, sf):
+    """AUC and accuracy on the later days."""
+    got = TR.metrics(TR.score(saved_model(spark, sf), TR.time_split(samples(spark, sf))[1]))
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in got.items()), "metric string, value double")
 
 
 @query("rule03_model_or_rule")
 def model_or_rule(spark, sf):
-    """Rows without the model's columns fall back to the rule score."""
-    x = samples(spark, sf)
-    return x.withColumn("rule_score", R.feature_score()).select("symbol", "day", "rule_score")
+    """The saved model's score; every seventh row lacks a feature and falls back to the rule score."""
+    x = samples(spark, sf).withColumn("rsi", F.when(F.xxhash64("symbol", "day") % 7 != 0, F.col("rsi")))
+    return TR.model_or_rule(saved_model(spark, sf), x).select("symbol", "day", "score", "origin")
 
 
 @query("stm02_replay")
@@ -145,5 +163,5 @@ def parent_child(spark, sf):
     h.write.parquet(f"{path}/kids")
     d.write.parquet(f"{path}/parents")
     kids, parents = (spark.readStream.schema(x.schema).parquet(f"{path}/{n}") for x, n in ((h, "kids"), (d, "parents")))
-    ST.to_folder(ST.children_of(parents, kids), path, "append")
+    ST.to_folder(ST.children_of(parents, kids, "1 day"), path, "append")
     return spark.read.parquet(f"{path}/data").select("symbol", F.col("child_end").cast("timestamp_ntz").alias("child_end"), F.col("parent_end").cast("timestamp_ntz").alias("parent_end"))

@@ -23,10 +23,10 @@ def docs(spark, sf):
 
 def kb_queries(spark, sf):
     b = T.load(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"))
+    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-QUERY = """q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark)"""
+QUERY = """q AS (SELECT item_id AS qid, text AS query FROM benchmark)"""
 TERMS = f"""tk AS (SELECT qid, unnest({terms_sql('query', 3)}) AS t FROM q),
 qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, t AS term FROM tk UNION ALL SELECT qid, regexp_replace(t, 's+$', '') FROM tk WHERE length(t) > 3) WHERE term <> '')
 """
@@ -321,7 +321,7 @@ def manifest(spark, sf):
 
 @query("kb18_inventory")
 def inventory(spark, sf):
-    return K.inventory(spark, f"{sf}/*ion.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "type", "role", "sha256", "size")
+    return K.inventory(spark, f"{sf}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "type", "role", "sha256", "size")
 
 
 @query("kb19_integrity", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 7 = 1 THEN 'size mismatch' WHEN doc_id % 7 = 2 THEN 'sha256 mismatch' END AS problem FROM documents WHERE doc_id % 7 <= 2")

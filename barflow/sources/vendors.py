@@ -45,12 +45,26 @@ def read_bar_csv(spark: SparkSession, path: str, begin: str | None = None, end:
     return df.drop("time_key")
 
 
-def csv_lines(lines: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
-    """(symbol, value) text lines of bar CSV to bars; malformed lines are dropped."""
+def _csv_rows(lines: DataFrame) -> DataFrame:
     schema = "time_key string, open double, high double, low double, close double, volume double, bad string"
     row = F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-    df = lines.select("symbol", row.alias("r")).filter("r.bad IS NULL").select("symbol", "r.*").drop("bad")
-    df = df.withColumn("ts", parse_time("time_key")).filter("ts IS NOT NULL").drop("time_key")
+    df = lines.select("symbol", "value", row.alias("r")).select("symbol", "value", "r.*").withColumn("ts", parse_time("time_key"))
+    return df.withColumn("problem", F.when(F.col("bad").isNotNull() | F.col("value").isNull(), "malformed").when(F.col("ts").isNull(), "no time"))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(symbol, value, problem) of the lines that are no bars, for a side output and its count."""
+    return _csv_rows(lines).filter("problem IS NOT NULL").select("symbol", "value", "problem")
+
+
+def csv_lines(lines: DataFrame, begin: str | None = None, end: str | None = None, strict: bool = True) -> DataFrame:
+    """(symbol, value) text lines of bar CSV to bars. A line that is no bar fails the query; with strict=False such lines
+    are left to `rejected_lines`."""
+    df = _csv_rows(lines)
+    if strict:
+        broken = F.raise_error(F.concat(F.col("problem"), F.lit(" line: "), F.coalesce("value", F.lit("null"))))
+        df = df.withColumn("ts", F.when(F.col("problem").isNull(), F.col("ts")).otherwise(broken.cast("timestamp")))
+    df = df.filter("problem IS NULL" if not strict else "ts IS NOT NULL").drop("time_key", "bad", "value", "problem")
     if begin:
         df = df.filter(F.col("ts") >= F.lit(begin).cast("timestamp"))
     if end:

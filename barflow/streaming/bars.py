@@ -41,14 +41,15 @@ def sessions(bars: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def children_of(parents: DataFrame, kids: DataFrame, late: str = "2 days") -> DataFrame:
-    """Stream-stream interval join: a child waits in state until its parent (start_ts, end_ts] arrives, and back."""
+def children_of(parents: DataFrame, kids: DataFrame, width: str, late: str = "2 days") -> DataFrame:
+    """Stream-stream interval join: a child waits in state until its parent (start_ts, end_ts] arrives, and back.
+
+    `width` is the longest a parent lasts (1 day, 7 days, 31 days, ...): it bounds how long state is kept."""
     p = parents.select(F.col("symbol").alias("p_symbol"), "start_ts", F.col("end_ts").alias("parent_end")).withWatermark("parent_end", late)
     c = kids.select("symbol", F.col("end_ts").alias("child_end")).withWatermark("child_end", late)
-    # the fixed width bounds the state on both sides
     on = (
         (F.col("symbol") == F.col("p_symbol")) & (F.col("child_end") > F.col("start_ts")) & (F.col("child_end") <= F.col("parent_end"))
-        & (F.col("child_end") >= F.col("parent_end") - F.expr("INTERVAL 1 DAY")) 
+        & (F.col("child_end") >= F.col("parent_end") - F.expr(f"INTERVAL {width}"))
     )
     return c.join(p, on).select("symbol", "child_end", "parent_end")
 
