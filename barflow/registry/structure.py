@@ -101,11 +101,10 @@ def end_is_peak(spark, sf):
     return LN.ends_are_peaks(S.fractals(merged(spark, sf)))
 
 
-@query(
-    "str08_strokes",
-    recursive(
-        MERGE_SQL
-        + """, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mb_idx) AS k FROM fx WHERE fractal <> 'none'),
+# strokes as a recursion over fractals; those before the last one
+STROKE_SQL = (
+    MERGE_SQL
+    + """, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mb_idx) AS k FROM fx WHERE fractal <> 'none'),
         fm AS MATERIALIZED (SELECT symbol, list(low ORDER BY mb_idx) AS lows, list(high ORDER BY mb_idx) AS highs FROM merged GROUP BY symbol),
         ok AS MATERIALIZED (
           SELECT a.symbol, a.k AS ka, b.k AS kb FROM f a JOIN f b ON a.symbol = b.symbol AND b.k > a.k AND a.fractal <> b.fractal AND b.mb_idx - a.mb_idx >= 4
@@ -124,13 +123,21 @@ def end_is_peak(spark, sf):
                       WHEN CASE WHEN x.fractal = 'top' THEN x.high >= e.high ELSE x.low <= e.low END THEN x.k ELSE st.b END
           FROM st JOIN f x ON x.symbol = st.symbol AND x.k = st.k + 1 JOIN f e ON e.symbol = st.symbol AND e.k = st.b
           LEFT JOIN ok o ON o.symbol = st.symbol AND o.ka = st.b AND o.kb = x.k),
-        done AS (SELECT symbol, stroke, arg_max(a, k) AS a, arg_max(b, k) AS b FROM st GROUP BY symbol, stroke)
+        done AS (SELECT symbol, stroke, arg_max(a, k) AS a, arg_max(b, k) AS b FROM st GROUP BY symbol, stroke),
+        sk AS MATERIALIZED (
         SELECT d.symbol, d.stroke::INTEGER AS idx, CASE WHEN fa.fractal = 'bottom' THEN 1 ELSE -1 END AS dir, fa.mb_idx AS begin_mb, fb.mb_idx AS end_mb,
                CASE WHEN fa.fractal = 'bottom' THEN fa.low ELSE fa.high END AS begin_val, CASE WHEN fa.fractal = 'bottom' THEN fb.high ELSE fb.low END AS end_val
         FROM done d JOIN f fa ON fa.symbol = d.symbol AND fa.k = d.a JOIN f fb ON fb.symbol = d.symbol AND fb.k = d.b
-        WHERE d.stroke < (SELECT max(stroke) FROM done z WHERE z.symbol = d.symbol)"""
-    ),
+        WHERE d.stroke < (SELECT max(stroke) FROM done z WHERE z.symbol = d.symbol)),
+        sb AS (
+          SELECT sk.*, greatest(begin_val, end_val) AS high, least(begin_val, end_val) AS low, x.first_bar, y.last_bar,
+                 CASE WHEN sk.dir = 1 THEN x.lo_bar ELSE x.hi_bar END AS begin_bar, CASE WHEN sk.dir = 1 THEN y.hi_bar ELSE y.lo_bar END AS end_bar
+          FROM sk JOIN merged x ON x.symbol = sk.symbol AND x.mb_idx = sk.begin_mb JOIN merged y ON y.symbol = sk.symbol AND y.mb_idx = sk.end_mb)
+"""
 )
+
+
+@query("str08_strokes", recursive(STROKE_SQL + " SELECT * FROM sk"))
 def strokes(spark, sf):
     """All strokes but the last confirmed one, whose end the unconfirmed tail may move. The merged bar after an
     end counts with its first bar only, since that is all that is known when the end is confirmed."""
@@ -148,6 +155,33 @@ def stroke_attributes(spark, sf):
     return LN.stroke_attributes(shared.structure(spark, sf).strokes)
 
 
+@query(
+    "str10_settled_attributes",
+    recursive(STROKE_SQL + """ SELECT symbol, idx, dir, begin_bar, end_bar, begin_val, end_val, abs(end_val - begin_val) AS amp, (end_bar - begin_bar + 1)::INTEGER AS bar_cnt,
+  (end_mb - begin_mb + 1)::INTEGER AS merged_cnt, (high + low) / 2 AS mid FROM sb"""),
+)
+def settled_attributes(spark, sf):
+    x = LN.stroke_attributes(LN.settled(shared.structure(spark, sf).strokes))
+    return x.select("symbol", "idx", "dir", "begin_bar", "end_bar", "begin_val", "end_val", "amp", "bar_cnt", "merged_cnt", "mid")
+
+
+@query(
+    "str11_settled_strengths",
+    recursive(STROKE_SQL + """, v AS (
+  SELECT s.symbol, s.idx, sum(b.turnover) AS amount, sum(b.volume) AS volume FROM sb s JOIN bars b ON b.symbol = s.symbol AND b.idx BETWEEN s.first_bar AND s.last_bar GROUP BY s.symbol, s.idx)
+SELECT s.symbol, s.idx, (high - low) / high / (end_bar - begin_bar + 1) AS slope, (high - low) / CASE WHEN dir = 1 THEN low ELSE high END AS amp, round(v.amount, 2) AS amount,
+  round(v.amount, 2) / (end_bar - begin_bar + 1) AS amount_avg, v.volume AS volumn, v.volume / (end_bar - begin_bar + 1) AS volumn_avg, round(v.volume / 1000 / (end_bar - begin_bar + 1), 9) AS turnrate_avg
+FROM sb s JOIN v ON v.symbol = s.symbol AND v.idx = s.idx"""),
+)
+def settled_strengths(spark, sf):
+    b = T.walk_bars(spark, sf).withColumn("turnover_rate", F.col("volume") / 1000)
+    x = with_strengths(LN.settled(shared.structure(spark, sf).strokes), b, {"slope", "amp", "amount", "amount_avg", "volumn", "volumn_avg", "turnrate_avg"})
+    n = F.col("end_bar") - F.col("begin_bar") + 1
+    same = [F.col(f"in_{k}").alias(k) for k in ("slope", "amp", "volumn", "volumn_avg")]
+    # money adds up in any order, so its cents are fixed before the division
+    return x.select("symbol", "idx", *same, F.round("in_amount", 2).alias("amount"), (F.round(F.col("in_amount_avg") * n, 2) / n).alias("amount_avg"), F.round("in_turnrate_avg", 9).alias("turnrate_avg"))
+
+
 @query("str11_strengths")
 def strengths(spark, sf):
     b = ind.rsi_wilder(ind.macd(T.walk_bars(spark, sf))).withColumn("turnover_rate", F.col("volume") / 1000)
@@ -284,6 +318,15 @@ def bars_in_strokes(spark, sf):
     return x.groupBy("symbol", "line").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
 
 
+@query(
+    "join15_settled_strokes",
+    recursive(STROKE_SQL + " SELECT s.symbol, s.idx AS line, count(*) AS bars, sum(b.volume) AS volume FROM sb s JOIN bars b ON b.symbol = s.symbol AND b.idx BETWEEN s.begin_bar AND s.end_bar GROUP BY s.symbol, s.idx"),
+)
+def bars_in_settled_strokes(spark, sf):
+    s = LN.settled(shared.structure(spark, sf).strokes).select("symbol", F.col("idx").alias("line"))
+    return bars_in_strokes(spark, sf).join(s, ["symbol", "line"])
+
+
 @query("join17_lower_level_merged")
 def lower_level(spark, sf):
     return LN.lower_level_merged(spark, sf)

@@ -244,7 +244,19 @@ def marked(spark, sf):
     return T.load(spark, sf, "documents").select(k.alias("id"), title.alias("title"), F.concat(mark, F.lit("\n"), F.col("text")).alias("raw_text"))
 
 
-@query("kb12_tree_chunks")
+@query(
+    "kb12_tree_chunks",
+    """WITH n AS (
+  SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'source_page:' || doc_id % 90 || ' lesson : ' || doc_id % 40 WHEN 2 THEN 'page_start:' || doc_id % 50 || ' page_end:' || doc_id % 50 + 2 ELSE 'PDF Page 0042' END || chr(10) || text AS raw,
+         CASE doc_id % 4 WHEN 0 THEN doc_id % 900 + 1 WHEN 1 THEN doc_id % 90 WHEN 2 THEN doc_id % 50 ELSE 42 END::INTEGER AS page_start,
+         CASE doc_id % 4 WHEN 0 THEN doc_id % 900 + 1 WHEN 1 THEN doc_id % 90 WHEN 2 THEN doc_id % 50 + 2 ELSE 42 END::INTEGER AS page_end,
+         CASE WHEN doc_id % 5 = 0 THEN doc_id % 108 WHEN doc_id % 4 = 1 THEN doc_id % 40 END::INTEGER AS lesson FROM documents
+), t AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS body FROM n),
+b AS (SELECT *, CASE WHEN page_start > 0 THEN 'pageindex.' || CASE WHEN lesson > 0 THEN printf('l%03d', lesson) ELSE 'front' END || printf('.p%04d', page_start) || CASE WHEN page_end > 0 AND page_end <> page_start THEN printf('-p%04d', page_end) ELSE '' END
+  ELSE printf('pageindex.node%04d', id) END AS base FROM t WHERE length(body) >= 80),
+c AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM b)
+SELECT base || CASE WHEN k > 1 THEN '.' || k ELSE '' END AS chunk_id, id, page_start, page_end, lesson, body AS text FROM c""",
+)
 def tree_chunks(spark, sf):
     return K.tree_chunks(marked(spark, sf))
 
@@ -271,7 +283,15 @@ def books(spark, sf):
     return d.withColumn("text", body)
 
 
-@query("kb14_toc")
+@query(
+    "kb14_toc",
+    """WITH p AS (SELECT doc_id // 60 AS book, (doc_id % 60 + 1)::INTEGER AS page FROM documents),
+l AS (SELECT unnest(range(1, 9))::INTEGER AS i),
+front AS (SELECT book, i AS lesson, '题目 ' || i AS title, '2006-0' || 1 + i % 9 || '-01 10:00' AS date, i * 5 AS toc_page FROM p, l WHERE page = 1),
+heads AS (SELECT book, page // 5 AS lesson, '正文' AS title, '2006-01-01 10:00' AS date, page AS toc_page FROM p WHERE page % 5 = 0)
+SELECT book::BIGINT AS book, lesson::INTEGER AS lesson, title, date, toc_page::INTEGER AS toc_page FROM front
+UNION ALL SELECT h.book::BIGINT, h.lesson::INTEGER, h.title, h.date, h.toc_page::INTEGER FROM heads h WHERE NOT EXISTS (SELECT 1 FROM front f WHERE f.book = h.book AND f.lesson = h.lesson)""",
+)
 def toc(spark, sf):
     p = books(spark, sf)
     return K.toc_from_headings(p, K.toc_rows(p))
