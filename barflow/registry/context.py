@@ -403,17 +403,17 @@ def hk_short_tier(spark, sf):
     return s.select("symbol", "day", C.short_tier(F.col("short_ratio")).alias("tier"), C.short_trend(m(3), m(5)).alias("trend"))
 
 
-SPOT = """, spot AS (SELECT symbol, round(avg(close) / 2, 2) AS spot FROM bars GROUP BY symbol),
+# the last close in units of the warrants' strikes
+SPOT = """, spot AS (SELECT symbol, arg_max(close, idx) / 32.0 AS spot FROM bars GROUP BY symbol),
 war AS (SELECT l_suppkey::VARCHAR AS symbol, CASE WHEN l_linestatus = 'O' THEN 'call' ELSE 'put' END AS kind, round(l_extendedprice / l_quantity, 2) AS strike, l_extendedprice AS turnover, l_quantity AS outstanding FROM lineitem)
 """
 
 
 def spot(spark, sf):
-    return T.walk_bars(spark, sf).groupBy("symbol").agg(F.round(F.avg("close") / 2, 2).alias("spot")).withColumn("spot", F.lit(3000.0))
+    return T.walk_bars(spark, sf).groupBy("symbol").agg((F.max_by("close", "idx") / 32.0).alias("spot"))
 
 
-HKSPOT = SPOT.replace("round(avg(close) / 2, 2) AS spot", "3000.0::DOUBLE AS spot")
-WSTAT = HKSPOT + """, ws AS (SELECT symbol, round(min(CASE WHEN kind = 'call' AND strike >= spot THEN (strike - spot) / spot * 100 END), 4) AS near_call_dist, round(sum(CASE WHEN kind = 'call' THEN turnover ELSE 0 END), 2) AS call_turnover, round(sum(CASE WHEN kind = 'put' THEN turnover ELSE 0 END), 2) AS put_turnover,
+WSTAT = SPOT + """, ws AS (SELECT symbol, round(min(CASE WHEN kind = 'call' AND strike >= spot THEN (strike - spot) / spot * 100 END), 4) AS near_call_dist, round(sum(CASE WHEN kind = 'call' THEN turnover ELSE 0 END), 2) AS call_turnover, round(sum(CASE WHEN kind = 'put' THEN turnover ELSE 0 END), 2) AS put_turnover,
   round(sum(CASE WHEN kind = 'put' THEN turnover ELSE 0 END) / sum(CASE WHEN kind = 'call' THEN turnover ELSE 0 END), 4) AS put_call FROM war JOIN spot USING (symbol) GROUP BY symbol),
 cs AS (SELECT symbol, arg_max(strike, row(outstanding, -strike)) FILTER (kind = 'call' AND strike < spot) AS bull_recall, arg_max(strike, row(outstanding, -strike)) FILTER (kind = 'put' AND strike > spot) AS bear_recall, any_value(spot) AS spot FROM war JOIN spot USING (symbol) GROUP BY symbol),
 cd AS (SELECT *, (bull_recall - spot) / spot * 100 AS bd FROM cs)
