@@ -430,3 +430,31 @@ def confidence(n_bars="n_bars", has_sub="has_sub", tail_sure="tail_sure", has_zo
 def two_levels(daily="is_buy", lower="sub_buy") -> Column:
     d, s = c(daily), c(lower)
     return F.when(d & s, "both").when(d, "daily_only").when(s, "lower_only").otherwise("none")
+
+
+def fusion(state="st", money="mo", sector="ne", sure="conf", market="market", reentry="reentry") -> dict[str, Column]:
+    """Action, size factor, score modifier and size cap from structure, money flow, sector support and confidence.
+
+    A fall back into the zone after a third buy closes the trade whatever the other inputs say, like a sell point."""
+
+    def met(col, want):
+        return F.lit(True) if want == "any" else c(col) == want
+
+    action, size = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for s, f, g, a, n in reversed(L.FUSION):
+        row = met(state, s) & met(money, f) & met(sector, g)
+        action, size = F.when(row, a).otherwise(action), F.when(row, n).otherwise(size)
+    sell, back = c(state) == "sell", c(reentry)
+    m = L.FUSION_MODIFIER
+    supported = (c(money) == "positive") & (c(sector) == "resonant") & (c(sure) == "high")
+    modifier = F.when(sell, m["confirmed_sell"]).when(back, m["zone_reentry"]).when(c(state) == "buy", F.when(supported, m["confirmed_buy"]).otherwise(m["possible_buy"])).otherwise(m["unclear"])
+    cap = F.lit(None).cast("string")
+    for level, mood, text in L.SIZE_CAP:  # the last row, a sell, comes before all others
+        cap = F.when(sell if level == "sell" else met(sure, level) & met(market, mood), text).otherwise(cap)
+    gated = back & ~sell
+    return {
+        "action": F.when(gated, "observe").otherwise(F.coalesce(action, F.lit("observe"))),
+        "size": F.when(gated, 0.0).otherwise(F.coalesce(size, F.lit(0.0))),
+        "modifier": modifier,
+        "cap": F.when(gated, "none").otherwise(cap),
+    }

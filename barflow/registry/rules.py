@@ -485,20 +485,25 @@ MONEY = ["positive", "weak", "mixed"]
 NEWS = ["resonant", "none", "hot", "mixed"]
 
 
+CONFIDENCE = ["high", "medium", "low"]
+
+
 @query(
     "rule28_fusion",
-    "WITH " + FUSION + f", x AS (SELECT c_custkey AS code, {lit(STATES)}[(1 + c_custkey % 5)::INTEGER] AS st, {lit(MONEY)}[(1 + c_custkey // 5 % 3)::INTEGER] AS mo, {lit(NEWS)}[(1 + c_custkey // 15 % 4)::INTEGER] AS ne FROM customer)"
-    " SELECT code, st, mo, ne, coalesce(action, 'observe') AS action, coalesce(size, 0)::DOUBLE AS size, CASE st WHEN 'sell' THEN -5 WHEN 'unclear' THEN 0 WHEN 'buy' THEN CASE WHEN mo = 'positive' AND ne = 'resonant' THEN 5 ELSE 2 END ELSE 0 END AS modifier FROM x LEFT JOIN fusion ON s = st AND f IN ('any', mo) AND g IN ('any', ne)",
+    "WITH " + FUSION + f""", x AS (SELECT c_custkey AS code, {lit(STATES)}[(1 + c_custkey % 5)::INTEGER] AS st, {lit(MONEY)}[(1 + c_custkey // 5 % 3)::INTEGER] AS mo, {lit(NEWS)}[(1 + c_custkey // 15 % 4)::INTEGER] AS ne,
+      {lit(CONFIDENCE)}[(1 + c_custkey // 60 % 3)::INTEGER] AS conf, CASE WHEN c_custkey // 7 % 2 = 0 THEN 'strong' ELSE 'weak' END AS market, c_custkey % 11 = 0 AS reentry FROM customer)
+    SELECT code, st, mo, ne, conf, market, reentry, CASE WHEN reentry AND st <> 'sell' THEN 'observe' ELSE coalesce(action, 'observe') END AS action, CASE WHEN reentry THEN 0 ELSE coalesce(size, 0) END::DOUBLE AS size,
+      CASE WHEN st = 'sell' THEN -5 WHEN reentry THEN -3 WHEN st = 'buy' AND mo = 'positive' AND ne = 'resonant' AND conf = 'high' THEN 5 WHEN st = 'buy' THEN 2 ELSE 0 END AS modifier,
+      CASE WHEN st = 'sell' THEN 'exit' WHEN reentry OR conf = 'low' THEN 'none' WHEN conf = 'medium' THEN 'micro' WHEN market = 'strong' THEN 'existing' ELSE 'half' END AS cap
+    FROM x LEFT JOIN fusion ON s = st AND f IN ('any', mo) AND g IN ('any', ne)""",
 )
 def fusion(spark, sf):
     k = F.col("c_custkey")
-    x = T.load(spark, sf, "customer").select(k.alias("code"), pick(STATES, k % 5).alias("st"), pick(MONEY, F.floor(k / 5) % 3).alias("mo"), pick(NEWS, F.floor(k / 15) % 4).alias("ne"))
-    table = F.broadcast(spark.createDataFrame(L.FUSION, "s string, f string, g string, action string, size double"))
-    on = (F.col("s") == F.col("st")) & F.col("f").isin("any") | ((F.col("s") == F.col("st")) & (F.col("f") == F.col("mo")) & ((F.col("g") == F.col("ne")) | (F.col("g") == "any")))
-    m = L.FUSION_MODIFIER
-    buy = F.when((F.col("mo") == "positive") & (F.col("ne") == "resonant"), m["confirmed_buy"]).otherwise(m["possible_buy"])
-    modifier = F.when(F.col("st") == "sell", m["confirmed_sell"]).when(F.col("st") == "buy", buy).otherwise(m["unclear"])
-    return x.join(table, on, "left").select("code", "st", "mo", "ne", F.coalesce("action", F.lit("observe")).alias("action"), F.coalesce("size", F.lit(0.0)).alias("size"), modifier.alias("modifier"))
+    x = T.load(spark, sf, "customer").select(
+        k.alias("code"), pick(STATES, k % 5).alias("st"), pick(MONEY, F.floor(k / 5) % 3).alias("mo"), pick(NEWS, F.floor(k / 15) % 4).alias("ne"),
+        pick(CONFIDENCE, F.floor(k / 60) % 3).alias("conf"), F.when(F.floor(k / 7) % 2 == 0, "strong").otherwise("weak").alias("market"), (k % 11 == 0).alias("reentry"),
+    )
+    return x.withColumns(R.fusion())
 
 
 @query(

@@ -7,7 +7,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # one or two per family; tools/verify.py runs all of them
 SAMPLE = ["agg01_walk_bars", "ind06_macd", "ind16_directional_index", "src05_localised_bars", "join04_children", "str08_strokes", "rule14_regime_decision", "rule16_leaders",
-          "set06_pf01_upsert", "hk04_composite", "mac01_macro_bias", "kb05_top08_search", "kb08_windows", "top02_quick_rank", "stm08_tumbling_bars"]
+          "set06_pf01_upsert", "hk04_composite", "mac01_macro_bias", "kb05_top08_search", "kb08_windows", "top02_quick_rank", "stm08_tumbling_bars",
+          "str10_settled_attributes", "join15_settled_strokes", "kb12_tree_chunks", "kb14_toc", "rule28_fusion", "hk02_warrants"]
 
 
 @pytest.fixture(scope="module")
