@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +66,18 @@ def _scan(patterns: list[str]):
     return count
 
 
+_SCANNERS: dict = {}
+
+
+def _scanner(name: str, shared):
+    """One matcher per worker process and pattern list; the last few are kept."""
+    if name not in _SCANNERS:
+        while len(_SCANNERS) >= 4:
+            _SCANNERS.pop(next(iter(_SCANNERS)))
+        _SCANNERS[name] = _scan(shared.value)
+    return _SCANNERS[name]
+
+
 def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "text", limit: int = PATTERN_SLICE) -> DataFrame:
     """(key, pattern, n): which patterns occur in which text, and how often.
 
@@ -77,9 +90,10 @@ def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "t
     out: DataFrame | None = None
     for s in range(slices):
         words = [r[0] for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == s).collect()]
+        shared, name = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            count = _scan(words) if words else None
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            count = _scanner(name, shared) if shared.value else None
             for b in batches:
                 keys, pats, ns = [], [], []
                 for k, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist()):

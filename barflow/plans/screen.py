@@ -149,17 +149,18 @@ def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.Structur
 
 
 def rank_by_score(df: DataFrame, score: str = "score", key: str = "symbol", out: str = "rank") -> DataFrame:
-    """Global rank by (score descending, key) without one global sort: rows are numbered inside (score, first two
-    characters of the key), and a table of the bucket sizes gives each bucket its offset."""
-    x = cut(df.withColumn("_p", F.substring(key, 1, 2)))  # read for the sizes and for the rows
-    order = Window.orderBy(F.desc(score), "_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = x.groupBy(score, "_p").agg(F.count("*").alias("_n"))
-    offs = sizes.select(score, "_p", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(score, "_p").orderBy(key)
+    """Global rank by (score descending, key) without one global sort: a range partitioning puts rows in order, they are
+    numbered inside their partition, and a table of one row per partition gives each partition its offset."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the written rows fix which partition each belongs to
+    x = cut(df.repartitionByRange(n, F.desc(score), F.col(key)).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = x.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("_part").orderBy(F.desc(score), key)
     return (
-        x.join(offs, [score, "_p"])
+        x.join(offs, "_part")
         .withColumn(out, (F.col("_off") + F.row_number().over(inner)).cast("int"))
-        .drop("_p", "_off")
+        .drop("_part", "_off")
     )
 
 
