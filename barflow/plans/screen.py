@@ -27,13 +27,17 @@ def last_bar(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(F.max_by(F.struct(*cols), "idx").alias("b")).select("symbol", "b.*")
 
 
+def top_zones(zones: DataFrame) -> DataFrame:
+    """Adds `from_top`: 1 for a symbol's highest zone."""
+    return zones.withColumn("from_top", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("low"), F.desc("high"))))
+
+
 def summary(s: S.Structure, points: DataFrame, bars: DataFrame, zone_pick: str = "highest", min_bars: int = 30) -> DataFrame:
     """Per symbol: price, last point, zone text, position and counts. Short series report no signal."""
     price = bars.groupBy("symbol").agg(F.max_by("close", "idx").alias("price"), F.count("*").alias("n_bars"))
-    z = F.sort_array(F.collect_list(F.struct("low", "high")))
-    zones = s.zones.groupBy("symbol").agg(
-        F.slice(z, F.greatest(F.size(z) - 1, F.lit(1)), 2).alias("top"),
-        F.element_at(z, -1).alias("highest"),
+    zones = top_zones(s.zones).groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.when(F.col("from_top") <= 2, F.struct("low", "high")))).alias("top"),
+        F.max(F.struct("low", "high")).alias("highest"),
         F.max_by(F.struct("low", "high"), "idx").alias("latest"),
         F.count("*").alias("zone_cnt"),
     )

@@ -304,9 +304,8 @@ def latest(spark, sf):
 
 @query("top09_highest_zones")
 def highest_zones(spark, sf):
-    z = shared.structure(spark, sf).zones
-    top = F.sort_array(F.collect_list(F.struct("low", "high")))
-    return z.groupBy("symbol").agg(F.slice(top, F.greatest(F.size(top) - 1, F.lit(1)), 2).alias("zones"))
+    z = screen.top_zones(shared.structure(spark, sf).zones).filter("from_top <= 2")
+    return z.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("zones"))
 
 
 @query("join15_bars_in_strokes")
