@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.packing import ids_of, tokenizers_of
+from barflow.llm.packing import fast_of, ids_of, original_of
 
 #: ids after the vocabulary's 50,257 entries, and how they are printed
 RESERVED = {"<|turn|>": 50_300, "<|text|>": 50_301, "<|end|>": 50_302}
@@ -55,10 +55,10 @@ def segment(role: str, text: str, tokenizer: str) -> tuple[np.ndarray, np.ndarra
 
 
 def decode(ids: np.ndarray, tokenizer: str) -> str:
-    original, fast, _ = tokenizers_of(tokenizer)
+    fast, _ = fast_of(tokenizer)
     if not len(ids):
         return ""
-    return fast.decode(ids.tolist(), errors="strict") if fast else original.decode(ids.tolist(), skip_special_tokens=False)
+    return fast.decode(ids.tolist(), errors="strict") if fast else original_of(tokenizer).decode(ids.tolist(), skip_special_tokens=False)
 
 
 def printed(ids: np.ndarray, tokenizer: str) -> str:

@@ -141,7 +141,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIRST_TYPES)], _FIRST_NAMES)
         held.append(v)
         size += len(v)
-        if size >= 4_000_000:
+        if size >= 1_500_000:
             if (out := common()) is not None:
                 yield out
             held, size = [], 0
@@ -218,7 +218,11 @@ def _bit(ids: np.ndarray) -> np.ndarray:
 
 def _filtered(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b if wanted is None else b.filter(pa.array(wanted.value[_bit(b.column(0).to_numpy(zero_copy_only=False))]))
+        if wanted is None:
+            yield b
+        else:
+            bit = _bit(b.column(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((wanted.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
 
 
 def _bitmap(ids: DataFrame):
@@ -226,10 +230,11 @@ def _bitmap(ids: DataFrame):
     a fuller bitmap lets through more and never less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(1 << BITMAP_BITS, bool)
+        packed = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
         for b in batches:
-            hit[_bit(b.column(0).to_numpy(zero_copy_only=False))] = True
-        packed = np.packbits(hit).reshape(-1, 64)
+            bit = _bit(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(packed, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+        packed = packed.reshape(-1, 64)
         some = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
 
@@ -246,7 +251,7 @@ def _bitmap(ids: DataFrame):
     bits = np.zeros(((1 << BITMAP_BITS) // 512, 64), np.uint8)
     for k, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         bits[k] = np.frombuffer(x, np.uint8)
-    return spark.sparkContext.broadcast(np.unpackbits(bits.reshape(-1)).astype(bool))
+    return spark.sparkContext.broadcast(bits.reshape(-1))
 
 
 # --- pairs ------------------------------------------------------------------------------------------------------------

@@ -38,23 +38,29 @@ PER_PARTITION = 50_000
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizers_of(path: str):
-    """(original, fast or None, special strings) of a byte-level BPE tokenizer file, one per worker process."""
-    import tiktoken
+def original_of(path: str):
+    """The file's own library, made only where it is needed: it takes some 100 MB in every worker process."""
     from tokenizers import Tokenizer
 
-    original = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def fast_of(path: str):
+    """(the faster library or None, special strings) of a byte-level BPE tokenizer file, one per worker process."""
+    import tiktoken
+
     spec = json.load(open(path, encoding="utf-8"))
     special = [t["content"] for t in spec.get("added_tokens", [])]
     pre = spec.get("pre_tokenizer") or {}
     plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
     if not plain:
-        return original, None, special
+        return None, special
     # fixed values: the pattern of byte-level BPE
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     byte = _byte_of_char()
     ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return original, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -64,11 +70,11 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def ids_of(text: str | None, path: str) -> np.ndarray:
-    original, fast, special = tokenizers_of(path)
+    fast, special = fast_of(path)
     if not text:
         return np.zeros(0, np.uint32)
     if fast is None or any(s in text for s in special):
-        return np.array(original.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(original_of(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return fast.encode_to_numpy(text, disallowed_special=())
 
 
