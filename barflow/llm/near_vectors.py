@@ -2,20 +2,22 @@
 
 1. Vectors that cannot link (null, zero, null or non-finite components, null label) are set aside; identical vectors of a
    label become one entity with a weight.
-2. A label's entities are split into regions of bounded size: centroids come from a bounded sample (`Settings.sample`), every
-   entity is assigned, to its nearest centroid and to all that are nearly as near, so regions overlap.
+2. A label's entities are split into regions: centroids come from a bounded sample (`Settings.sample`), and every entity goes
+   to its nearest centroid and to all within a margin that provably brings the two ends of any link together (`assign`).
 3. In a region, overlapping cluster shards each get a graph by robust pruning, and the adjacency lists are united. Every
    entity searches greedily from the shards' medoids, and then expands over all neighbours in range until none is new.
 4. An audit holds some of the region's queries against brute force; if links are missing, the search is widened until the
    audit passes. Every reported link is verified by its cosine in double precision.
+5. At the end a fixed set of queries is held against all entities of their labels; that is the recall reported.
 
-A region that clustering cannot split, such as a third of all rows around one point, is searched in pairs of blocks. A link
+A region that splitting would not make cheaper, such as a third of all rows around one point, is compared whole, in pairs of blocks. A link
 found in several regions counts in the smallest they share, so counts and spanning edges leave a task, never its pairs.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +36,6 @@ class Settings:
     shard: int = 300
     #: rows of a group that centroids are fitted on
     sample: int = 20_000
-    #: a centroid this much less similar than the nearest one still gets the vector
-    margin: float = 0.1
-    most_regions: int = 8
     levels: int = 3
     degree: int = 20
     alpha: float = 1.2
@@ -45,6 +44,8 @@ class Settings:
     slack: float = 0.04
     audit: int = 48
     needed_recall: float = 0.995
+    #: queries of the whole table held against all entities of their label
+    audited: int = 200
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,11 +65,31 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     return c
 
 
-def assign(x: np.ndarray, c: np.ndarray, margin: float, most: int) -> np.ndarray:
-    """(vectors, most) centroid numbers, nearest first; -1 where fewer are near enough."""
+def reach(radius: float) -> float:
+    """The largest distance of two unit vectors with this cosine."""
+    return (2 - 2 * radius) ** 0.5
+
+
+def apart(c: np.ndarray, least: float) -> np.ndarray:
+    """Centroids without those nearer than `least` to one kept before: between such, nearly all vectors would go to both."""
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or ((c[kept] - c[i]) ** 2).sum(1).min() > least * least:
+            kept.append(i)
+    return c[kept]
+
+
+def assign(x: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
+    """(vectors, centroids): whether the centroid gets the vector.
+
+    Let x be nearest to c and y to d, with |x - y| <= r. Then (x.c - x.d) + (y.d - y.c) = (x - y).(c - d) <= r |c - d|, and
+    both terms are at least 0, so one is at most r |c - d| / 2. Whoever has that one goes to the other's centroid as well,
+    so every link has a region with both ends.
+    """
     s = x @ c.T
-    top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-    return np.where(np.take_along_axis(s, top, 1) >= s.max(1, keepdims=True) - margin, top, -1)
+    near = s.argmax(1)
+    width = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+    return s.max(1, keepdims=True) - s <= reach(radius) / 2 * width[near] + 1e-4  # single precision
 
 
 def robust_prune(x: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -159,30 +180,36 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: np.ndarray, entries: n
             look(r[at : at + 50_000], node[at : at + 50_000])
 
 
-def links_of(q: np.ndarray, x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, vector, recall in the audit) of all verified pairs with cosine of at least the radius."""
+def links_of(q: np.ndarray, x: np.ndarray, s: Settings, own: np.ndarray, graph: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of all verified pairs with cosine of at least the radius; `own` is the query's own place in x, or -1.
+
+    Without a graph, or where the audit still misses links at eight times the beam, every pair is compared."""
     qf, xf = q.astype(np.float32), x.astype(np.float32)
-    adjacency, entries = build(xf, s)
-    probe = np.unique(np.linspace(0, len(q) - 1, min(s.audit, len(q))).astype(int))
-    truth = q[probe] @ x.T >= s.radius
-    beam, rest = s.beam, np.setdiff1d(np.arange(len(q)), probe)
-    while True:
-        audited = range_search(qf[probe], xf, adjacency, entries, s, beam)
-        recall = (truth & (audited > s.radius - 1e-3)).sum() / max(1, truth.sum())
-        if recall >= s.needed_recall or beam >= len(x):
-            break
-        beam *= 2
+    search = _widened(q, x, qf, xf, s, own) if graph else None
     rows, cols = [], []
-    for part in [probe, *(rest[at : at + 500] for at in range(0, len(rest), 500))]:
-        sims = audited if part is probe else range_search(qf[part], xf, adjacency, entries, s, beam)
+    for at in range(0, len(q), 500):
+        part = np.arange(at, min(at + 500, len(q)))
+        sims = range_search(qf[part], xf, *search) if search else qf[part] @ xf.T
         i, j = np.nonzero(sims > s.radius - 1e-3)
-        for at in range(0, len(i), 200_000):
-            a, b = part[i[at : at + 200_000]], j[at : at + 200_000]
+        for k in range(0, len(i), 200_000):
+            a, b = part[i[k : k + 200_000]], j[k : k + 200_000]
             true = np.einsum("ij,ij->i", q[a], x[b]) >= s.radius
             rows.append(a[true])
             cols.append(b[true])
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *rows]), np.concatenate([empty, *cols]), float(recall)
+    return np.concatenate([empty, *rows]), np.concatenate([empty, *cols])
+
+
+def _widened(q: np.ndarray, x: np.ndarray, qf: np.ndarray, xf: np.ndarray, s: Settings, own: np.ndarray) -> tuple | None:
+    """What `range_search` needs to pass the audit; None if it does not."""
+    adjacency, entries = build(xf, s)
+    probe = np.unique(np.linspace(0, len(q) - 1, min(s.audit, len(q))).astype(int))
+    truth = (q[probe] @ x.T >= s.radius) & (own[probe][:, None] != np.arange(len(x)))
+    for beam in (s.beam, 2 * s.beam, 4 * s.beam, 8 * s.beam):
+        audited = range_search(qf[probe], xf, adjacency, entries, s, beam)
+        if (truth & (audited > s.radius - 1e-3)).sum() >= s.needed_recall * truth.sum():
+            return adjacency, entries, s, beam
+    return None
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,7 +225,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-FOUND = "entity long, vec long, links long, root long, audited long, recall double"
+FOUND = "entity long, vec long, links long, root long"
 
 
 def _search(s: Settings):
@@ -208,8 +235,10 @@ def _search(s: Settings):
         v = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
         qi, xi = np.flatnonzero(asks), np.flatnonzero(holds)
         if not len(qi) or not len(xi):
-            return pd.DataFrame({"entity": [], "vec": [], "links": [], "root": [], "audited": [], "recall": []}).astype({"entity": "int64", "vec": "int64", "links": "int64", "root": "int64", "audited": "int64", "recall": "float64"})
-        a, b, recall = links_of(v[qi], v[xi], s)
+            return pd.DataFrame({"entity": [], "vec": [], "links": [], "root": []}).astype("int64")
+        own = np.full(len(pdf), -1)
+        own[xi] = np.arange(len(xi))
+        a, b = links_of(v[qi], v[xi], s, own[qi], int(pdf["blocks"].iloc[0]) == 1)
         a, b = qi[a], xi[b]
         entity = pdf["entity"].to_numpy(np.int64)
         other = entity[a] != entity[b]
@@ -230,7 +259,6 @@ def _search(s: Settings):
         np.add.at(n, a, weight[b])
         vec = pdf["vec"].to_numpy(np.int64)
         out = pd.DataFrame({"entity": entity, "vec": vec, "links": n, "root": vec[_roots(len(pdf), a, b)]})
-        out["audited"], out["recall"] = min(s.audit, len(qi)), recall
         return out[asks | (out["root"] != out["vec"])]
 
     return run
@@ -242,8 +270,8 @@ def _regions(entities: DataFrame, s: Settings) -> DataFrame:
     done = None
     for level in range(s.levels + 1):
         sized = cut(todo.join(todo.groupBy("region").agg(F.count("*").alias("size")), "region"))
-        ready = sized if level == s.levels else sized.filter(F.col("size") <= s.region)
-        ready = ready.select("entity", "region", "size")
+        columns = ("entity", "region", "size")
+        ready = (sized if level == s.levels else sized.filter(F.col("size") <= s.region)).select(*columns)
         done = ready if done is None else done.unionByName(ready)
         big = sized.filter(F.col("size") > s.region)
         if level == s.levels or big.isEmpty():
@@ -252,11 +280,17 @@ def _regions(entities: DataFrame, s: Settings) -> DataFrame:
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("entity")
             x = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)).astype(np.float32)
-            c = centroids(x, min(256, -(-int(pdf["size"].iloc[0]) * 3 // s.region)))
-            return pd.DataFrame({"region": pdf["region"].iloc[0], "center": list(c)})
+            c = apart(centroids(x, min(256, -(-int(pdf["size"].iloc[0]) * 3 // s.region))), reach(s.radius))
+            copies = assign(x, c, s.radius).sum(1).mean()
+            if copies * copies >= len(c):  # then the regions' pairs are no fewer than the group's
+                c = c[:0]
+            return pd.DataFrame({"region": np.full(len(c), pdf["region"].iloc[0]), "center": pd.Series(list(c), dtype=object)})
 
         chosen = big.filter(F.pmod(F.xxhash64("entity", F.lit(level)), F.col("size")) < s.sample)
         centers = cut(chosen.groupBy("region").applyInPandas(fit, "region long, center array<float>"))
+        split = centers.select("region").distinct()
+        done = done.unionByName(big.join(split, "region", "left_anti").select(*columns))
+        big = big.join(split, "region", "left_semi")
         salted = big.withColumn("salt", F.pmod(F.xxhash64("entity"), F.ceil(F.col("size") / F.lit(float(s.sample)))))
         salts = salted.select("region", "salt").distinct()
 
@@ -265,9 +299,8 @@ def _regions(entities: DataFrame, s: Settings) -> DataFrame:
                 return pd.DataFrame({"entity": [], "embedding": [], "region": [], "child": []})
             near = near.sort_values("rank")
             x = unit(np.stack(vectors["embedding"].to_numpy()).astype(np.float64)).astype(np.float32)
-            at = assign(x, np.stack(near["center"].to_numpy()).astype(np.float32), s.margin, s.most_regions)
-            i, j = np.nonzero(at >= 0)
-            return pd.DataFrame({"entity": vectors["entity"].to_numpy()[i], "embedding": vectors["embedding"].to_numpy()[i], "region": vectors["region"].to_numpy()[i], "child": at[i, j]})
+            i, j = np.nonzero(assign(x, np.stack(near["center"].to_numpy()).astype(np.float32), s.radius))
+            return pd.DataFrame({"entity": vectors["entity"].to_numpy()[i], "embedding": vectors["embedding"].to_numpy()[i], "region": vectors["region"].to_numpy()[i], "child": j})
 
         ranked = centers.join(salts.toDF("of", "part"), F.col("region") == F.col("of")).select("of", "part", "center", F.xxhash64("center").alias("rank"))
         moved = salted.groupBy("region", "salt").cogroup(ranked.groupBy("of", "part")).applyInPandas(place, "entity long, embedding array<float>, region long, child long")
@@ -295,13 +328,34 @@ def _found(vectors: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataF
     return rows, entities, cut(found)
 
 
+def _audit(entities: DataFrame, counted: DataFrame, s: Settings) -> DataFrame:
+    """One row: the share of links found among those that a fixed set of queries has with all entities of its label."""
+    order = F.xxhash64("label", "embedding")
+    asked = entities.select("entity", "label", "embedding").orderBy(order, "vec").limit(s.audited).toPandas()  # `audited` rows
+    asked["width"] = asked["embedding"].map(len)
+    groups = {k: (g["entity"].to_numpy(np.int64), unit(np.stack(g["embedding"].to_numpy()).astype(np.float64))) for k, g in asked.groupby(["label", "width"])}
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, g in pdf.groupby(["label", pdf["embedding"].map(len)]):
+                if k in groups:
+                    ids, q = groups[k]
+                    link = q @ unit(np.stack(g["embedding"].to_numpy()).astype(np.float64)).T >= s.radius
+                    link &= ids[:, None] != g["entity"].to_numpy(np.int64)
+                    yield pd.DataFrame({"entity": ids, "truth": link @ g["weight"].to_numpy(np.int64)})
+
+    truth = entities.select("entity", "label", "embedding", "weight").mapInPandas(links, "entity long, truth long").groupBy("entity").agg(F.sum("truth").alias("truth"))
+    both = truth.join(counted, "entity", "left")
+    return both.agg((F.sum(F.least("truth", F.coalesce("links", F.lit(0)))) / F.nullif(F.sum("truth"), F.lit(0))).alias("audited_recall"))
+
+
 def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id, kept and audited_recall of every row.
 
     Vectors of different lengths or labels never link. Rows that repeat a vec_id are rows of their own for n_links and one
     node for components. Rows with a null vec_id have no links and null component. An empty table gives an empty result;
-    other columns are left out. audited_recall is the share of links found among those of the audited queries, over all
-    regions.
+    other columns are left out. audited_recall is the share of links found among those that a fixed set of queries has with
+    all entities of its label, themselves excepted; null where they have none.
     """
     rows, entities, found = _found(vectors, s)
     counted = found.groupBy("entity").agg(F.sum("links").alias("links"))
@@ -309,7 +363,7 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     mine = rows.filter("embedding is not null").join(weighed, ["label", "embedding"])
     edges = found.select(F.col("vec").alias("a"), F.col("root").alias("b")).unionByName(mine.select(F.col("vec_id").alias("a"), F.col("vec").alias("b")))
     classes = components(edges)
-    audit = found.select("audited", "recall").agg((F.sum(F.col("audited") * F.col("recall")) / F.sum("audited")).alias("audited_recall"))
+    audit = _audit(entities, counted, s)
     out = mine.select("vec_id", "links").unionByName(rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long")).toDF("vec_id", "links"))
     out = out.join(classes, F.col("vec_id") == F.col("node"), "left").crossJoin(F.broadcast(audit))  # one row
     component = F.coalesce("component", "vec_id")

@@ -109,6 +109,29 @@ def test_near_vectors_equal_brute_force(spark):
     assert [(g["n_links"], g["component_id"]) for g in same] == [(2, 3)] * 3
 
 
+def test_every_link_shares_a_region():
+    """A ball of 20,000 and a sparse cloud: both ends of each link meet, at any number of regions; 0.4 % did not with at most 8."""
+    r = np.random.default_rng(0)
+    ball = r.normal(size=64) / 8 + 0.0155 * r.normal(size=(20_000, 64))
+    cloud = r.normal(size=(2000, 64))
+    cloud = np.concatenate([cloud, cloud + 0.12 * r.normal(size=cloud.shape)])
+    for x, k in ((ball, 20), (cloud, 40)):
+        x = near_vectors.unit(x).astype(np.float32)
+        at = near_vectors.assign(x, near_vectors.centroids(x, k), 0.98)
+        a = r.integers(0, len(x), 100_000)
+        b = r.integers(0, len(x), 100_000) if k == 20 else (a + 2000) % 4000
+        link = np.einsum("ij,ij->i", x[a], x[b]) >= 0.98
+        assert link.sum() > 1000 and (at[a] & at[b]).any(1)[link].all()
+
+
+def test_audit_counts_missed_links_over_the_whole_label(spark):
+    """Two vectors link; without the link in what was found, no self-link may hide it."""
+    entities = spark.createDataFrame([(0, "1", [1.0, 0.0], 1, 0), (1, "1", [1.0, 0.01], 2, 1), (2, "1", [0.0, 1.0], 1, 3), (3, "2", [1.0, 0.0], 1, 4)], "entity long, label string, embedding array<float>, weight long, vec long")
+    for links, recall in (((2, 1), 1.0), ((2, 0), 2 / 3), ((0, 0), 0.0)):
+        counted = spark.createDataFrame(list(enumerate(links)), "entity long, links long")
+        assert near_vectors._audit(entities, counted, near_vectors.Settings()).first()[0] == recall
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7)]
