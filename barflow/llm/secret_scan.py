@@ -1,6 +1,7 @@
 """Secrets in documents: candidate strings judged by a random forest trained on labelled findings.
 
-Candidates are tokens that hold a digit, a sign of assignment or a long run of capitals; of an assignment its right side. Each is described by its length and character
+Candidates are the values in tokens that hold a digit, a sign of assignment or a long run of capitals: every issued key, assigned
+value, quoted string, URL parameter and field; and whatever is assigned to a name with a secret word. They never overlap. Each is described by its length and character
 classes, transitions between characters, coverage by dictionary words, its likeness to paths, addresses and numbers, and
 the words around it. The forest removes false positives such as hashes, identifiers, placeholders and phone numbers.
 
@@ -28,6 +29,16 @@ BEFORE, AFTER = 60, 40
 _SIGN = re.compile(r"[0-9=:]|[A-Z]{12}")
 _REST = re.compile(r"\S*")
 _ASSIGNED = re.compile(r"^[\"'({\[<]*([A-Za-z][\w.\-]{1,40})[\"']?(?::=|=>|[=:])[\"'({\[<]*(.*)$", re.S)
+#: a word that may belong to a secret's name, up to the sign of assignment
+_NAMED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|key|access|credential|auth|bearer|private)[\w.\-]{0,40}[\"']?[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}", re.I)
+_VALUE = re.compile(r"\"([^\"\n]{1,400})\"|'([^'\n]{1,400})'|(\S+)")
+_NAME_END = re.compile(r"[A-Za-z][\w.\-]{0,80}$")
+_HEAD = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"']?(?::=|=>|[=:])(?!//)")
+#: where a value ends if another assignment follows, and where fields end
+_NEXT = re.compile(r"[,;&|?#{\[(][\"']?(?=[A-Za-z][\w.\-]{0,40}[\"']?(?::=|=>|[=:]))")
+_FIELD = re.compile(r"[^,;|\"'`()\[\]{}<>]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_LOGIN = re.compile(r"://[^/@:\s]*:([^/@\s]+)@")
 _EDGES = "\"'`()[]{}<>,;."
 _WORDS = re.compile(r"[^\W\d_]+")
 #: fixed values: words that stand at secrets, and words that stand at harmless strings
@@ -38,6 +49,7 @@ DICTIONARY = frozenset(
 )
 #: fixed values: beginnings of issued keys
 _ISSUED = re.compile(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[\w-]{30,}$|^sk_live_[A-Za-z0-9]{16,}$|^eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*$")
+_ISSUED_IN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{30,}|sk_live_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)")
 _UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 _NUMBERS = re.compile(r"^[+\d()./:\-,% ]+$")
 
@@ -51,21 +63,96 @@ class Candidate:
     after: str
 
 
+def _words_of(name: str) -> set[str]:
+    return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+
+
+def _fields(s: str, at: int, name: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the values in `s`, which has no assignment: its issued keys, and what is left between marks."""
+    rest = 0
+    for m in (*_ISSUED_IN.finditer(s), None):
+        end = m.start() if m else len(s)
+        part = s[rest:end]
+        # a value stays whole unless it is a quoted string with more after it, or one field of several
+        if name and not (rest or m) and not _QUOTED.match(part) or "://" in part:
+            yield at + rest, at + end, name
+        else:
+            for f in _FIELD.finditer(part):
+                yield at + rest + f.start(), at + rest + f.end(), name
+        if m:
+            yield at + m.start(), at + m.end(), name
+            rest = m.end()
+
+
+def _values(token: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of every value in a token."""
+    if m := _LOGIN.search(token):
+        yield at + m.start(1), at + m.end(1), "password"
+        token, at = token[m.end() :], at + m.end()
+    marks = [0, *(m.end() for m in _NEXT.finditer(token)), len(token)]
+    for first, last in zip(marks, marks[1:]):
+        part = token[first:last]
+        lead = len(part) - len(part.lstrip("\"'({[<"))
+        if a := _HEAD.match(part, lead):
+            yield from _fields(part[a.end() :], at + first + a.end(), a[1])
+        else:
+            yield from _fields(part, at + first, "")
+
+
+def _assigned(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of every value, of whatever characters, that follows a name with a secret word and ':' or '='."""
+    out, seen = [], 0
+    while m := _NAMED.search(text, seen):
+        seen = m.end()
+        head = re.match(r"[\w.\-]+", m[0])[0]
+        name = _NAME_END.search(text[max(0, m.start() - 40) : m.start()] + head)
+        v = _VALUE.match(text, m.end())
+        if not name or not v or not _words_of(name[0]) & SECRET_WORDS:
+            continue
+        k = v.lastindex
+        if k < 3:
+            out.append((v.start(k), v.end(k), name[0]))
+            seen = v.end()
+            continue
+        value = v[3]
+        cut = _NEXT.search(value)
+        parts = list(_fields(value[: cut.start()] if cut else value, v.start(3), name[0]))
+        out += parts
+        seen = max(seen, parts[-1][1] if parts else 0)
+    return out
+
+
 def candidates(text: str) -> list[Candidate]:
     """Candidate strings with their start (in code points) and what stands around them."""
-    out, seen = [], 0
+    spans = _assigned(text)
+    # what the rest of a token gives, where nothing is assigned to a secret's name
+    taken, k, seen, more = spans, 0, 0, []
     while m := _SIGN.search(text, seen):
         first = m.start()
         while first > 0 and not text[first - 1].isspace():
             first -= 1
         last = seen = _REST.match(text, m.end()).end()
-        token, name, at = text[first:last], "", first
-        if a := _ASSIGNED.match(token):
-            name, at, token = a[1], first + a.start(2), a[2]
-        left = len(token) - len(token.lstrip(_EDGES))
-        value = token.strip(_EDGES)
+        while k < len(taken) and taken[k][1] <= first:
+            k += 1
+        j, at = k, first
+        while j < len(taken) and taken[j][0] < last:
+            if at < taken[j][0]:
+                more += _values(text[at : taken[j][0]], at)
+            at = max(at, taken[j][1])
+            j += 1
+        if at < last:
+            more += _values(text[at:last], at)
+    out = []
+    for start, end, name in sorted(spans + more):
+        value = text[start:end]
+        left = len(value) - len(value.lstrip(_EDGES))
+        value = value.strip(_EDGES)
         if len(value) >= LEAST:
-            out.append(Candidate(at + left, value, name, text[max(0, first - BEFORE) : first], text[last : last + AFTER]))
+            first = start
+            while first > max(0, start - 200) and not text[first - 1].isspace():
+                first -= 1
+            last = _REST.match(text, end).end() if end - start < 4000 else end
+            out.append(Candidate(start + left, value, name, text[max(0, first - BEFORE) : first], text[last : last + AFTER]))
     return out
 
 
@@ -102,12 +189,12 @@ def features(c: Candidate) -> list[float]:
     kinds = [_kind(x) for x in s]
     letters = [x in _VOWELS for x in s if x.isalpha()]
     around = [w.lower() for w in _WORDS.findall(c.before)[-3:] + _WORDS.findall(c.after)[:2]]
-    names = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", c.name)}
+    names = _words_of(c.name)
     runs = [len(x) for x in _WORDS.findall(s)]
     return [
-        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, _entropy(s[:200]),
+        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, _entropy(s),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum({a, b} in ({0, 1}, {0, 2}) for a, b in zip(kinds, kinds[1:])) / n,
-        sum(a != b for a, b in zip(letters, letters[1:])) / max(1, len(letters)), _covered(s[:200]),
+        sum(a != b for a, b in zip(letters, letters[1:])) / max(1, len(letters)), _covered(s),
         s.count("/") + s.count("\\"), s.count("."), float("@" in s), float(bool(_NUMBERS.match(s))), float(bool(names & SECRET_WORDS)),
         float(any(w in SECRET_WORDS for w in around)), float(any(w in BENIGN_WORDS for w in (*around, *names))), float(bool(c.name)),
         float(c.before.rstrip()[-1:] in "=:" and bool(c.before.strip())), float(all(x in "0123456789abcdefABCDEF" for x in s)), float(bool(_UUID.match(s))), float(bool(_ISSUED.match(s))), max(runs, default=0),
@@ -142,6 +229,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"sk_live_{draw(mixed, 24, 32)}",
         lambda: f"eyJ{draw(mixed, 20, 40)}.eyJ{draw(mixed, 30, 60)}.{draw(mixed, 30, 43)}",
         lambda: f"Bearer {with_digit(draw(mixed, 24, 48))}",
+        lambda: f'{r.choice(keys)} = "{"-".join(prose(1) for _ in range(3))}-{prose(1)}"',
+        lambda: f"{r.choice(keys)}: {prose(1).capitalize()}{r.choice('!$%&+')}{prose(2).replace(' ', '').capitalize()}{r.choice(filler)}",
     ]
     harmless = [
         lambda: f"{r.choice(['commit', 'sha', 'checksum', 'md5', 'digest', 'revision'])} {draw(hexes, 32, 40)}",
@@ -157,6 +246,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"version={r.choice('123456789')}.{draw(digits, 1, 2)}.{draw(digits, 1, 4)}-release",
         lambda: f"{prose(1)}:{prose(1).replace(' ', '')}{prose(1)}",
         lambda: f"{prose(1)}{prose(1)}{draw(digits, 1, 2)}",
+        lambda: f"{r.choice(keys)}: {prose(3).replace(' ', '')}",
         lambda: f"order {draw(upper, 2, 3)}-{draw(digits, 5, 8)}",
         lambda: f"{r.choice(['width', 'page', 'name', 'class', 'size'])}={prose(1)}{prose(1)}{draw(digits, 0, 2)}",
         lambda: f"{prose(6).replace(' ', '')[: r.randint(12, 24)].upper()}{r.choice(['', '!!', ',', '.'])}",
