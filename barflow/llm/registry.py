@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barflow.llm import row_queries, text_queries
+from barflow.llm import row_queries, text_queries, vector_queries
 
-MODULES = [text_queries, row_queries]
+MODULES = [text_queries, row_queries, vector_queries]
 
 
 def all_queries():

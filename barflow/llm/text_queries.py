@@ -80,7 +80,8 @@ link AS (
   WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
 ), reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
-       e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept, 1.0::DOUBLE AS audited_recall
+       e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept,
+       CASE WHEN EXISTS (SELECT 1 FROM link) THEN 1.0::DOUBLE END AS audited_recall
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = e.vec_id
 LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = e.vec_id
 """
