@@ -1,17 +1,40 @@
-"""The sequential steps: inclusion merge, strokes, segments and zones of one ordered series.
+"""The sequential steps: inclusion merge and strokes of one ordered series.
 
 These rules depend on the previous decision, so they are folds. A fold sees the bars of a series one by one, in
 order, from a Spark-sorted partition; it keeps the merged bars since the last stroke end, and the strokes.
-Everything that can be said with joins and windows afterwards (attributes, strengths, points) is left to Spark.
+Everything that can be said with joins and windows afterwards (segments, zones, attributes, points) is left to Spark.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 UP, DOWN, FLAT = 1, -1, 0
 
 
+class Stroke(NamedTuple):
+    """A stroke, the raw bars at its ends with their ranges, its first and last bar, and its first and last merged bar."""
+
+    pos: int
+    up: bool
+    begin: float
+    end: float
+    high: float
+    low: float
+    sure: bool
+    used: bool
+    a_bar: int
+    a_low: float
+    a_high: float
+    b_bar: int
+    b_low: float
+    b_high: float
+    first_bar: int
+    last_bar: int
+    ref_a: int
+    ref_b: int
+
+
 class Merged:
     """A run of bars folded into one range. `hi_bar` and `lo_bar` are the last members touching the range."""
 
@@ -48,17 +71,6 @@ def relation(high: float, low: float, h: float, l: float) -> int:
     return FLAT
 
 
-class Line:
-    """A stroke, or a segment seen as a line of the next level."""
-
-    __slots__ = ("pos", "up", "high", "low", "begin", "end", "sure", "used", "owner", "a", "b", "ref_a", "ref_b")
-
-    def __init__(self, pos, up, begin, end, high, low, sure, used, a=None, b=None, ref_a=None, ref_b=None):
-        self.pos, self.up, self.begin, self.end, self.high, self.low = pos, up, begin, end, high, low
-        self.sure, self.used, self.owner = sure, used, 0
-        self.a, self.b, self.ref_a, self.ref_b = a, b, ref_a, ref_b
-
-
 class StrokeFold:
     """Bars in, merged bars and strokes out."""
 
@@ -227,513 +239,18 @@ class StrokeFold:
         out, self.ends = self.ends, saved
         return out
 
-    def strokes(self) -> list[Line]:
+    def strokes(self) -> list[Stroke]:
         out = []
         for n, (p, q, sure, used) in enumerate(self._tail()):
             up = p.fx == DOWN
             begin, end = (p.low, q.high) if up else (p.high, q.low)
             a = (p.lo_bar, p.low, p.lo_high) if up else (p.hi_bar, p.hi_low, p.high)
             b = (q.hi_bar, q.hi_low, q.high) if up else (q.lo_bar, q.low, q.lo_high)
-            out.append(Line(n, up, begin, end, max(begin, end), min(begin, end), sure, used, a, b, p, q))
+            out.append(Stroke(n, up, begin, end, max(begin, end), min(begin, end), sure, used, *a, *b, p.first, q.last, p.pos, q.pos))
         return out
 
-
-# ---- segments -------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Element:
-    """Lines folded by inclusion; `up` is the folding direction."""
-
-    lines: list[Line]
-    up: bool
-    high: float = 0.0
-    low: float = 0.0
-
-    def __post_init__(self) -> None:
-        self.high, self.low = self.lines[0].high, self.lines[0].low
-
-    def absorb(self, x: Line) -> None:
-        self.lines.append(x)
-        if x.high == x.low and (x.high == self.high if self.up else x.low == self.low):
-            return
-        pick = max if self.up else min
-        self.high, self.low = pick(self.high, x.high), pick(self.low, x.low)
-
-    def contains(self, x: Line) -> bool:
-        return self.high >= x.high and self.low <= x.low
-
-    def inside(self, x: Line) -> bool:
-        return self.high <= x.high and self.low >= x.low
-
-
-class Trio:
-    """Three elements of the lines running against a segment, looking for the turn that ends it."""
-
-    def __init__(self, lines: list[Line], up: bool):
-        self.all, self.up = lines, up
-        self.real_break = True
-        self.proof_sure = False
-        self.clear()
-
-    def clear(self) -> None:
-        self.e: list[Element] = []
-        self.seen: list[Line] = []
-        self.gap = False
-
-    def at(self, pos: int) -> Line | None:
-        return self.all[pos] if pos < len(self.all) else None
-
-    def add(self, x: Line) -> bool:
-        queue = [x]
-        while queue:
-            x = queue.pop(0)
-            self.seen.append(x)
-            step = self._place(x)
-            if step == "turn":
-                return True
-            if step == "restart":
-                queue = self.seen[1:] + queue
-                self.clear()
-        return False
-
-    def _place(self, x: Line) -> str:
-        if not self.e:
-            self.e.append(Element([x], self.up))
-            return ""
-        first = self.e[0]
-        if len(self.e) == 1:
-            if first.contains(x):
-                first.absorb(x)
-                return ""
-            self.e.append(Element([x], self.up))
-            return "restart" if (x.high < first.high if self.up else x.low > first.low) else ""
-        mid = self.e[1]
-        self.proof_sure = x.used
-        # x is down in an up segment: equal tops do not merge there, nor equal bottoms in a down segment
-        level = mid.inside(x) and (
-            (self.up and mid.high == x.high and mid.low > x.low) or (not self.up and mid.low == x.low and mid.high < x.high)
-        )
-        if mid.contains(x) or (mid.inside(x) and not level):
-            mid.absorb(x)
-            return ""
-        self.e.append(Element([x], x.high > mid.high))
-        if not self._breaks():
-            return "restart"
-        if self.up:
-            turn = first.high < mid.high and x.high <= mid.high and x.low < mid.low
-            self.gap = turn and first.high < mid.low
-        else:
-            turn = first.low > mid.low and x.low >= mid.low and x.high > mid.high
-            self.gap = turn and first.low > mid.high
-        return "turn" if turn else "restart"
-
-    def _breaks(self) -> bool:
-        """Whether the third element really leaves the second, or a later line proves it, or it is still open."""
-        mid, x = self.e[1], self.e[2].lines[0]
-        if (x.low < mid.lines[-1].low) if self.up else (x.high > mid.lines[-1].high):
-            return True
-        one, two, three = (self.at(x.pos + k) for k in (1, 2, 3))
-        if two is not None:
-            if (two.low < x.low) if not x.up else (two.high > x.high):
-                self.proof_sure = two.used
-                return True
-            if not two.used or three is None:
-                self.real_break = False
-                return True
-            return False
-        if one is not None and ((one.high > mid.high) if self.up else (one.low < mid.low)):
-            return False
-        self.real_break = False
-        return True
-
-    def turn_line(self) -> int:
-        """Position of the last line of the segment that ends at this turn."""
-        mid = self.e[1]
-        hit = [x.pos for x in mid.lines if (x.high == mid.high if self.up else x.low == mid.low)]
-        return hit[-1] - 1
-
-    def ends(self) -> bool | None:
-        """True: the segment ends here; None: undecided up to the last line."""
-        if not self.gap:
-            return True if self.real_break else None
-        begin = self.turn_line() + 2
-        inner = Trio(self.all, not self.all[begin].up)
-        for x in self.all[begin::2]:
-            if inner.add(x):
-                verdict = inner.ends() if inner.real_break else None
-                if verdict:
-                    proof = inner.e[2].lines[-1]
-                    self.proof_sure = proof.used and inner.proof_sure
-                return verdict
-        return None
-
-    def all_sure(self) -> bool:
-        return all(x.used for x in self.seen) and self.proof_sure
-
-
-@dataclass
-class Segment:
-    pos: int
-    a: int
-    b: int
-    up: bool
-    sure: bool
-    why: str
-
-
-@dataclass
-class SegmentFinder:
-    lines: list[Line]
-    algo: str = "chan"
-    left: str = "peak"
-    out: list[Segment] = field(default_factory=list)
-
-    def run(self) -> list[Segment]:
-        if not self.lines:
-            return []
-        if self.algo == "chan":
-            self._confirmed()
-            self._leftover()
-        elif self.algo == "1+1":
-            self._one_plus_one()
-        else:
-            self._breaks()
-        return self.out
-
-    # -- confirmed segments from turns --
-
-    def _confirmed(self) -> None:
-        begin: int | None = 0
-        while begin is not None and begin < len(self.lines):
-            begin = self._next_turn(begin)
-
-    def _next_turn(self, begin: int) -> int | None:
-        ups, downs = Trio(self.lines, True), Trio(self.lines, False)
-        last_up = self.out[-1].up if self.out else None
-        for x in self.lines[begin:]:
-            turn = None
-            if not x.up and last_up is not True:
-                turn = ups if ups.add(x) else None
-            elif x.up and last_up is not False:
-                turn = downs if downs.add(x) else None
-            if not self.out:
-                # the first segment's direction is taken by the side that first shows a second element
-                if len(ups.e) > 1 and not x.up:
-                    last_up = False
-                    downs.clear()
-                elif len(downs.e) > 1 and x.up:
-                    last_up = True
-                    ups.clear()
-                if len(ups.e) < 2 and last_up is False and not x.up:
-                    last_up = None
-                elif len(downs.e) < 2 and last_up is True and x.up:
-                    last_up = None
-            if turn is not None:
-                verdict, end = turn.ends(), turn.turn_line()
-                added = self.add(end, sure=bool(verdict) and turn.all_sure())
-                return end + 1 if verdict or not added else None
-        return None
-
-    def add(self, end: int, sure: bool, up: bool | None = None, split: bool = True, why: str = "turn") -> bool:
-        L = self.lines
-        if not self.out and split and end >= 3:
-            peak = self.peak(L[end - 3 :: -1], not L[end].up)
-            if peak is not None and (
-                peak.pos == 0 or (peak.high > L[0].high if peak.up else peak.low < L[0].low)
-            ):
-                self.add(peak.pos, False, peak.up, split=False, why="split_first")
-                self.add(end, False, why="split_second")
-                return True
-        a = self.out[-1].b + 1 if self.out else 0
-        up = L[end].up if up is None else up
-        sure = sure and end - a >= 2
-        wrong = L[a].begin > L[end].end if up else L[a].begin < L[end].end
-        if sure and wrong:
-            if not self.out:
-                return False
-            sure = False
-        self.out.append(Segment(len(self.out), a, end, up, sure, why))
-        return True
-
-    def peak(self, lines: list[Line], high: bool) -> Line | None:
-        """Extreme end among lines of that direction that is not below its own predecessor's end."""
-        best = None
-        for x in lines:
-            if x.up != high or (best is not None and (x.end < best.end if high else x.end > best.end)):
-                continue
-            if x.pos >= 2:
-                before = self.lines[x.pos - 2].end
-                if before > x.end if high else before < x.end:
-                    continue
-            best = x
-        return best
-
-    # -- unconfirmed rest --
-
-    def _leftover(self) -> None:
-        L = self.lines
-        if not self.out:
-            self._first()
-            return
-        self._rest()
-        if len(self.out) > 1 and L[-1].pos - self.out[-1].b > 2 and not self.out[-1].sure:
-            self.out.pop()
-            self._rest()
-
-    def _first(self) -> None:
-        L = self.lines
-        if len(L) < 3:
-            return
-        if self.left == "all":
-            self.add(L[-1].pos, False, L[-1].end >= L[0].begin, split=False, why="first_all")
-            return
-        high = max(x.high for x in L) - L[0].begin
-        low = min(x.low for x in L) - L[0].begin
-        up = abs(high) >= abs(low)
-        peak = self.peak(L, up)
-        if peak is not None:
-            self.add(peak.pos, False, up, split=False, why="first_peak")
-            self._as_one()
-
-    def _as_one(self) -> None:
-        L, e = self.lines, self.out[-1].b
-        if e + 1 < len(L):
-            self.add(L[-1].pos - (1 if L[e].up == L[-1].up else 0), False, why="rest")
-
-    def _rest(self) -> None:
-        L = self.lines
-        while True:
-            e, last = L[self.out[-1].b], L[-1]
-            if last.pos - e.pos < 3:
-                return
-            beyond = last.end >= e.end if e.up else last.end <= e.end
-            if beyond:
-                peak = self.peak(L[e.pos + 3 :], not e.up)
-                if peak is None:
-                    return
-                self.add(peak.pos, False, not e.up, why="rest_forced")
-                self._leftover()
-                return
-            if self.left == "all":
-                self._as_one()
-                return
-            grown = False
-            while True:
-                e = L[self.out[-1].b]
-                peak = self.peak(L[e.pos + 3 :], not e.up)
-                if peak is None or peak.pos - e.pos < 3:
-                    break
-                self.add(peak.pos, False, not e.up, why="rest_peak")
-                grown = True
-            self._as_one()
-            return
-
-    # -- the two older rules --
-
-    def _one_plus_one(self) -> None:
-        L = self.lines
-        base = L[0]
-        for n in range(2, len(L) - 2):
-            x, before, after = L[n], L[n - 2], L[n + 2]
-            if self.out and x.up != L[self.out[-1].b].up:
-                continue
-            if (L[n - 1].high < base.low) if not x.up else (L[n - 1].low > base.high):
-                continue
-            if self.out and n - self.out[-1].b < 4:
-                continue
-            if x.up:
-                lower = x.high < before.high and after.low > x.low and after.high > x.high
-                higher = x.high > before.high and after.low > x.low and after.high > before.high
-                hit = lower or higher
-            else:
-                inner = x.low > before.low and after.high < x.high and after.low < x.low
-                outer = x.low < before.low and after.high < x.high and after.low < before.low
-                hit = inner or outer
-            if hit:
-                self.add(n - 1, True)
-                base = x
-        if self.out:
-            seg, last = self.out[-1], L[self.out[-1].b]
-            best = last
-            for x in L[last.pos + 1 :]:
-                if x.up == last.up and (x.high > best.high if x.up else x.low < best.low):
-                    best = x
-            if best is not last:
-                seg.b, seg.sure = best.pos, False
-            e = L[seg.b]
-            if any((x.high > e.high if e.up else x.low < e.low) for x in L[e.pos + 1 :]):
-                far = None
-                for x in L[e.pos + 3 :]:
-                    if x.up != e.up and (far is None or (x.low < far.low if e.up else x.high > far.high)):
-                        far = x
-                if far is not None:
-                    self.add(far.pos, False)
-        self._leftover()
-
-    def _breaks(self) -> None:
-        L = self.lines
-        peak: Line | None = None
-        for x in L[2:]:
-            if peak is not None and x.up == peak.up and (x.high >= peak.high if x.up else x.low <= peak.low):
-                peak = x
-                continue
-            before = L[x.pos - 2]
-            if not (x.high > before.high if x.up else x.low < before.low):
-                continue
-            if peak is None:
-                if not self.out or x.up != self.out[-1].up:
-                    peak = x
-            elif peak.up != x.up and x.pos - peak.pos > 2:
-                self.add(peak.pos, True)
-                peak = x
-        if peak is not None:
-            self.add(peak.pos, False)
-        self._leftover()
-
-
-def as_lines(segments: list[Segment], strokes: list[Line]) -> list[Line]:
-    """Segments as lines of the next level; their range is read from the bars at both ends."""
-    out = []
-    for s in segments:
-        p, q = strokes[s.a], strokes[s.b]
-        (_, a_low, a_high), (_, b_low, b_high) = p.a, q.b
-        high, low = (b_high, a_low) if s.up else (a_high, b_low)
-        out.append(Line(s.pos, s.up, p.begin, q.end, high, low, s.sure, s.sure, p.a, q.b, s.a, s.b))
-    return out
-
-
-def assign(lines: list[Line], segments: list[Segment]) -> None:
-    """Owner segment of every line; the rest gets the number after the last segment."""
-    for x in lines:
-        x.owner = len(segments)
-    for s in segments:
-        for x in lines[s.a : s.b + 1]:
-            x.owner = s.pos
-
-
-# ---- zones ----------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Zone:
-    a: Line
-    b: Line
-    low: float
-    high: float
-    peak_low: float
-    peak_high: float
-    sure: bool
-    parts: list[tuple[int, int, float, float]] = field(default_factory=list)
-
-    @property
-    def single(self) -> bool:
-        return self.a.pos == self.b.pos
-
-    def meets(self, x: Line) -> bool:
-        return x.high > self.low and self.high > x.low
-
-    def take(self, x: Line) -> None:
-        if self.single:
-            self.low, self.high = max(self.a.low, x.low), min(self.a.high, x.high)
-        self.b = x
-        self.peak_low, self.peak_high = min(self.peak_low, x.low), max(self.peak_high, x.high)
-
-
-@dataclass
-class ZoneFinder:
-    lines: list[Line]
-    segments: list[Segment]
-    conf: object
-    zones: list[Zone] = field(default_factory=list)
-    loose: list[Line] = field(default_factory=list)
-
-    def run(self) -> list[Zone]:
-        how, L, S = self.conf.zs_algo, self.lines, self.segments
-        if how == "normal":
-            for s in S:
-                self._inside(L[s.a : s.b + 1], s.up, s.sure)
-            if S:
-                self._inside(L[S[-1].b + 1 :], not S[-1].up, False)
-        elif how == "over_seg":
-            for x in L:
-                self._free_running(x)
-        else:
-            any_sure, met = any(s.sure for s in S), False
-            for s in S:
-                met = met or s.sure
-                if s.sure or (any_sure and not met):
-                    self._inside(L[s.a : s.b + 1], s.up, s.sure)
-                else:
-                    self.loose = []
-                    for x in L[s.a :]:
-                        self._free_running(x)
-                    break
-        return self.zones
-
-    def _inside(self, lines: list[Line], up: bool, sure: bool) -> None:
-        """Zones from the lines running against a segment; its first one never extends an older zone."""
-        self.loose = []
-        for n, x in enumerate(y for y in lines if y.up != up):
-            if n and not self.loose and self.zones and self.zones[-1].meets(x):
-                self.zones[-1].take(x)
-                self._fuse()
-            else:
-                self._collect(x, sure, crossing=False)
-
-    def _free_running(self, x: Line) -> None:
-        if self.zones and not self.loose:
-            z = self.zones[-1]
-            near = x.pos - z.b.pos <= 1
-            if x.pos + 1 >= len(self.lines):
-                return
-            if near and z.meets(self.lines[x.pos + 1]) and z.meets(x):
-                z.take(x)
-                return
-            if near and z.meets(x):
-                return
-        self._collect(x, x.sure, crossing=True)
-
-    def _collect(self, x: Line, sure: bool, crossing: bool) -> None:
-        if self.loose and self.loose[-1].pos == x.pos:
-            self.loose.pop()
-        self.loose.append(x)
-        if crossing:
-            if len(self.loose) < 3:
-                return
-            pick = self.loose[-3:]
-            owner = pick[0].owner
-            if owner < len(self.segments) and self.segments[owner].up == pick[0].up:
-                return
-        elif self.conf.one_bi_zs:
-            pick = self.loose
-        else:
-            if len(self.loose) == 1:
-                return
-            pick = self.loose[-2:]
-        low, high = max(y.low for y in pick), min(y.high for y in pick)
-        if high > low and pick[0].pos > 0:
-            self.zones.append(
-                Zone(pick[0], pick[-1], low, high, min(y.low for y in pick), max(y.high for y in pick), sure)
-            )
-            self.loose = []
-            self._fuse()
-
-    def _fuse(self) -> None:
-        while self.conf.zs_combine and len(self.zones) >= 2:
-            p, q = self.zones[-2:]
-            if q.single or p.a.owner != q.a.owner:
-                return
-            if self.conf.zs_combine_mode == "zs":
-                near = q.high >= p.low and p.high >= q.low
-            else:
-                near = q.peak_high > p.peak_low and p.peak_high > q.peak_low
-            if not near:
-                return
-            if not p.parts:
-                p.parts.append((p.a.pos, p.b.pos, p.low, p.high))
-            p.parts.append((q.a.pos, q.b.pos, q.low, q.high))
-            p.low, p.high = min(p.low, q.low), max(p.high, q.high)
-            p.peak_low, p.peak_high = min(p.peak_low, q.peak_low), max(p.peak_high, q.peak_high)
-            p.b = q.b
-            self.zones.pop()
+    def settle(self) -> int:
+        """Forget the strokes that no later bar can change, and return how many they were."""
+        n = len(self.ends) - 2 if self.conf.bi_allow_sub_peak else 0
+        del self.ends[: max(n, 0)]
+        return max(n, 0)

@@ -7,17 +7,18 @@ so the longest series is bounded by the calendar at its level, not by the amount
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.structure.config import StructureConfig
-from barflow.operators.structure.kernel import (
-    SegmentFinder, StrokeFold, ZoneFinder, as_lines, assign,
-)
+from barflow.operators.structure.kernel import StrokeFold
+from barflow.operators.structure.segments import ENDS, owned, segments
+from barflow.operators.structure.zones import zones
 from barflow.session import cut
 
 BATCH = 20000
@@ -35,24 +36,23 @@ LINES = [
     ("last_bar", "int"), ("owner", "int"), ("peak_high", "double"), ("peak_low", "double"), ("reason", "string"),
     ("n_lines", "int"), ("parts", "array<struct<begin:int,end:int,low:double,high:double>>"),
 ]
-ARROW = {
-    "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
-    "array<struct<begin:int,end:int,low:double,high:double>>": pa.list_(
-        pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
-    ),
-}
+STROKES = [
+    ("symbol", "string"), ("pos", "int"), ("up", "boolean"), ("begin", "double"), ("end", "double"), ("high", "double"), ("low", "double"),
+    ("sure", "boolean"), ("used", "boolean"), *((c, "int" if c.endswith("bar") else "double") for c in ENDS), ("ref_a", "int"), ("ref_b", "int"),
+]
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def ddl(cols: list[tuple[str, str]]) -> str:
     return ", ".join(f"{n} {t}" for n, t in cols)
 
 
-def _emit(cols: list[tuple[str, str]], rows: list[tuple]) -> pa.RecordBatch:
+def emit(cols: list[tuple[str, str]], rows: list[tuple]) -> pa.RecordBatch:
     data = list(zip(*rows)) if rows else [()] * len(cols)
     return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(data, cols)], [n for n, _ in cols])
 
 
-def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, float, float]]:
+def series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, float, float]]:
     for b in batches:
         yield from zip(*(b.column(c).to_pylist() for c in ("symbol", "idx", "high", "low")))
 
@@ -66,48 +66,17 @@ def _merged_rows(symbol: str, fold: StrokeFold) -> list[tuple]:
     return rows
 
 
-def _line_rows(symbol: str, fold: StrokeFold, conf: StructureConfig) -> list[tuple]:
-    strokes = fold.strokes()
-    segments = SegmentFinder(strokes, conf.seg_algo, conf.left_seg_method).run()
-    assign(strokes, segments)
-    zones = ZoneFinder(strokes, segments, conf).run()
-    seg_lines = as_lines(segments, strokes)
-    grand = SegmentFinder(seg_lines, conf.seg_algo, conf.left_seg_method).run()
-    assign(seg_lines, grand)
-    seg_zones = ZoneFinder(seg_lines, grand, conf).run()
-    rows: list[tuple] = []
-
-    def line(kind, x, first, last, ref_a, ref_b, reason=None, n=None):
-        rows.append((symbol, kind, x.pos, 1 if x.up else -1, x.sure, x.used, ref_a, ref_b, x.a[0], x.b[0], x.begin,
-                     x.end, x.high, x.low, first, last, x.owner, None, None, reason, n, None))
-
-    for x in strokes:
-        line("stroke", x, x.ref_a.first, x.ref_b.last, x.ref_a.pos, x.ref_b.pos)
-    for s, x in zip(segments, seg_lines):
-        line("segment", x, strokes[s.a].ref_a.first, strokes[s.b].ref_b.last, s.a, s.b, s.why, s.b - s.a + 1)
-    for s in grand:
-        p, q = seg_lines[s.a], seg_lines[s.b]
-        x = as_lines([s], seg_lines)[0]
-        line("segseg", x, p.a[0], q.b[0], s.a, s.b, s.why, s.b - s.a + 1)
-    for kind, found in (("zone", zones), ("segzone", seg_zones)):
-        for n, z in enumerate(found):
-            rows.append((symbol, kind, n, None, z.sure, None, z.a.pos, z.b.pos, z.a.a[0], z.b.b[0], None, None,
-                         z.high, z.low, None, None, z.a.owner, z.peak_high, z.peak_low, None, z.b.pos - z.a.pos + 1,
-                         [dict(zip(("begin", "end", "low", "high"), p)) for p in z.parts]))
-    return rows
-
-
 def _fold(conf: StructureConfig, merged: bool):
-    cols = MERGED if merged else LINES
+    cols = MERGED if merged else STROKES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, fold, out = None, None, []
 
         def close() -> None:
             if fold is not None:
-                out.extend(_merged_rows(symbol, fold) if merged else _line_rows(symbol, fold, conf))
+                out.extend(_merged_rows(symbol, fold) if merged else [(symbol, *s) for s in fold.strokes()])
 
-        for sym, idx, high, low in _series(batches):
+        for sym, idx, high, low in series(batches):
             if sym != symbol:
                 close()
                 symbol, fold = sym, StrokeFold(conf, keep_merged=merged)
@@ -119,15 +88,15 @@ def _fold(conf: StructureConfig, merged: bool):
                 out.extend(_merged_rows(symbol, fold))
                 fold.done = tail
             if len(out) >= BATCH:
-                yield _emit(cols, out)
+                yield emit(cols, out)
                 out.clear()
         close()
-        yield _emit(cols, out)
+        yield emit(cols, out)
 
     return run
 
 
-def _sorted_bars(bars: DataFrame) -> DataFrame:
+def sorted_bars(bars: DataFrame) -> DataFrame:
     """Four columns, two partitions per core: the fold is CPU-bound and holds little, so cores set the count."""
     n = 2 * bars.sparkSession.sparkContext.defaultParallelism
     return (
@@ -138,7 +107,7 @@ def _sorted_bars(bars: DataFrame) -> DataFrame:
 
 
 def merged_bars(bars: DataFrame, conf: StructureConfig | None = None) -> DataFrame:
-    return _sorted_bars(bars).mapInArrow(_fold(conf or StructureConfig(), merged=True), ddl(MERGED))
+    return sorted_bars(bars).mapInArrow(_fold(conf or StructureConfig(), merged=True), ddl(MERGED))
 
 
 @dataclass
@@ -192,11 +161,48 @@ class Structure:
         return self._zones("segzone")
 
 
+def stroke_lines(bars: DataFrame, conf: StructureConfig) -> DataFrame:
+    return sorted_bars(bars).mapInArrow(_fold(conf, merged=False), ddl(STROKES))
+
+
+def _as_rows(kind: str, reason: bool) -> list[Column]:
+    n = (F.col("ref_b") - F.col("ref_a") + 1) if reason else F.lit(None)
+    given = {
+        "kind": F.lit(kind), "idx": F.col("pos"), "dir": F.when(F.col("up"), 1).otherwise(-1), "is_sure": F.col("sure"), "used_sure": F.col("used"), "begin_ref": F.col("ref_a"),
+        "end_ref": F.col("ref_b"), "begin_bar": F.col("a_bar"), "end_bar": F.col("b_bar"), "begin_val": F.col("begin"), "end_val": F.col("end"),
+        "reason": F.col("why") if reason else F.lit(None), "n_lines": n,
+    }
+    same = {c: F.col(c) for c in ("symbol", "high", "low", "first_bar", "last_bar", "owner")}
+    return _row(given | same)
+
+
+def _zone_rows(x: DataFrame, kind: str) -> DataFrame:
+    given = {"kind": F.lit(kind), "is_sure": F.col("sure"), "begin_ref": F.col("begin"), "end_ref": F.col("end"), "n_lines": F.col("end") - F.col("begin") + 1}
+    return x.select(*_row(given | {c: F.col(c) for c in ("symbol", "idx", "begin_bar", "end_bar", "low", "high", "peak_low", "peak_high", "owner", "parts")}))
+
+
+def _row(given: dict) -> list[Column]:
+    return [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in LINES]
+
+
+def lines_of(strokes: DataFrame, conf: StructureConfig) -> DataFrame:
+    """Strokes with their segments, the segments of these, and the zones of both; `strokes` is read several times."""
+    segs = segments(strokes, conf.seg_algo, conf.left_seg_method)
+    grand = segments(segs, conf.seg_algo, conf.left_seg_method)
+    own, own_segs = owned(strokes, segs), owned(segs, grand)
+    parts = [
+        own.select(*_as_rows("stroke", False)), own_segs.select(*_as_rows("segment", True)),
+        grand.withColumns({"owner": F.lit(0), "first_bar": F.col("a_bar"), "last_bar": F.col("b_bar")}).select(*_as_rows("segseg", True)),
+        _zone_rows(zones(own, segs, conf), "zone"), _zone_rows(zones(own_segs, grand, conf), "segzone"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def build(bars: DataFrame, conf: StructureConfig | None = None, keep: bool = True) -> Structure:
-    """Run the fold once. The line table is a small fraction of the bars and is read by many branches, so it is
-    written to the checkpoint folder by default."""
+    """Strokes by the fold, the rest by Spark steps. The line table is a small fraction of the bars and is read by many
+    branches, so it is written to the checkpoint folder by default."""
     conf = conf or StructureConfig()
-    lines = _sorted_bars(bars).mapInArrow(_fold(conf, merged=False), ddl(LINES))
+    lines = lines_of(cut(stroke_lines(bars, conf)), conf)
     return Structure(bars, cut(lines) if keep else lines, conf)
 
 

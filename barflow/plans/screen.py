@@ -33,8 +33,10 @@ def top_zones(zones: DataFrame) -> DataFrame:
 
 
 def summary(s: S.Structure, points: DataFrame, bars: DataFrame, zone_pick: str = "highest", min_bars: int = 30) -> DataFrame:
-    """Per symbol: price, last point, zone text, position and counts. Short series report no signal."""
-    price = bars.groupBy("symbol").agg(F.max_by("close", "idx").alias("price"), F.count("*").alias("n_bars"))
+    """Per symbol: price, last point, zone text, position and counts. Short series report no signal.
+
+    `bars` may be a table of (symbol, price, n_bars) instead."""
+    price = bars if "n_bars" in bars.columns else bars.groupBy("symbol").agg(F.max_by("close", "idx").alias("price"), F.count("*").alias("n_bars"))
     zones = top_zones(s.zones).groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.when(F.col("from_top") <= 2, F.struct("low", "high")))).alias("top"),
         F.max(F.struct("low", "high")).alias("highest"),

@@ -88,9 +88,10 @@ def model_or_rule(spark, sf):
     return TR.model_or_rule(saved_model(spark, sf), x).select("symbol", "day", "score", "origin")
 
 
-@query("stm02_replay")
-def replay(spark, sf):
-    return TR.replay(T.walk_bars(spark, sf)).select("symbol", "end", "price", "is_buy", "types", "zs", "position", "signal")
+@query("stm02_window_signals")
+def window_signals(spark, sf):
+    """What each trailing window of the training set showed at its end."""
+    return TR.window_signals(T.walk_bars(spark, sf)).select("symbol", "end", "price", "is_buy", "types", "zs", "position", "signal")
 
 
 def folder(spark) -> str:

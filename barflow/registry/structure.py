@@ -1,4 +1,4 @@
-"""STR rows: merged bars, fractals, strokes, segments, zones, strengths and points."""
+"""STR rows and STM-02: merged bars, fractals, strokes, segments, zones, strengths, points and what was known after each bar."""
 
 from __future__ import annotations
 
@@ -137,6 +137,56 @@ STROKE_SQL = (
 )
 
 
+# The strokes shown after each bar: the confirmed ones, and what the newest merged bars make of the last one.
+REPLAY_SQL = STROKE_SQL + """,
+        told AS (SELECT st.symbol, m.first_bar AS t, st.stroke AS s, st.a, st.b FROM st JOIN f ON f.symbol = st.symbol AND f.k = st.k JOIN merged m ON m.symbol = f.symbol AND m.mb_idx = f.mb_idx + 1),
+        now AS (
+          SELECT g.symbol, g.idx AS t, g.mb, g.h, g.l, g.dir AS mdir, g.hi_bar, g.lo_bar,
+                 last_value(told.s IGNORE NULLS) OVER w AS s, last_value(told.a IGNORE NULLS) OVER w AS a, last_value(told.b IGNORE NULLS) OVER w AS b
+          FROM mg g LEFT JOIN told ON told.symbol = g.symbol AND told.t = g.idx WINDOW w AS (PARTITION BY g.symbol ORDER BY g.idx)),
+        e AS MATERIALIZED (
+          SELECT n.*, fa.mb_idx AS a_mb, fb.mb_idx AS b_mb, fb.fractal = 'top' AS up, fb.high AS eh, fb.low AS el, least(fb.pl, fb.low, fb.nl) AS near_low, greatest(fb.ph, fb.high, fb.nh) AS near_high,
+                 CASE WHEN fb.fractal = 'top' THEN h >= fb.high ELSE l <= fb.low END AS beyond
+          FROM now n JOIN f fa ON fa.symbol = n.symbol AND fa.k = n.a JOIN f fb ON fb.symbol = n.symbol AND fb.k = n.b),
+        cand AS (
+          SELECT e.symbol, e.t, m.mb_idx, CASE WHEN m.mb_idx = e.mb THEN e.h ELSE m.high END AS mh, CASE WHEN m.mb_idx = e.mb THEN e.l ELSE m.low END AS ml,
+                 CASE WHEN m.mb_idx = e.mb THEN e.hi_bar ELSE m.hi_bar END AS mhi, CASE WHEN m.mb_idx = e.mb THEN e.lo_bar ELSE m.lo_bar END AS mlo
+          FROM e JOIN merged m ON m.symbol = e.symbol AND m.mb_idx BETWEEN e.b_mb + 4 AND e.mb WHERE NOT e.beyond AND m.dir = CASE WHEN e.up THEN -1 ELSE 1 END),
+        late AS (
+          SELECT c.symbol, c.t, max(c.mb_idx) AS mb_idx, arg_max(CASE WHEN e.up THEN ml ELSE mh END, c.mb_idx) AS v, arg_max(CASE WHEN e.up THEN mlo ELSE mhi END, c.mb_idx) AS bar
+          FROM cand c JOIN e ON e.symbol = c.symbol AND e.t = c.t JOIN merged p ON p.symbol = c.symbol AND p.mb_idx = c.mb_idx - 1 JOIN fm ON fm.symbol = c.symbol
+          WHERE CASE WHEN e.up THEN e.eh > greatest(mh, p.high) AND ml < near_low AND list_min(lows[e.b_mb + 2 : c.mb_idx]) >= ml
+                     ELSE e.el < least(ml, p.low) AND mh > near_high AND list_max(highs[e.b_mb + 2 : c.mb_idx]) <= mh END
+          GROUP BY c.symbol, c.t),
+        ends AS (SELECT symbol, mb_idx, high, low, hi_bar, lo_bar FROM merged),
+        shown AS (
+          SELECT e.symbol, s AS idx, t, CASE WHEN up THEN 1 ELSE -1 END AS dir, NOT beyond AS is_sure, a_mb AS begin_mb, CASE WHEN beyond THEN mb ELSE b_mb END AS end_mb,
+                 CASE WHEN up THEN x.lo_bar ELSE x.hi_bar END AS begin_bar, CASE WHEN beyond THEN CASE WHEN up THEN e.hi_bar ELSE e.lo_bar END WHEN up THEN y.hi_bar ELSE y.lo_bar END AS end_bar,
+                 CASE WHEN up THEN x.low ELSE x.high END AS begin_val, CASE WHEN beyond THEN CASE WHEN up THEN h ELSE l END WHEN up THEN eh ELSE el END AS end_val, false AS stays
+          FROM e JOIN ends x ON x.symbol = e.symbol AND x.mb_idx = a_mb JOIN ends y ON y.symbol = e.symbol AND y.mb_idx = b_mb
+          UNION ALL
+          SELECT e.symbol, s + 1, e.t, CASE WHEN up THEN -1 ELSE 1 END, false, b_mb, late.mb_idx, CASE WHEN up THEN y.hi_bar ELSE y.lo_bar END, late.bar, CASE WHEN up THEN eh ELSE el END, late.v, false
+          FROM e JOIN late ON late.symbol = e.symbol AND late.t = e.t JOIN ends y ON y.symbol = e.symbol AND y.mb_idx = b_mb
+          UNION ALL
+          SELECT sb.symbol, sb.idx, z.t, sb.dir, true, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, true
+          FROM sb JOIN (SELECT symbol, s, min(t) AS t FROM told GROUP BY symbol, s) z ON z.symbol = sb.symbol AND z.s = sb.idx + 1),
+        island AS (
+          SELECT *, t - row_number() OVER (PARTITION BY symbol, idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val ORDER BY t) AS run FROM shown),
+        latest AS (SELECT symbol, max(idx) AS last FROM bars GROUP BY symbol)
+SELECT i.symbol, i.idx::INTEGER AS idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, min(t) AS from_bar, CASE WHEN bool_or(stays) OR max(t) = any_value(last) THEN NULL ELSE max(t) END AS to_bar
+FROM island i JOIN latest ON latest.symbol = i.symbol GROUP BY i.symbol, i.idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, run
+"""
+
+
+@query("stm02_replay", recursive(REPLAY_SQL))
+def replay(spark, sf):
+    """Every stroke version with the bars after which it was shown, for every bar of every series."""
+    v = S.stroke_versions(T.walk_bars(spark, sf)).select("*", F.when(F.col("up"), 1).otherwise(-1).alias("dir"))
+    named = {"is_sure": "sure", "begin_mb": "ref_a", "end_mb": "ref_b", "begin_bar": "a_bar", "end_bar": "b_bar", "begin_val": "begin", "end_val": "end"}
+    v = v.select("symbol", "pos", "dir", *[F.col(old).alias(new) for new, old in named.items()], "from_bar", "to_bar")
+    return S.compact(v, ["dir", *named]).withColumnRenamed("pos", "idx")
+
+
 @query("str08_strokes", recursive(STROKE_SQL + " SELECT * FROM sk"))
 def strokes(spark, sf):
     """All strokes but the last confirmed one, whose end the unconfirmed tail may move. The merged bar after an

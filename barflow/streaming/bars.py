@@ -81,13 +81,11 @@ def _advance(conf: StructureConfig) -> Callable:
             last = ts
             fold.push(int(bar), float(high), float(low))
         rows = [
-            (key[0], "stroke", base + x.pos, 1 if x.up else -1, x.sure, x.ref_a.pos, x.ref_b.pos, x.a[0], x.b[0], x.begin, x.end) for x in fold.strokes()
+            (key[0], "stroke", base + x.pos, 1 if x.up else -1, x.sure, x.ref_a, x.ref_b, x.a_bar, x.b_bar, x.begin, x.end) for x in fold.strokes()
         ]
         if late:
             rows.append((key[0], "late", late, None, None, None, None, None, None, None, None))
-        done = max(0, len(fold.ends) - 2)  # only the last stroke can still change
-        if conf.bi_allow_sub_peak and done:
-            fold.ends, base = fold.ends[done:], base + done
+        base += fold.settle()
         state.update((pickle.dumps((fold, base, last)),))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in STROKES.split(", ")])
 

@@ -53,21 +53,38 @@ def test_replace_tail(spark):
     assert {tuple(r) for r in ST.replace_tail(old, new).collect()} == {("a", 0, "x"), ("a", 1, "y"), ("a", 2, "y"), ("b", 0, "x")}
 
 
-def test_windows_hold_the_bars_before_their_end(bars):
-    w = TR.named(TR.trailing_windows(bars.select("symbol", "idx", "day"), first=200, step=50, size=300))
-    g = w.groupBy("symbol", "end").agg(F.count("*").alias("n"), F.max("idx").alias("top"), F.min("idx").alias("low"))
-    assert g.filter("n <> least(end, 300) OR top <> n - 1 OR low <> 0").count() == 0
-    last = bars.groupBy("symbol").agg(F.max("idx").alias("m"))
-    assert w.join(last, "symbol").filter("end > m").count() == 0
-
-
-def test_replay_does_not_look_ahead(spark, bars):
-    """The summary of a window equals the summary of the bars cut off at its end."""
-    full = TR.replay(bars, first=300, step=100, size=400).filter("end = 400")
-    cut = TR.replay(bars.filter("idx <= 400"), first=300, step=100, size=400).filter("end = 400")
-    pick = ["symbol", "price", "types", "zs", "position"]
-    assert sorted(map(tuple, full.select(pick).collect())) == sorted(map(tuple, cut.select(pick).collect()))
-    assert full.count() > 0
+def test_window_strokes_equal_a_fold_of_each_window(bars):
+    from barflow.operators.structure.kernel import StrokeFold
+
+    b = bars.filter("symbol in ('1', '4')")
+    got = {}
+    for r in S.window_strokes(b, S.StructureConfig(), first=200, step=5, size=300).orderBy("pos").collect():
+        got.setdefault(r.symbol, []).append(tuple(r)[1:])
+    n_windows = 0
+    for symbol in ("1", "4"):
+        rows = b.filter(F.col("symbol") == symbol).orderBy("idx").select("idx", "high", "low").collect()
+        for end in range(200, len(rows), 5):
+            f = StrokeFold(S.StructureConfig())
+            for r in rows[max(0, end - 300) : end]:
+                f.push(r.idx, r.high, r.low)
+            assert got.get(f"{symbol}@{end}", []) == [tuple(s) for s in f.strokes()]
+            n_windows += 1
+    assert len(got) == n_windows > 60
+
+
+def test_window_signals_do_not_look_ahead(bars):
+    """The summary of a window equals the one of its bars alone."""
+    from barflow.operators import indicators as ind
+    from barflow.operators.structure import points as P
+    from barflow.plans import screen
+
+    pick = ["symbol", "price", "types", "zs", "position", "stroke_cnt"]
+    some = TR.window_signals(bars, first=300, step=100, size=400).filter("end = 400")
+    part = ind.macd(bars).filter("idx < 400")
+    s = S.build(part, S.StructureConfig.from_dict(S.config.SCREEN))
+    alone = screen.summary(s, P.stroke_points(s, part), part)
+    assert sorted(map(tuple, some.select(pick).collect())) == sorted(map(tuple, alone.join(some.select("symbol"), "symbol").select(pick).collect()))
+    assert some.count() > 5
 
 
 def test_training_round_trip(spark, bars, tmp_path):
