@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.session import spread
-
-PATTERN_SLICE = 200_000
+from barflow.session import cut
 
 
 def asof_last(left: DataFrame, right: DataFrame, on: str, value: str, width: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -38,70 +31,72 @@ def asof_last(left: DataFrame, right: DataFrame, on: str, value: str, width: int
     )
 
 
-SHORT = 4  # patterns up to this length match so often that counting them one by one is cheaper
-
+# ---- containment ------------------------------------------------------------------------------------------------
 
-def _scan(patterns: list[str]):
-    """A matcher for all patterns at once: non-overlapping counts of (pattern, n) in a text."""
-    import ahocorasick
+PIECES = r"\S+|\s+"  # a text is a row of words and of the blanks between them
+GRAM = 3
 
-    short = [p for p in patterns if len(p) <= SHORT]
-    auto = ahocorasick.Automaton()
-    for n, p in enumerate(patterns):
-        if len(p) > SHORT:
-            auto.add_word(p, (n, len(p)))
-    if len(auto):
-        auto.make_automaton()
 
-    def count(text: str) -> list[tuple[str, int]]:
-        out = [(p, text.count(p)) for p in short if p in text]
-        found: dict[int, int] = {}
-        free: dict[int, int] = {}
-        for end, (n, size) in auto.iter(text) if len(auto) else ():
-            if end - size + 1 >= free.get(n, 0):
-                found[n] = found.get(n, 0) + 1
-                free[n] = end + 1
-        return out + [(patterns[n], c) for n, c in found.items()]
+def _grams(c: Column, n: int) -> Column:
+    """Distinct stretches of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
 
-    return count
 
+def _occurrences(text: Column, pattern: Column) -> Column:
+    """Non-overlapping occurrences."""
+    return ((F.length(text) - F.length(F.replace(text, pattern, F.lit("")))) / F.length(pattern)).cast("int")
 
-_SCANNERS: dict = {}
 
+def words_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, word, cnt): every word and every run of blanks of a text with its count."""
+    return docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("cnt"))
 
-def _scanner(name: str, shared):
-    """One matcher per worker process and pattern list; the last few are kept."""
-    if name not in _SCANNERS:
-        while len(_SCANNERS) >= 4:
-            _SCANNERS.pop(next(iter(_SCANNERS)))
-        _SCANNERS[name] = _scan(shared.value)
-    return _SCANNERS[name]
 
+def pieces_in_words(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(piece, word, n): every distinct piece (no blank inside, or blanks only) in every distinct word that holds it.
 
-def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "text", limit: int = PATTERN_SLICE) -> DataFrame:
-    """(key, pattern, n): which patterns occur in which text, and how often.
-
-    Texts are read whole and only once per slice of patterns, whatever the number of patterns in it. The patterns
-    are the small side; their number is counted first and more than `limit` of them are handled in several slices.
+    A piece is anchored at its rarest stretch of up to three characters and meets the words by equality on that stretch; only
+    then is it looked for.
+    """
+    size = F.least(F.length("piece"), F.lit(GRAM))
+    by_size = lambda c, n: F.when(F.length(c) >= n, _grams(F.col(c), n)).otherwise(F.array().cast("array<string>"))
+    wanted = pieces.select("piece", F.explode(F.when(size == 1, by_size("piece", 1)).when(size == 2, by_size("piece", 2)).otherwise(by_size("piece", GRAM))).alias("gram"))
+    grams = words.select("word", F.explode(F.concat(*[by_size("word", n) for n in range(1, GRAM + 1)])).alias("gram"))
+    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    common = grams.groupBy("gram").agg(F.count("*").alias("words"))
+    # a piece with a stretch that no word has is nowhere
+    ranked = wanted.join(common, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram")).alias("a"))
+    anchors = ranked.filter("a.words > 0").select("piece", F.col("a.gram").alias("gram"))
+    met = grams.join(anchors, "gram").filter(F.contains(F.col("word"), F.col("piece")))
+    return met.select("piece", "word", _occurrences(F.col("word"), F.col("piece")).alias("n"))
+
+
+def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pattern, n): which patterns occur in which text, and how often without overlap. `key` is unique.
+
+    Texts are taken apart into words once. A pattern without blanks inside lies in a single word, so it is sought in the
+    distinct words and counted through them. A longer one contains whole words; the texts with its rarest whole word (or, where
+    it has none, with its longest piece) are the candidates, and the pattern is confirmed in their text. Patterns are joined, never
+    collected, so there may be any number of them. Empty patterns and null texts give nothing.
     """
-    distinct = patterns.select(F.col(patterns.columns[0]).alias("pattern")).filter("pattern <> ''").distinct()
-    slices = max(1, math.ceil(distinct.count() / limit))
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, pattern string, n int"
-    out: DataFrame | None = None
-    for s in range(slices):
-        words = [r[0] for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == s).collect()]
-        shared, name = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            count = _scanner(name, shared) if shared.value else None
-            for b in batches:
-                keys, pats, ns = [], [], []
-                for k, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist()):
-                    for p, c in count(t) if t and count else ():
-                        keys.append(k), pats.append(p), ns.append(c)
-                cols = [pa.array(keys, b.schema.field(key).type), pa.array(pats, pa.string()), pa.array(ns, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, [key, "pattern", "n"])
-
-        part = spread(docs.select(key, text)).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = patterns.select(F.col(patterns.columns[0]).alias("pattern")).filter("pattern <> ''").distinct()
+    p = p.withColumn("pieces", F.regexp_extract_all("pattern", F.lit(PIECES), F.lit(0)))
+    words = cut(words_of(docs, key, text))
+    vocabulary = cut(words.groupBy("word").agg(F.count("*").alias("texts")))
+    count = F.size("pieces")
+    is_word = lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""
+    phrases = p.filter(count > 1).withColumn("whole", F.array_distinct(F.filter(F.slice("pieces", 2, F.greatest(count - 2, F.lit(0))), is_word)))
+    longest = F.array_max(F.transform("pieces", lambda x: F.struct(is_word(x).alias("word"), F.length(x).alias("n"), x.alias("x"))))["x"]
+    pieces = p.select("pattern", F.when(count == 1, F.col("pattern")).otherwise(longest).alias("piece"), (count == 1).alias("alone"))
+    sought = pieces.join(phrases.filter("size(whole) > 0").select("pattern"), "pattern", "left_anti")
+    found = cut(pieces_in_words(sought.select("piece").distinct(), vocabulary.select("word")))
+    alone = sought.filter("alone").select("pattern").join(found, F.col("pattern") == F.col("piece"))
+    single = words.join(alone.select("pattern", "word", "n"), "word").groupBy(key, "pattern").agg(F.sum(F.col("n") * F.col("cnt")).cast("int").alias("n"))
+
+    # every whole word of a phrase must be known; the one in the fewest texts leads to them
+    lead = phrases.select("pattern", F.size("whole").alias("need"), F.explode("whole").alias("word")).join(vocabulary, "word")
+    lead = lead.groupBy("pattern", "need").agg(F.count("*").alias("known"), F.min_by("word", "texts").alias("word")).filter("known = need").select("pattern", "word")
+    loose = sought.filter("NOT alone").select("pattern", "piece").join(found.select("piece", "word"), "piece").select("pattern", "word")
+    candidates = words.select(key, "word").join(lead.unionByName(loose), "word").select(key, "pattern").distinct()
+    confirmed = candidates.join(docs.select(key, F.col(text).alias("_text")), key).filter(F.contains(F.col("_text"), F.col("pattern")))
+    return single.unionByName(confirmed.select(key, "pattern", _occurrences(F.col("_text"), F.col("pattern")).alias("n")))

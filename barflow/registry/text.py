@@ -18,7 +18,7 @@ def terms_sql(col: str, n: int) -> str:
 
 
 def docs(spark, sf):
-    return T.load(spark, sf, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("title"))
+    return T.load(spark, sf, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
 
 
 def kb_queries(spark, sf):
@@ -30,7 +30,7 @@ QUERY = """q AS (SELECT item_id AS qid, text AS query FROM benchmark)"""
 TERMS = f"""tk AS (SELECT qid, unnest({terms_sql('query', 3)}) AS t FROM q),
 qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, t AS term FROM tk UNION ALL SELECT qid, regexp_replace(t, 's+$', '') FROM tk WHERE length(t) > 3) WHERE term <> '')
 """
-SCORES = """d AS (SELECT doc_id, text, lower(substr(text, 1, 40)) AS title, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS hay FROM documents),
+SCORES = """d AS (SELECT doc_id, text, lower(split_part(text, chr(10), 1)) AS title, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS hay FROM documents),
 dt AS MATERIALIZED (SELECT doc_id, term, contains(title, term) AS in_title, (length(hay) - length(replace(hay, term, ''))) // length(term) AS cnt FROM d JOIN (SELECT DISTINCT term FROM qt) ON contains(hay, term)),
 parts AS (SELECT qid, doc_id, least(cnt, 8) * (2.0 + least(length(term), 8)) * CASE WHEN in_title THEN 2.5 ELSE 1.0 END AS s FROM dt JOIN qt USING (term)
   UNION ALL SELECT qid, doc_id, 80 + least(length(trim(lower(query))), 40) FROM q JOIN d ON contains(hay, trim(lower(query))) WHERE trim(lower(query)) <> ''),
@@ -307,7 +307,7 @@ def heading_offsets(spark, sf):
     return K.heading_offsets(heads, t, p.select("book", "page", pos.alias("pos")))
 
 
-KG = CONCEPTS + """, dc AS (SELECT doc_id, doc_id % 50 + 1 AS page, title, list(DISTINCT concept) AS concepts FROM (SELECT doc_id, substr(text, 1, 40) AS title, text FROM documents) JOIN concepts ON contains(text, keyword) GROUP BY 1, 2, 3),
+KG = CONCEPTS + """, dc AS (SELECT doc_id, doc_id % 50 + 1 AS page, title, list(DISTINCT concept) AS concepts FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title, text FROM documents) JOIN concepts ON contains(text, keyword) GROUP BY 1, 2, 3),
 cp AS (SELECT DISTINCT concept, length(keyword) AS page FROM concepts)
 """
 

@@ -1,10 +1,8 @@
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import text as X
-from barflow.operators.joins import _scan, asof_last, find_patterns
+from barflow.operators.joins import asof_last, find_patterns
 from barflow.plans import knowledge as K
 
 
@@ -35,18 +33,31 @@ def test_windows_cut_and_cover():
     assert X.cut_windows("  short ") == [(0, 5, "short")]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("ab", max_size=60), st.lists(st.text("ab", min_size=1, max_size=7), min_size=1, max_size=8, unique=True))
-def test_all_patterns_are_counted_without_overlap(text, patterns):
-    assert dict(_scan(patterns)(text)) == {p: text.count(p) for p in patterns if p in text}
-
-
-def test_find_patterns_in_slices(spark):
-    docs = spark.createDataFrame([(1, "the cat"), (2, "a dog and a cat"), (3, "")], "id int, text string")
-    pats = spark.createDataFrame([("cat",), ("a ",), ("dog and",), ("absent",)], "p string")
-    want = {(1, "cat", 1), (2, "cat", 1), (2, "a ", 2), (2, "dog and", 1)}
-    for limit in (1, 2, 100):
-        assert {tuple(r) for r in find_patterns(docs, pats, "id", limit=limit).collect()} == want
+def test_find_patterns_equals_a_plain_search(spark):
+    """Patterns inside words, across words, at their edges, of blanks only, overlapping themselves, and absent ones."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
+    texts = ["".join(word() + r.choice([" ", " ", "  ", "\n", "\t "]) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    texts += [None, "", " ", "aaaa aaaa", "ab" * 5000 + " " + "c" * 4000, "the cat", "a dog and a cat", "é中枢 中枢买点é"]
+    patterns = [t[i : i + n] for t in texts if t for n in (1, 2, 3, 5, 9, 25) for i in [r.randrange(max(1, len(t) - n))]]
+    patterns += ["cat", "a ", "dog and", "absent", "aa", "  ", " ", "", "bb\tbb nothere cc", "中枢", "枢 中", "é", None, "cat "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = find_patterns(docs, spark.createDataFrame([(p,) for p in patterns], "p string"), "id").collect()
+    want = {(i, p, t.count(p)) for i, t in enumerate(texts) if t for p in set(patterns) if p and p in t}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 500
+    assert find_patterns(docs, spark.createDataFrame([], "p string"), "id").count() == 0
+    assert find_patterns(docs.limit(0), spark.createDataFrame([("a",)], "p string"), "id").count() == 0
+
+
+def test_many_patterns_are_not_collected(spark):
+    """A hundred thousand patterns meet the texts by joins: the plan holds no Python step, and the matches are right."""
+    docs = spark.range(200).select(F.col("id"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") * 7).cast("string")).alias("text"))
+    many = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") * 7).cast("string")).alias("p"))
+    got = find_patterns(docs, many, "id")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.pattern, r.n) for r in got.collect()} >= {(i, f"w{i} x{7 * i}", 1) for i in range(200)}
 
 
 def test_asof(spark):
