@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import math
 
-from barflow.session import cut
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def asof_last(left: DataFrame, right: DataFrame, on: str, value: str, width: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -33,70 +34,83 @@ def asof_last(left: DataFrame, right: DataFrame, on: str, value: str, width: int
 
 # ---- containment ------------------------------------------------------------------------------------------------
 
-PIECES = r"\S+|\s+"  # a text is a row of words and of the blanks between them
-GRAM = 3
-
-
-def _grams(c: Column, n: int) -> Column:
-    """Distinct stretches of n characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
-
+SLICE = 100_000  # patterns a task holds
+SHARD = 16_000_000  # characters of text a task holds
 
-def _occurrences(text: Column, pattern: Column) -> Column:
-    """Non-overlapping occurrences."""
-    return ((F.length(text) - F.length(F.replace(text, pattern, F.lit("")))) / F.length(pattern)).cast("int")
 
+class Matcher:
+    """Counts patterns in texts through the words of the texts.
 
-def words_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, word, cnt): every word and every run of blanks of a text with its count."""
-    return docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("cnt"))
-
-
-def pieces_in_words(pieces: DataFrame, words: DataFrame) -> DataFrame:
-    """(piece, word, n): every distinct piece (no blank inside, or blanks only) in every distinct word that holds it.
-
-    A piece is anchored at its rarest stretch of up to three characters and meets the words by equality on that stretch; only
-    then is it looked for.
+    A pattern without blanks inside lies in a single word, so a word's patterns are those among its stretches, worked out once
+    per distinct word. A longer pattern is looked for where its longest piece was found.
     """
-    size = F.least(F.length("piece"), F.lit(GRAM))
-    by_size = lambda c, n: F.when(F.length(c) >= n, _grams(F.col(c), n)).otherwise(F.array().cast("array<string>"))
-    wanted = pieces.select("piece", F.explode(F.when(size == 1, by_size("piece", 1)).when(size == 2, by_size("piece", 2)).otherwise(by_size("piece", GRAM))).alias("gram"))
-    grams = words.select("word", F.explode(F.concat(*[by_size("word", n) for n in range(1, GRAM + 1)])).alias("gram"))
-    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    common = grams.groupBy("gram").agg(F.count("*").alias("words"))
-    # a piece with a stretch that no word has is nowhere
-    ranked = wanted.join(common, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram")).alias("a"))
-    anchors = ranked.filter("a.words > 0").select("piece", F.col("a.gram").alias("gram"))
-    met = grams.join(anchors, "gram").filter(F.contains(F.col("word"), F.col("piece")))
-    return met.select("piece", "word", _occurrences(F.col("word"), F.col("piece")).alias("n"))
-
-
-def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pattern, n): which patterns occur in which text, and how often without overlap. `key` is unique.
-
-    Texts are taken apart into words once. A pattern without blanks inside lies in a single word, so it is sought in the
-    distinct words and counted through them. A longer one contains whole words; the texts with its rarest whole word (or, where
-    it has none, with its longest piece) are the candidates, and the pattern is confirmed in their text. Patterns are joined, never
-    collected, so there may be any number of them. Empty patterns and null texts give nothing.
+
+    def __init__(self, patterns: list[str]):
+        self.alone: dict[str, int] = {}
+        self.anchored: dict[str, list[int]] = {}
+        self.blank: list[int] = []
+        self.patterns = patterns
+        for n, p in enumerate(patterns):
+            pieces = p.split()
+            if not pieces:
+                self.blank.append(n)
+            elif pieces[0] == p:
+                self.alone[p] = n
+            else:
+                self.anchored.setdefault(max(pieces, key=len), []).append(n)
+        self.sizes = sorted({len(p) for p in (*self.alone, *self.anchored)})
+        self.known: dict[str, tuple[list[tuple[int, int]], list[int]]] = {}
+
+    def _word(self, word: str) -> tuple[list[tuple[int, int]], list[int]]:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        parts = {word[i : i + n] for n in self.sizes if n <= len(word) for i in range(len(word) - n + 1)}
+        counts = [(self.alone[s], word.count(s)) for s in parts & self.alone.keys()]
+        leads = [n for s in parts & self.anchored.keys() for n in self.anchored[s]]
+        self.known[word] = counts, leads
+        return counts, leads
+
+    def count(self, text: str) -> dict[int, int]:
+        out: dict[int, int] = {}
+        leads: set[int] = set()
+        words: dict[str, int] = {}
+        for w in text.split():
+            words[w] = words.get(w, 0) + 1
+        for w, times in words.items():
+            counts, more = self.known.get(w) or self._word(w)
+            for n, c in counts:
+                out[n] = out.get(n, 0) + c * times
+            leads.update(more)
+        for n in (*leads, *self.blank):
+            c = text.count(self.patterns[n])
+            if c:
+                out[n] = c
+        return out
+
+
+def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str = "text", slice_: int = SLICE, shard: int = SHARD) -> DataFrame:
+    """(key, pattern, n): which patterns occur in which text, and how often without overlap.
+
+    Shards of texts meet slices of patterns, each bounded, so any number of both can be matched; usually there is one slice, and
+    texts are read once. Patterns travel by the shuffle and are never collected. Empty patterns and null texts give nothing.
     """
     p = patterns.select(F.col(patterns.columns[0]).alias("pattern")).filter("pattern <> ''").distinct()
-    p = p.withColumn("pieces", F.regexp_extract_all("pattern", F.lit(PIECES), F.lit(0)))
-    words = cut(words_of(docs, key, text))
-    vocabulary = cut(words.groupBy("word").agg(F.count("*").alias("texts")))
-    count = F.size("pieces")
-    is_word = lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""
-    phrases = p.filter(count > 1).withColumn("whole", F.array_distinct(F.filter(F.slice("pieces", 2, F.greatest(count - 2, F.lit(0))), is_word)))
-    longest = F.array_max(F.transform("pieces", lambda x: F.struct(is_word(x).alias("word"), F.length(x).alias("n"), x.alias("x"))))["x"]
-    pieces = p.select("pattern", F.when(count == 1, F.col("pattern")).otherwise(longest).alias("piece"), (count == 1).alias("alone"))
-    sought = pieces.join(phrases.filter("size(whole) > 0").select("pattern"), "pattern", "left_anti")
-    found = cut(pieces_in_words(sought.select("piece").distinct(), vocabulary.select("word")))
-    alone = sought.filter("alone").select("pattern").join(found, F.col("pattern") == F.col("piece"))
-    single = words.join(alone.select("pattern", "word", "n"), "word").groupBy(key, "pattern").agg(F.sum(F.col("n") * F.col("cnt")).cast("int").alias("n"))
-
-    # every whole word of a phrase must be known; the one in the fewest texts leads to them
-    lead = phrases.select("pattern", F.size("whole").alias("need"), F.explode("whole").alias("word")).join(vocabulary, "word")
-    lead = lead.groupBy("pattern", "need").agg(F.count("*").alias("known"), F.min_by("word", "texts").alias("word")).filter("known = need").select("pattern", "word")
-    loose = sought.filter("NOT alone").select("pattern", "piece").join(found.select("piece", "word"), "piece").select("pattern", "word")
-    candidates = words.select(key, "word").join(lead.unionByName(loose), "word").select(key, "pattern").distinct()
-    confirmed = candidates.join(docs.select(key, F.col(text).alias("_text")), key).filter(F.contains(F.col("_text"), F.col("pattern")))
-    return single.unionByName(confirmed.select(key, "pattern", _occurrences(F.col("_text"), F.col("pattern")).alias("n")))
+    slices = max(1, math.ceil(p.count() / slice_))
+    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / shard))
+    # long texts are dealt out by their own hash, so that they spread however the keys do
+    left = docs.filter(F.length(text) > 0).select(key, F.col(text).alias("_text"), F.pmod(F.xxhash64(text, key), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    right = p.select("pattern", F.pmod(F.xxhash64("pattern"), F.lit(slices)).cast("int").alias("_slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    kind = docs.schema[key].dataType
+
+    def match(texts: pa.Table, found: pa.Table) -> pa.Table:
+        matcher = Matcher(found["pattern"].to_pylist() if texts.num_rows else [])
+        rows, which, ns = [], [], []
+        for r, t in enumerate(texts["_text"].to_pylist() if found.num_rows else ()):
+            for n, c in matcher.count(t).items():
+                rows.append(r), which.append(n), ns.append(c)
+        keys = texts[key].take(pa.array(rows, pa.int64()))
+        return pa.table({key: keys, "pattern": pa.array(matcher.patterns, pa.string()).take(pa.array(which, pa.int64())), "n": pa.array(ns, pa.int32())})
+
+    schema = f"{key} {kind.simpleString()}, pattern string, n int"
+    return left.groupBy("_shard", "_slice").cogroup(right.groupBy("_shard", "_slice")).applyInArrow(match, schema)

@@ -40,7 +40,7 @@ def test_find_patterns_equals_a_plain_search(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
     texts = ["".join(word() + r.choice([" ", " ", "  ", "\n", "\t "]) for _ in range(r.randint(0, 60))) for _ in range(60)]
-    texts += [None, "", " ", "aaaa aaaa", "ab" * 5000 + " " + "c" * 4000, "the cat", "a dog and a cat", "é中枢 中枢买点é"]
+    texts += [None, "", " ", "\x1c\x85\u3000wide\u2003blank", "aaaa aaaa", "ab" * 5000 + " " + "c" * 4000, "the cat", "a dog and a cat", "é中枢 中枢买点é"]
     patterns = [t[i : i + n] for t in texts if t for n in (1, 2, 3, 5, 9, 25) for i in [r.randrange(max(1, len(t) - n))]]
     patterns += ["cat", "a ", "dog and", "absent", "aa", "  ", " ", "", "bb\tbb nothere cc", "中枢", "枢 中", "é", None, "cat "]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -51,13 +51,16 @@ def test_find_patterns_equals_a_plain_search(spark):
     assert find_patterns(docs.limit(0), spark.createDataFrame([("a",)], "p string"), "id").count() == 0
 
 
-def test_many_patterns_are_not_collected(spark):
-    """A hundred thousand patterns meet the texts by joins: the plan holds no Python step, and the matches are right."""
+def test_a_million_patterns_in_slices(spark):
+    """Patterns are joined in bounded slices, and matches do not depend on how many slices and shards there are."""
     docs = spark.range(200).select(F.col("id"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") * 7).cast("string")).alias("text"))
-    many = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") * 7).cast("string")).alias("p"))
-    got = find_patterns(docs, many, "id")
-    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
-    assert {(r.id, r.pattern, r.n) for r in got.collect()} >= {(i, f"w{i} x{7 * i}", 1) for i in range(200)}
+    many = spark.range(1_000_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") * 7).cast("string")).alias("p"))
+    got = {(r.id, r.pattern, r.n) for r in find_patterns(docs, many, "id").collect()}
+    # "w1 x7" lies in "w1 x7" only, "w1 x7" followed by a digit in longer ones
+    assert got >= {(i, f"w{i} x{7 * i}", 1) for i in range(200)}
+    few = many.limit(300)
+    want = sorted(map(tuple, find_patterns(docs, few, "id").collect()))
+    assert want and sorted(map(tuple, find_patterns(docs, few, "id", slice_=40, shard=500).collect())) == want
 
 
 def test_asof(spark):
