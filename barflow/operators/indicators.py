@@ -7,12 +7,14 @@ Every value at bar t uses bars up to t only.
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.scan import SERIES, Axis, Recur, gridded, recur, ungridded
+from barflow.operators.scan import SUB, SERIES, Axis, Recur, gridded, recur, ungridded
 
 TINY = 1e-10
 
@@ -353,35 +355,45 @@ def kdj(df: DataFrame, axis: Axis = SERIES, n: int = 9) -> DataFrame:
     return ungridded(df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("_rsv"), outer)
 
 
-def filter_gains(delta: float, vt: float, steps: int) -> list[float]:
-    """Gains of the filter; they depend on the step only and settle after a few steps."""
-    p, gains = 1.0, [0.0]
-    for _ in range(steps):
-        g = (p + vt) / (p + vt + delta)
-        p = (1 - g) * (p + vt)
-        gains.append(g)
-    return gains
+def filter_constants(delta: float, vt: float, p0: float = 1.0) -> tuple[float, float]:
+    """(r, c): how much of the past a settled filter keeps, and the weight c of its settled part in q(i) = c + (1 - c) r^(2i).
+
+    The filter's variance goes through p -> delta (p + vt) / (p + vt + delta), the action of the matrix
+    ((delta, delta vt), (1, vt + delta)); r is delta over its larger eigenvalue, and the products of the matrix are sums of the
+    powers of both. With q, the kept share of step i is r q(i-1) / q(i), so the gains need no recursion.
+    """
+    root = math.sqrt(vt * vt + 4 * delta * vt)
+    large = (2 * delta + vt + root) / 2
+    small = delta * delta / large
+    return delta / large, (p0 + vt + delta - small) / root
 
 
-def filtered_price(df: DataFrame, axis: Axis = SERIES, delta: float = 1e-4, vt: float = 1e-3, reach: int = 24) -> DataFrame:
-    """Filtered price, its squared-error volatility (EMA 0.94), bands of two volatilities and a state.
+def filtered_price(df: DataFrame, axis: Axis = SERIES, delta: float = 1e-4, vt: float = 1e-3) -> DataFrame:
+    """Filtered price, its squared-error volatility (EMA 0.94), bands of two volatilities and a state, for any variances that
+    are not negative.
 
-    With these gains a price older than `reach` bars weighs less than 1e-18, so the filter is a weighted sum
-    over a short frame; only the volatility is a long recurrence.
+    The price times q(i) follows a recurrence with the constant coefficient r; without state noise (vt = 0) the filter is a
+    running mean in which the first price weighs delta, without observation noise (delta = 0) it is the price.
     """
-    if (1 - filter_gains(delta, vt, 64)[-1]) ** reach > 1e-16:
-        raise ValueError("the filter forgets too slowly for this reach")
-    gains = F.array(*[F.lit(g) for g in filter_gains(delta, vt, reach)])
-    gain = F.when(F.col("idx") <= reach, F.element_at(gains, F.least(F.col("idx"), F.lit(reach)).cast("int") + 1)).otherwise(
-        F.element_at(gains, reach + 1)
-    )
-    pairs = F.collect_list(F.struct(F.col("_g"), F.col("close"))).over(axis.back(reach + 1))
-    fold = F.aggregate(
-        F.slice(pairs, 2, reach),
-        pairs[0]["close"],
-        lambda acc, p: acc + p["_g"] * (p["close"] - acc),
-    )
-    df = df.withColumn("_g", gain).withColumn("kf_price", fold)
+    if delta < 0 or vt < 0:
+        raise ValueError("variances cannot be negative")
+    i, close = F.col("idx").cast("double"), F.col("close")
+    if delta == 0:
+        df = df.withColumn("kf_price", close)
+    elif vt == 0:
+        df = df.withColumn("kf_price", (F.sum(close).over(axis.upto()) + (delta - 1) * F.first("close").over(axis.upto())) / (i + delta))
+    else:
+        r, c = filter_constants(delta, vt)
+        q = lambda n: c + (1 - c) * F.pow(F.lit(r), 2 * n)
+        share = q(i) - r * q(i - 1)  # gain times q
+        if r**SUB > 1e-250:
+            df = recur(df, axis, [Recur("_z", share * close / (1 - r), 1 - r, close)])
+        else:
+            # a short past: the weights vanish within a few bars
+            reach = max(1, math.ceil(math.log(1e-20) / math.log(r)))
+            df = df.withColumn("_s", F.when(F.col("idx") == 0, close).otherwise(share * close))
+            df = df.withColumn("_z", sum((F.coalesce(F.lag("_s", k).over(axis.w()), F.lit(0.0)) * r**k for k in range(1, reach + 1)), F.col("_s"))).drop("_s")
+        df = df.withColumn("kf_price", F.col("_z") / q(i)).drop("_z")
     err = F.col("close") - F.lag("kf_price", 1).over(axis.w())
     df = df.withColumn("_e2", err * err)
     df = recur(df, axis, [Recur("_v", F.col("_e2"), 0.06, F.lit(0.01))])
@@ -396,7 +408,7 @@ def filtered_price(df: DataFrame, axis: Axis = SERIES, delta: float = 1e-4, vt:
             "kf_lower": lower,
             "kf_state": F.when(bars_so_far() < 5, "insufficient_data").otherwise(state),
         }
-    ).drop("_g", "_e2", "_v")
+    ).drop("_e2", "_v")
 
 
 def intraday_signal(axis: Axis, threshold: float = 2.0) -> Column:

@@ -376,6 +376,22 @@ def filtered_price(spark, sf):
     return b.select("symbol", "day", r("kf_price", 2), r("kf_vol", 2), r("kf_ann_vol", 3), r("kf_upper", 2), r("kf_lower", 2), "kf_state")
 
 
+def _kalman(delta: str, vt: str) -> str:
+    return KALMAN_SQL.replace("1e-4", delta).replace("1e-3", vt)
+
+
+@query("ind26_fast_filter", recursive(_kalman("1e-8", "1e-3") + " SELECT symbol, day, round(x, 2) AS kf_price, round(sqrt(v), 2) AS kf_vol FROM ks"))
+def fast_filter(spark, sf):
+    b = ind.filtered_price(T.walk_bars(spark, sf), delta=1e-8)
+    return b.select("symbol", "day", r("kf_price", 2), r("kf_vol", 2))
+
+
+@query("ind26_slow_filter", recursive(_kalman("1000.0", "1e-6") + " SELECT symbol, day, round(x, 2) AS kf_price, round(sqrt(v), 2) AS kf_vol FROM ks"))
+def slow_filter(spark, sf):
+    b = ind.filtered_price(T.walk_bars(spark, sf), delta=1000.0, vt=1e-6)
+    return b.select("symbol", "day", r("kf_price", 2), r("kf_vol", 2))
+
+
 @query(
     "ind27_intraday_signal",
     recursive(

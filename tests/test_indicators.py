@@ -72,9 +72,24 @@ def test_constant_prices(spark):
     assert ind.rsi_wilder(series(spark, [5.0] * 3)).filter("idx = 2").first().rsi_w == 0.0
 
 
-def test_filter_reach_is_checked(spark):
+@pytest.mark.parametrize("delta, vt", [(1e-4, 1e-3), (1e-8, 1e-3), (1e3, 1e-6), (1.0, 1.0), (5.0, 0.0), (0.0, 1e-3), (1e-3, 50.0), (1e6, 1e-9), (0.02, 1e-4)])
+def test_filter_for_any_variances(spark, delta, vt):
+    xs = walk(700)
+    x, p, v = xs[0], 1.0, 0.01
+    want = [(x, v)]
+    for price in xs[1:]:
+        g = (p + vt) / (p + vt + delta)
+        v = 0.94 * v + 0.06 * (price - x) ** 2
+        x, p = x + g * (price - x), (1 - g) * (p + vt)
+        want.append((x, v))
+    got = ind.filtered_price(series(spark, xs), delta=delta, vt=vt).orderBy("idx").collect()
+    assert len(got) == 700
+    assert all(math.isclose(r.kf_price, w[0], rel_tol=1e-9) and math.isclose(r.kf_vol, math.sqrt(w[1]), rel_tol=1e-6, abs_tol=1e-7) for r, w in zip(got, want))
+
+
+def test_negative_variances_are_rejected(spark):
     with pytest.raises(ValueError):
-        ind.filtered_price(series(spark, walk(10)), delta=1e3, vt=1e-6)
+        ind.filtered_price(series(spark, walk(10)), delta=-1.0)
 
 
 def test_metrics_by_name(spark):
