@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import cut
+from barflow.llm.common import ascii_lower, cut
 from barflow.llm.components import components
 from barflow.llm.wordarrays import NOT_SPACE, Words, distinct, mix, pieces, shingles
 
@@ -426,3 +426,21 @@ def near_classes(documents: DataFrame, frequent: int = FREQUENT, block: int = BL
 
     out = sets.join(classes, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, in all their columns, without near duplicates: of each class of linked documents the one with the
+    smallest doc_id stays.
+
+    Rows that repeat one doc_id, and rows without one, stay once per sequence of words (A-Z lower-cased). Rows without words are
+    linked with nothing and stay, all of them. An empty table gives an empty result.
+    """
+    kept = near_classes(docs.select("doc_id", "text")).filter("component_id = doc_id")
+    kept = cut(kept.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")))
+    x = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left").filter("doc_id IS NULL OR _keep IS NOT NULL")
+    words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    repeated = F.col("doc_id").isNull() | (F.col("_rows") > 1)
+    rest = x.filter(repeated).withColumn("_words", F.array_join(words, " "))
+    once = rest.filter("_words <> ''").withColumn("_words", F.sha2("_words", 256)).dropDuplicates(["doc_id", "_words"])
+    parts = [x.filter(~repeated), once, rest.filter("_words = ''")]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))

@@ -165,27 +165,34 @@ def _pack(size: int):
     return run
 
 
-def pack(items: DataFrame, size: int = LENGTH, per_partition: int = PER_PARTITION, rounds: int = 4) -> DataFrame:
-    """(item, length) to (item, length, sequence): `sequence` is a string that names the bin."""
+#: bits of a sequence's number: its bin in the partition, the partition, the round; whole sequences have a bit of their own
+BIN, PART, WHOLE = 20, 34, 62
+
+
+def pack(items: DataFrame, size: int = LENGTH, per_partition: int = PER_PARTITION) -> DataFrame:
+    """(item, length) to (item, length, sequence): `sequence` numbers the bin, by round, partition and place, so no two share one.
+
+    The items of open bins of uncertified partitions are exchanged and packed again as long as that leaves fewer open bins. Rows
+    with equal items are packed each; an empty table gives no rows.
+    """
     schema = "item long, length long, part long, bin long, room long, certified boolean"
     n = items.count()
     parts = max(1, -(-n // per_partition))
-    todo, closed, before = items, None, None
-    for turn in range(rounds):
+    todo, closed, before, turn = items, None, None, 0
+    while True:
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(size), schema))
-        named = packed.withColumn("sequence", F.concat_ws(".", F.lit(turn), "part", "bin"))
+        named = packed.withColumn("sequence", (F.lit(turn).cast("long") * 2**PART + F.col("part")) * 2**BIN + F.col("bin"))
         bins = packed.filter("room > 0 and not certified").agg(F.count_distinct("part", "bin"), F.count("*")).first()
-        last = parts == 1 or turn == rounds - 1 or not bins[0] or (before is not None and bins[0] >= before)
+        last = parts == 1 or not bins[0] or (before is not None and bins[0] >= before)
         keep = named if last else named.filter("room = 0 or certified")
         keep = keep.select("item", "length", "sequence")
         closed = keep if closed is None else closed.unionByName(keep)
         if last:
-            break
-        before = bins[0]
+            return closed
+        before, turn = bins[0], turn + 1
         todo = named.filter("room > 0 and not certified").select("item", "length")
         parts = max(1, -(-bins[1] // per_partition))
-    return closed
 
 
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, per_partition: int = PER_PARTITION) -> DataFrame:
@@ -197,8 +204,8 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     table = cut(pieces(docs, tokenizer, length, end).withColumn("row", F.monotonically_increasing_id()))
     small = table.filter(F.col("length") < length)
     placed = pack(small.select(F.col("row").alias("item"), "length"), length, per_partition)
-    placed = placed.select(F.col("item").alias("_row"), F.xxhash64("sequence").alias("sequence_id"))
-    full = table.filter(F.col("length") == length).withColumns({"sequence_id": F.xxhash64(F.lit("full"), "row"), "offset": F.lit(0).cast("long")})
+    placed = placed.select(F.col("item").alias("_row"), F.col("sequence").alias("sequence_id"))
+    full = table.filter(F.col("length") == length).withColumns({"sequence_id": F.col("row") + F.lit(2**WHOLE), "offset": F.lit(0).cast("long")})
     at = Window.partitionBy("sequence_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     joined = small.join(placed, F.col("row") == F.col("_row")).withColumn("offset", F.coalesce(F.sum("length").over(at), F.lit(0)).cast("long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

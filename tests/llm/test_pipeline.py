@@ -8,7 +8,7 @@ from barflow.llm import registry
 
 def test_registry():
     queries, oracles = registry.all_queries()
-    assert set(oracles) <= set(queries) and len(queries) == 11
+    assert set(oracles) <= set(queries) and len(queries) == 14
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
 
 
@@ -46,6 +46,22 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
 
 
+def test_near_duplicates_stage_on_repeated_rows(spark, tmp_path):
+    """Rows repeated under one id or without one stay once; rows without words all stay; other columns go along."""
+    r = random.Random(3)
+    a, b, c = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, a, 1), (5, a.upper(), 2), (5, a + "  ", 3), (7, a, 4), (None, b, 5), (None, b + " ", 6), (None, c, 7), (8, b, 8), (8, b, 9), (None, None, 10), (None, "", 11), (9, "", 12), (9, None, 13), (3, c, 14)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, n) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    out = got.collect()
+    words = lambda t: " ".join((t or "").lower().split())
+    seen = sorted((str(x["doc_id"]), words(x["text"])) for x in out)
+    assert seen == sorted([("5", a), ("None", b), ("None", c), ("8", b), ("3", c), ("None", ""), ("None", ""), ("9", ""), ("9", "")])
+    assert len({x["component_id"] for x in out}) == len(out)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -67,6 +67,7 @@ def test_packing(documents, tokenizer):
             want[i // 2].append((k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
             at, k, n = at + n, k + 1, 1024
     assert {d: sorted(p) for d, p in docs.items()} == {d: sorted(p) for d, p in want.items()}
+    assert len(bins) <= sum(len(p) for p in docs.values()) and all(isinstance(b, int) and b >= 0 for b in bins)
     for pieces in bins.values():
         at = 0
         for offset, length in sorted(pieces):
