@@ -9,8 +9,6 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import functions as F
-
 from barflow.llm import jaccard_join, mixing, packing, secret_scan, toxicity
 from barflow.llm.common import load
 from barflow.session import checkpoint_dir, ship
@@ -24,11 +22,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each class of linked documents stays: the one with the smallest id. Rows without an id all stay."""
+    """One document of each class of linked documents stays: the one with the smallest id, and of repeated rows one."""
     ship(spark)
-    classes = jaccard_join.near_classes(docs.select("doc_id", "text"))
-    keep = classes.filter("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left").filter("doc_id is null or _keep is not null").select(*docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def mask_secrets(spark, docs, sf_dir):
