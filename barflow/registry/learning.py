@@ -13,6 +13,7 @@ from barflow.registry.prelude import HOURS, with_bars
 from barflow.session import checkpoint_dir, cut
 from barflow.sources import tables as T
 from barflow.streaming import bars as ST
+from barflow.streaming import stateful as SF
 
 GAIN = 0.3  # the walk bars move about 0.2 % a day, so the label threshold is scaled down
 LABELS = """, lb AS (SELECT symbol, day, idx, CASE WHEN (coalesce(lead(close, 5) OVER w, last_value(close) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / close - 1) * 100 > 0.3 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY idx))
@@ -119,6 +120,59 @@ def sliding(spark, sf):
     return ST.newest(spark, path, ["symbol", "ts"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "stm09_count_windows",
+    with_bars("""
+SELECT e.symbol, e.idx AS "end", count(*)::INTEGER AS n, arg_min(b.open, b.idx) AS open, max(b.high) AS high, min(b.low) AS low, arg_max(b.close, b.idx) AS close, sum(b.volume) AS volume
+FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.idx BETWEEN e.idx - 300 AND e.idx - 1 WHERE e.idx >= 200 AND (e.idx - 200) % 5 = 0 GROUP BY e.symbol, e.idx"""),
+)
+def count_windows(spark, sf):
+    """Windows of 300 bars at every fifth bar from bar 200; the bars arrive in three parts."""
+    path = folder(spark)
+    b = T.walk_bars(spark, sf).select("symbol", "idx", "open", "high", "low", "close", "volume")
+    arrive(b, F.floor(F.col("idx") / 190), 3, f"{path}/bars")
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/bars")
+    ST.to_folder(SF.count_windows(stream), path, "append")
+    return spark.read.parquet(f"{path}/data").select("symbol", "end", "n", "open", "high", "low", "close", "volume")
+
+
+def arrive(df, part, parts, path):
+    """Write rows as `parts` arrivals, one file each, so that a stream of one file a batch sees them in turn."""
+    for n in range(parts):
+        some = df.filter(part == n) if n < parts - 1 else df.filter(part >= n)
+        some.coalesce(1).write.mode("append").parquet(path)
+
+
+LATE = """m AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, event_id % 3 AS part FROM events),
+fr AS (SELECT symbol, part, max(max(ts)) OVER (PARTITION BY symbol ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frontier FROM m GROUP BY symbol, part),
+marked AS (SELECT m.*, frontier IS NOT NULL AND ts < frontier - INTERVAL 9 DAY AS late FROM m JOIN fr USING (symbol, part))
+"""
+
+
+def ledger(spark, sf):
+    """Three arrivals, each over the whole time; rows more than nine days behind their series' newest one are late."""
+    path = folder(spark)
+    e = T.load(spark, sf, "events")
+    t = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    arrive(t, F.col("seq") % 3, 3, f"{path}/ticks")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ticks")
+    SF.split_ledger(SF.ledger(stream, "9 days"), path)
+    return path
+
+
+@query("stm03_late_ledger", "WITH " + LATE + " SELECT symbol, count_if(NOT late) AS kept, count_if(late) AS late FROM marked GROUP BY symbol")
+def late_ledger(spark, sf):
+    return SF.late_counts(spark, ledger(spark, sf))
+
+
+@query("stm03_tumbling_of_kept", "WITH " + LATE + " SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, row(ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(ts, seq)) AS close, count(*)::DOUBLE AS volume FROM marked WHERE NOT late GROUP BY 1, 2")
+def tumbling_of_kept(spark, sf):
+    path = ledger(spark, sf)
+    kept = spark.readStream.schema(spark.read.parquet(f"{path}/kept").schema).parquet(f"{path}/kept/*")
+    ST.to_folder(ST.tumbling(kept.select("symbol", "ts", "seq", "price", "volume")), f"{path}/bars")
+    return ST.newest(spark, f"{path}/bars", ["symbol", "ts"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stm07_sessions", "SELECT event_type AS symbol, ts::DATE AS day, count(*)::DOUBLE AS total_vol, count_if(strftime(ts, '%H%M') >= '0930' AND strftime(ts, '%H%M') <= '1000')::DOUBLE AS morning, count_if(strftime(ts, '%H%M') > '1430' AND strftime(ts, '%H%M') < '1500')::DOUBLE AS tail FROM events GROUP BY 1, 2")
 def stream_sessions(spark, sf):
     path = folder(spark)
