@@ -28,7 +28,7 @@ class Settings:
     #: entities that pivots are picked from
     sample: int = 4096
     #: candidates and queries of a shard
-    shard: int = 8192
+    shard: int = 2048
     queries: int = 1024
     #: candidates evaluated before the stopping test runs first
     chunk: int = 64
