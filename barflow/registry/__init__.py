@@ -6,7 +6,7 @@ import importlib
 from barflow.registry import core
 from barflow.session import ship
 
-MODULES = ["indicators", "bars", "structure", "rules", "context", "text", "learning"]
+MODULES = ["indicators", "bars", "structure", "rules", "context", "text", "learning", "stores"]
 
 
 def _with_package(fn):

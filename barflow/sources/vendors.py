@@ -259,3 +259,47 @@ def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFram
         "lesson_title string, concepts array<string>, keywords array<string>, text string"
     )
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+
+
+# ---- JSON without a schema ------------------------------------------------------------------------------------
+
+
+def json_leaves(text: Column) -> Column:
+    """The scalar values of a JSON text in their order, as strings; keys and nulls are left out.
+
+    A string is a value unless a colon follows it, and strings are taken whole, so marks inside them do not count."""
+    token = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?[0-9][0-9.eE+\-]*|true|false|null'
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: ~t.endswith(":") & (t != "null"))
+    # booleans are spelled as the record text has them
+    spelled = F.transform(tokens, lambda t: F.when(t == "true", '"True"').when(t == "false", '"False"').otherwise(t))
+    quoted = F.transform(spelled, lambda t: F.when(t.startswith('"'), t).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
+    return F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")
+
+
+def record_text(text: Column) -> Column:
+    """All values of a nested JSON record as one squeezed string."""
+    return F.trim(F.regexp_replace(F.array_join(json_leaves(text), " "), r"\s+", " "))
+
+
+def read_json_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ("index",)) -> tuple[DataFrame, DataFrame]:
+    """(records, unreadable): one JSON object per file, as (file, v, text) with v a variant, whatever its fields; and the files
+    that hold no JSON object, with their size. Files named in `skip` are in neither."""
+    raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
+    x = raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("file"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"))
+    x = x.filter(~F.col("file").isin(*skip)).withColumn("v", F.try_parse_json("text"))
+    whole = F.col("v").isNotNull() & F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return x.filter(whole).select("file", "v", "text"), x.filter(~whole).select("file", "size")
+
+
+def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, broken): objects of JSON lines as (file, line, v, text), lines counted from 1 over the whole file, blank lines
+    left out; and the lines that hold none. Files are read in splits; counts per split give the numbers their offsets."""
+    m = F.col("_metadata")
+    raw = spark.read.text(path).select(m["file_name"].alias("file"), m["file_block_start"].alias("block"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("at"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inner = Window.partitionBy("file", "block").orderBy("at")
+    x = raw.withColumn("k", F.row_number().over(inner)).join(offsets, ["file", "block"])
+    x = x.select("file", (F.col("offset") + F.col("k")).alias("line"), F.trim("text").alias("text")).filter("text <> ''").withColumn("v", F.try_parse_json("text"))
+    whole = F.col("v").isNotNull() & F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return x.filter(whole).select("file", "line", "v", "text"), x.filter(~whole).select("file", "line", "text")

@@ -50,15 +50,92 @@ def test_chunks_strict_mode(spark, tmp_path):
         V.read_chunks(spark, str(p)).collect()
 
 
-def test_vendor_data_source(spark, tmp_path):
+@pytest.mark.parametrize("block", [7, 40, 10**6])
+def test_vendor_data_source(spark, tmp_path, block):
+    """Byte ranges of any size give each line once; bad cells are reported, and files of other symbols are not opened."""
     from barflow.sources.datasource import register
 
-    (tmp_path / "s1.csv").write_text("time_key,open,high,low,close,volume\n2024-01-02,1,2,0.5,1.5,10\n")
-    (tmp_path / "s2.json").write_text(json.dumps({"day": [["2024-01-02", "1", "1.5", "2", "0.5"]]}))
+    head = "time_key,open,high,low,close,volume\n"
+    (tmp_path / "s1.csv").write_text(head + "2024-01-02,1,2,0.5,1.5,10\n2024-01-03,1,x,0.5,1.6,10\n\n2024-01-04,1,2,0.5,1.7,\n2024-01-05,1,2\n2024-01-06,1,2,0.5,1.8,3", encoding="utf-8-sig")
+    (tmp_path / "symbol=s3").mkdir()
+    (tmp_path / "symbol=s3" / "part-0.csv").write_text(head + "2024-01-02,3,3,3,3,3\r\n")
+    (tmp_path / "_hidden.csv").write_text("nothing")
+    (tmp_path / "s2.json").write_text(json.dumps({"day": [["2024-01-02", "1", "1.5", "2", "0.5"], ["2024-01-03", "1", "?", "2", "0.5"], "x"]}))
+    (tmp_path / "s4.json").write_text("{broken")
     register(spark)
-    a = spark.read.format("vendor_bars").option("layout", "csv").load(str(tmp_path / "*.csv")).first()
-    b = spark.read.format("vendor_bars").option("layout", "arrays").load(str(tmp_path / "*.json")).first()
-    assert (a.symbol, a.close) == ("s1", 1.5) and (b.symbol, b.high, b.volume) == ("s2", 2.0, 1.0)
+    csv = spark.read.format("vendor_bars").option("block", block).load(str(tmp_path))
+    rows = {(r.symbol, r.time_key): r for r in csv.collect()}
+    assert len(rows) == csv.count() == 6
+    assert rows["s1", "2024-01-02"].close == 1.5 and rows["s3", "2024-01-02"].volume == 3.0 and rows["s1", "2024-01-04"].volume == 0.0
+    assert {k[1] for k, r in rows.items() if r.bad} == {"2024-01-03", "2024-01-05"} and rows["s1", "2024-01-03"].high is None
+    some = csv.filter("symbol = 's1' and time_key >= '2024-01-04' and time_key < '2024-01-06'")
+    assert sorted(r.time_key for r in some.collect()) == ["2024-01-04", "2024-01-05"]
+    (tmp_path / "s9.csv").write_bytes(b"\xff\xfe broken")
+    assert some.count() == 2
+    arrays = spark.read.format("vendor_bars").option("layout", "arrays").load(str(tmp_path)).collect()
+    assert sorted((r.symbol, r.time_key or "", r.bad is None) for r in arrays) == [("s2", "", False), ("s2", "2024-01-02", True), ("s2", "2024-01-03", False), ("s4", "", False)]
+    with pytest.raises(Exception):
+        spark.read.format("vendor_bars").option("layout", "nope").load(str(tmp_path)).count()
+
+
+def test_vendor_stream_takes_each_file_once(spark, tmp_path):
+    from barflow.sources.datasource import register
+    from barflow.streaming.bars import to_folder
+
+    register(spark)
+    (tmp_path / "in").mkdir()
+    head = "time_key,open,high,low,close,volume\n"
+    for n in range(3):
+        (tmp_path / "in" / f"s{n}.csv").write_text(head + f"2024-01-0{n + 1},1,2,0.5,1.5,{n}\n")
+        to_folder(spark.readStream.format("vendor_bars").load(str(tmp_path / "in")), str(tmp_path / "out"), "append")
+        got = spark.read.parquet(str(tmp_path / "out/data")).collect()
+        assert sorted(r.volume for r in got) == [float(k) for k in range(n + 1)]
+
+
+def test_versioned_store(spark, tmp_path):
+    """One version per write that went through; failed writes leave neither a version nor, of tasks that ended, a file."""
+    from barflow.sources import store
+
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k long, v string")
+    with pytest.raises(FileNotFoundError):
+        store.read_versioned(spark, path)
+    store.write_versioned(df.repartition(3), path)
+    bad = df.withColumn("v", F.when(F.col("k") == 19, F.raise_error(F.lit("lost midway")).cast("string")).otherwise(F.col("v")))
+    for mode in ("overwrite", "append"):
+        with pytest.raises(Exception, match="lost midway"):
+            store.write_versioned(bad.repartition(3), path, mode)
+    assert store.versions(path) == [1] and sorted(map(tuple, store.read_versioned(spark, path).collect())) == sorted(map(tuple, df.collect()))
+    store.write_versioned(df.limit(0), path, "append")
+    store.merge_versioned(spark.createDataFrame([(3, "new"), (3, "newer"), (50, None), (None, "n")], "k long, v string"), path, ["k"])
+    want = {(i, f"v{i}") for i in range(20) if i != 3} | {(3, "newer"), (50, None), (None, "n")}
+    assert {tuple(r) for r in store.read_versioned(spark, path).collect()} == want and store.read_versioned(spark, path).count() == 22
+    assert store.read_versioned(spark, path, 1).count() == 20 and store.versions(path) == [1, 2, 3]
+    assert store.vacuum(path, keep=1) > 0 and store.versions(path) == [3]
+    assert store.read_versioned(spark, path).count() == 22
+
+
+def test_a_version_is_taken_once(spark, tmp_path):
+    from barflow.sources import store
+
+    schema = spark.createDataFrame([], "k long").schema
+    first, second = (store.VersionedWriter(str(tmp_path / "t"), schema, True) for _ in range(2))
+    first.commit([])
+    with pytest.raises(RuntimeError):
+        second.commit([])
+    assert store.versions(str(tmp_path / "t")) == [1]
+
+
+def test_json_without_a_schema(spark, tmp_path):
+    text = '{"a": "x\\"y: {z}", "b": [1, 2.5, {"c": true, "d": null}], "key:": "", "e": {"f": "\\u4e2d", "g": -3e2}}'
+    x = spark.createDataFrame([(text,), ("{}",), ("",)], "t string").select(V.json_leaves(F.col("t")).alias("l"), V.record_text(F.col("t")).alias("r")).collect()
+    assert x[0].l == ['x"y: {z}', "1", "2.5", "True", "", "中", "-3e2"] and x[0].r == 'x"y: {z} 1 2.5 True 中 -3e2'
+    assert x[1].l == [] and x[2].r == ""
+    (tmp_path / "l.jsonl").write_text('{"k": 1}\n\n[1]\noops\n' + "\n".join(json.dumps({"k": n}) for n in range(5000)))
+    good, bad = V.read_json_lines(spark, str(tmp_path / "l.jsonl"))
+    assert sorted((r.line, r.text) for r in bad.collect()) == [(3, "[1]"), (4, "oops")]
+    got = {r.line: r.k for r in good.select("line", F.variant_get("v", "$.k", "int").alias("k")).collect()}
+    assert got == {1: 1} | {n + 5: n for n in range(5000)}
 
 
 def test_level_order():

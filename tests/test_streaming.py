@@ -102,3 +102,44 @@ def test_training_round_trip(spark, bars, tmp_path):
     m = TR.metrics(scored)
     assert 0 <= m["accuracy"] <= 1 and 0 <= m["auc"] <= 1
     assert "model_score" in TR.score(model, b.drop("bi_slope")).columns  # falls back to the rule score
+
+
+def test_windows_by_count_and_the_ledger(spark, tmp_path):
+    """Arrivals in any order inside a batch; bars seen before are passed over; late rows are counted exactly per series."""
+    from barflow.streaming import stateful as SF
+
+    r = __import__("random").Random(2)
+    path = str(tmp_path / "in")
+    bars = [(s, i, float(r.randint(1, 9)), 9.0 + r.random(), r.random(), float(r.randint(1, 9)), float(i)) for s in "ab" for i in range(60)]
+    stream = None
+    for low, high in ((0, 25), (20, 41), (41, 60)):
+        part = [b for b in bars if low <= b[1] < high]
+        r.shuffle(part)
+        spark.createDataFrame(part, "symbol string, idx int, open double, high double, low double, close double, volume double").coalesce(1).write.mode("append").parquet(path)
+        stream = stream or spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        ST.to_folder(SF.count_windows(stream, size=12, step=4, first=8), str(tmp_path / "out"), "append")
+    got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "out/data")).drop("epoch").collect())
+    want = []
+    for s in "ab":
+        own = [b for b in bars if b[0] == s]
+        for end in range(8, 60, 4):
+            w = own[max(0, end - 12) : end]
+            want.append((s, end, len(w), w[0][2], max(b[3] for b in w), min(b[4] for b in w), w[-1][5], sum(b[6] for b in w)))
+    assert got == sorted(want)
+
+    ticks, frontier, late = [], {}, {}
+    base = __import__("datetime").datetime(2024, 1, 1)
+    path, schema = str(tmp_path / "ticks"), "symbol string, ts timestamp, seq long, price double, volume double"
+    stream = None
+    for n in range(3):
+        part = [(s, base + __import__("datetime").timedelta(hours=r.randint(0, 300)), n * 1000 + k, 1.0, 1.0) for k, s in enumerate("ab" * 40)]
+        for s, ts, *_ in part:
+            if s in frontier and (frontier[s] - ts).total_seconds() > 48 * 3600:
+                late[s] = late.get(s, 0) + 1
+        for s, ts, *_ in part:
+            frontier[s] = max(frontier.get(s, ts), ts)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = stream or spark.readStream.schema(schema).parquet(path)
+        SF.split_ledger(SF.ledger(stream, "2 days"), str(tmp_path / "ledger"))
+    counts = {x["symbol"]: (x["kept"], x["late"]) for x in SF.late_counts(spark, str(tmp_path / "ledger")).collect()}
+    assert counts == {s: (120 - late[s], late[s]) for s in "ab"} and min(late.values()) > 5
