@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import labels as L
 from barflow.functions import rules as R
+from barflow.operators import bars as B
 from barflow.operators import indicators as ind
 from barflow.operators import structure as S
 from barflow.operators.scan import SERIES
@@ -67,7 +68,7 @@ def summary(s: S.Structure, points: DataFrame, bars: DataFrame, zone_pick: str =
     return out.withColumn("signal", R.signal_label())
 
 
-def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compat: bool = False, lines: DataFrame | None = None) -> DataFrame:
+def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compat: bool = False, lines: DataFrame | None = None, zone_pick: str = "highest") -> DataFrame:
     """Point one-hots and stroke, zone and segment features per symbol. `bars` must carry macd.
 
     compat=True reproduces the known quirks: point columns are 0 and the last segment always counts as rising.
@@ -79,7 +80,7 @@ def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compa
     seg = s.segments.groupBy("symbol").agg(F.max_by(F.struct(F.col("stroke_cnt").alias("seg_strokes"), "end_stroke"), "idx").alias("g"))
     tail = s.strokes.select("symbol", F.col("idx").alias("end_stroke"), F.col("dir").alias("seg_dir"))
     seg = seg.select("symbol", "g.*").join(tail, ["symbol", "end_stroke"], "left").drop("end_stroke")
-    base = summary(s, points, bars)
+    base = summary(s, points, bars, zone_pick)
     x = base.join(stroke, "symbol", "left").join(zone, "symbol", "left").join(seg, "symbol", "left")
     length = F.coalesce(F.abs(F.col("s.end_val") - F.col("s.begin_val")) / F.greatest(F.col("s.begin_val"), F.lit(1e-10)) * 100, F.lit(0.0))
     bars_in = F.coalesce(F.col("s.end_mb") - F.col("s.begin_mb") + 1, F.lit(0)).cast("double")
@@ -123,13 +124,12 @@ def quick_rank(spark: SparkSession, sf: str, top: int = 15) -> DataFrame:
     )
 
 
-def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.StructureConfig | None = None) -> DataFrame:
-    """The whole screen: structure, features, rule score, volume and sector context, penalty and blend."""
-    bars = cut(T.walk_bars(spark, sf))  # read by the fold, the strengths, the features and the quotes
+def scored(bars: DataFrame, min_score: int = 0, conf: S.StructureConfig | None = None, zone_pick: str = "highest") -> DataFrame:
+    """Structure, features at the last bar and rule score of every series. `bars` is read several times."""
     s = S.build(bars, conf or S.StructureConfig.from_dict(S.config.SCREEN))
     lines = cut(P.stroke_lines(s, ind.macd(bars), {"full_area", "peak"}))
     points = cut(P.stroke_points(s, lines=lines))
-    struct = structure_features(s, points, bars, lines=lines)
+    struct = structure_features(s, points, bars, lines=lines, zone_pick=zone_pick)
     feats = last_bar(ind.price_features(bars).withColumns({**ind.volume_price(SERIES), "year_chg": ind.year_change(SERIES)}))
     drop = list((set(feats.columns) & set(struct.columns)) - {"symbol"})
     x = feats.drop(*drop).join(struct, "symbol")
@@ -137,7 +137,34 @@ def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.Structur
     sells = sum((F.col(f"bsp_sell_type{k}") for k in POINT_KINDS), F.lit(0.0)) > 0
     third = (F.col("bsp_buy_type3a") > 0) | (F.col("bsp_sell_type3a") > 0)
     second = (F.col("bsp_buy_type2") + F.col("bsp_buy_type2s") + F.col("bsp_sell_type2") + F.col("bsp_sell_type2s")) > 0
-    x = x.withColumn("xgb_score", R.feature_score(buys, sells, third, second)).filter(F.col("xgb_score") >= min_score)
+    return x.withColumn("xgb_score", R.feature_score(buys, sells, third, second)).filter(F.col("xgb_score") >= min_score)
+
+
+def second_scan(spark: SparkSession, sf: str, last: int = 250, least: int = 50) -> DataFrame:
+    """The second market: its last `last` bars without volume, the latest zone, no penalty and no volume or sector part.
+
+    Series of fewer than `least` bars are left out. side: buy where the newest point is one, sell where the label says so."""
+    bars = B.last_n(T.second_bars(spark, sf), last)
+    first = Window.partitionBy("symbol")
+    bars = bars.withColumn("idx", (F.col("idx") - F.min("idx").over(first)).cast("int")).withColumn("_n", F.count("*").over(first))
+    bars = cut(bars.filter(F.col("_n") >= least).drop("_n").withColumn("volume", F.lit(1.0)))
+    x = scored(bars, zone_pick="latest")
+    side = F.when(F.col("is_buy"), "buy").when(F.startswith("signal", F.lit("Sell")), "sell").otherwise("hold")
+    inside = F.coalesce(F.col("position") == L.INSIDE, F.lit(False))
+    zs = F.concat(F.col("zone_low").cast("bigint").cast("string"), F.lit("~"), F.col("zone_high").cast("bigint").cast("string"))
+    return x.select("symbol", "signal", "price", F.col("xgb_score").alias("score"), "year_chg", F.coalesce(zs, F.lit("")).alias("zs"), "position", side.alias("side"), inside.alias("in_zone"))
+
+
+def second_tops(scan: DataFrame, most: int = 5) -> DataFrame:
+    """The first `most` buys and sells of the second market in the order of its list."""
+    w = Window.partitionBy("side").orderBy("symbol")
+    return scan.filter(F.col("side").isin("buy", "sell")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+
+
+def full_scan(spark: SparkSession, sf: str, min_score: int = 0, conf: S.StructureConfig | None = None) -> DataFrame:
+    """The whole screen: structure, features, rule score, volume and sector context, penalty and blend."""
+    bars = cut(T.walk_bars(spark, sf))  # read by the fold, the strengths, the features and the quotes
+    x = scored(bars, min_score, conf)
     x = x.withColumn("ext", R.extended()).withColumn("xgb_score", R.penalised("xgb_score"))
     x = x.withColumn("vol_signal", R.volume_signal(n=F.col("n_bars"))).withColumn("vol_score", R.volume_score())
     uni = T.universe(spark, sf)

@@ -264,11 +264,16 @@ def quick_rank(spark, sf):
 
 @query("top03_report_tops")
 def report_tops(spark, sf):
-    x = screen.full_scan(spark, sf)
-    inside = F.col("position") == L.INSIDE
-    w = Window.partitionBy("bucket").orderBy(F.desc("score"), "symbol")
-    b = x.withColumn("bucket", F.when(F.col("is_buy") & inside, "in_zone").when(F.col("is_buy"), "buy").when(F.startswith("signal", F.lit("Sell")), "sell").otherwise("hold"))
-    return b.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= 10) & (F.col("bucket") == "in_zone") | (F.col("rn") <= 5) & F.col("bucket").isin("buy", "sell")).select("bucket", "rn", "symbol", "score", "signal")
+    """In-zone buys of the main market by score, and the first buys and sells of the second market."""
+    x = screen.full_scan(spark, sf).filter(F.col("is_buy") & (F.col("position") == L.INSIDE)).orderBy(F.desc("score"), "symbol").limit(10)
+    main = x.select(F.lit("in_zone").alias("bucket"), F.row_number().over(Window.orderBy(F.desc("score"), "symbol")).alias("rn"), "symbol", "score", "signal")
+    second = screen.second_tops(screen.second_scan(spark, sf))
+    return main.unionByName(second.select(F.concat(F.lit("second_"), F.col("side")).alias("bucket"), "rn", "symbol", "score", "signal"))
+
+
+@query("top03_second_market")
+def second_scan(spark, sf):
+    return screen.second_scan(spark, sf)
 
 
 @query("top05_by_momentum", with_bars(MOMENTUM_SQL + " SELECT symbol, momentum, rank FROM (SELECT symbol, round(r20 * 0.15 + r60 * 0.35 + r120 * 0.5, 6) + 0.0 AS momentum, row_number() OVER (ORDER BY r20 * 0.15 + r60 * 0.35 + r120 * 0.5 DESC, symbol)::INTEGER AS rank FROM (SELECT *, max(idx) OVER (PARTITION BY symbol) AS n FROM mo) WHERE idx = n) WHERE rank <= 5"))
@@ -482,11 +487,24 @@ def trade_plan(spark, sf):
     return plan(spark, sf)
 
 
+@query("snk07_plan_sections")
+def plan_sections(spark, sf):
+    from barflow.plans.report import plan_sections as sections
+
+    return sections(spark, sf)
+
+
+def live_quotes(spark, sf):
+    """Live prices: two of three symbols moved away from their last close, by up to 3 % either way."""
+    q, k = T.quotes(T.walk_bars(spark, sf)), F.col("symbol").cast("int")
+    return q.filter(k % 3 != 0).select("symbol", F.round(F.col("price") * (1 + (k % 7 - 3) / 100), 2).alias("price"))
+
+
 @query("snk08_live_buys")
 def live_buys(spark, sf):
     from barflow.plans.report import live_buy_list
 
-    return live_buy_list(spark, sf)
+    return live_buy_list(spark, sf, live_quotes(spark, sf))
 
 
 @query("mac05_futures_products")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barflow.operators.scan import numbered
+
 ORDER_RANGE_BITS = 20
 WALK_BASE = 100000
 
@@ -58,6 +60,12 @@ def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def second_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second market: the tick-price bars of every supplier under a five-digit code of its own."""
+    b = price_bars(spark, sf_dir)
+    return numbered(b.withColumn("symbol", F.concat(F.lit("hk"), F.lpad("symbol", 5, "0"))), F.trunc("day", "year"), "day")
+
+
 def walk_bars(spark: SparkSession, sf_dir: str, order_range_bits: int = ORDER_RANGE_BITS) -> DataFrame:
     """Daily bars of the integer random walk driven by the ticks (see FIXTURES.md)."""
     t = ticks(spark, sf_dir).select(

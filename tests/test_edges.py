@@ -18,7 +18,7 @@ def test_malformed_csv_lines_are_reported(spark):
     assert V.csv_lines(df.filter("value like '2024-01-02%'")).count() == 1
     assert V.csv_lines(df, strict=False).count() == 1
     assert sorted(r["problem"] for r in V.rejected_lines(df).collect()) == ["malformed", "malformed", "no time"]
-    with pytest.raises(Exception, match="malformed line"):
+    with pytest.raises(Exception, match="(malformed|no time) line"):
         V.csv_lines(df).collect()
 
 
@@ -74,3 +74,33 @@ def test_rows_a_model_cannot_take_keep_the_rule_score(spark):
     model = TR.train(df, trees=2, depth=2)
     got = TR.model_or_rule(model, df.limit(4).unionByName(df.limit(1).withColumn("rsi", F.lit(None).cast("double")))).groupBy("origin").count().collect()
     assert {r["origin"]: r["count"] for r in got} == {"model": 4, "rule": 1}
+
+
+def test_second_market_and_plan_sections(spark, sf):
+    """The second market is scanned by itself; the report lists its buys and sells, and the plan has four sections."""
+    from barflow.plans import report, screen
+    from barflow.sources import tables as T
+
+    scan = screen.second_scan(spark, sf).cache()
+    n = T.second_bars(spark, sf).groupBy("symbol").count().filter("count >= 50").count()
+    assert scan.count() == n and scan.filter("symbol not like 'hk%' or length(symbol) <> 7").count() == 0
+    assert scan.filter("side = 'buy' and zs = ''").count() <= scan.filter("side = 'buy'").count()
+    tops = {(r.side, r.rn, r.symbol) for r in screen.second_tops(scan).collect()}
+    for side in ("buy", "sell"):
+        own = sorted(r.symbol for r in scan.filter(scan.side == side).collect())[:5]
+        assert {(s, k, c) for s, k, c in tops if s == side} == {(side, k + 1, c) for k, c in enumerate(own)}
+    lines = report.build(spark, sf).filter("section_no = 7 and row_no > 0").collect()
+    assert {(r.line.split(" | ")[0], r.line.split(" | ")[1]) for r in lines} == {(s, c) for s, _, c in tops}
+    plan = report.plan_sections(spark, sf).collect()
+    assert {r.section for r in plan} >= {3, 4} and {r.code for r in plan if r.section == 3} == {c for _, _, c in tops}
+    assert all(r.share in report.SHARES.values() and r.way in ("limit", "market") for r in plan if r.section == 2)
+
+
+def test_live_prices_come_before_the_analysis(spark, sf):
+    from barflow.plans import report
+    from barflow.registry.context import live_quotes
+
+    quotes = {r.symbol: r.price for r in live_quotes(spark, sf).collect()}
+    rows = report.live_buy_list(spark, sf, live_quotes(spark, sf)).collect()
+    assert len(quotes) > 3 and all(r.price == quotes[r.symbol] for r in rows if r.symbol in quotes)
+    assert len(report.live_buy_list(spark, sf).columns) == 16
