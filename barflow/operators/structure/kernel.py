@@ -254,3 +254,27 @@ class StrokeFold:
         n = len(self.ends) - 2 if self.conf.bi_allow_sub_peak else 0
         del self.ends[: max(n, 0)]
         return max(n, 0)
+
+    # -- state as plain rows --
+
+    def dump(self) -> tuple[list[tuple], list[tuple], list[int]]:
+        """(merged bars still needed, the last one telling whether a window holds it; last strokes; fractals before a first stroke)."""
+        needed = {m.pos: m for m in (*(x for e in self.ends for x in e[:2]), *self.free, *self.win)}
+        inside = {m.pos for m in self.win}
+        rows = [(*(getattr(m, f) for f in Merged.__slots__), p in inside) for p, m in sorted(needed.items())]
+        return rows, [(a.pos, b.pos, sure, used) for a, b, sure, used in self.ends], [m.pos for m in self.free]
+
+    @classmethod
+    def load(cls, conf, merged: list[tuple], ends: list[tuple], free: list[int]) -> "StrokeFold":
+        fold, by_pos = cls(conf), {}
+        for *values, inside in merged:
+            m = Merged.__new__(Merged)
+            for f, v in zip(Merged.__slots__, values):
+                setattr(m, f, v)
+            by_pos[m.pos] = m
+            if inside:
+                fold.win.append(m)
+        fold.ends = [(by_pos[a], by_pos[b], sure, used) for a, b, sure, used in ends]
+        fold.free = [by_pos[p] for p in free]
+        fold.count = fold.win[-1].pos + 1 if fold.win else 0
+        return fold

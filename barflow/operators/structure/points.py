@@ -368,7 +368,7 @@ def stroke_points(s: Structure, bars: DataFrame | None = None, lines: DataFrame
     """Points on strokes, from bars (with macd for the default strength) or from prepared `stroke_lines`."""
     c = s.conf
     lines = stroke_lines(s, bars) if lines is None else lines
-    groups = s.segments.select(KEY, F.col("idx").alias("g"), "dir", "is_sure", F.col("begin_stroke").alias("begin"), F.col("end_stroke").alias("end"))
+    groups = s.bare_segments.select(KEY, F.col("idx").alias("g"), "dir", "is_sure", F.col("begin_stroke").alias("begin"), F.col("end_stroke").alias("end"))
     return find_points(lines, groups, s.zones, c.buy, c.sell)
 
 

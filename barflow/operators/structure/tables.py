@@ -117,9 +117,15 @@ class Structure:
     bars: DataFrame
     lines: DataFrame
     conf: StructureConfig
+    segment_lines: DataFrame
+
+    @functools.cached_property
+    def upper(self) -> DataFrame:
+        """The level above: segments with their owners, segments of segments and zones of segments, built when first asked for."""
+        return cut(upper_lines(self.segment_lines, self.conf))
 
     def _kind(self, kind: str) -> DataFrame:
-        return self.lines.filter(F.col("kind") == kind)
+        return (self.lines if kind in ("stroke", "bare_segment", "zone") else self.upper).filter(F.col("kind") == kind)
 
     @property
     def strokes(self) -> DataFrame:
@@ -131,7 +137,15 @@ class Structure:
 
     @property
     def segments(self) -> DataFrame:
-        return self._kind("segment").select(
+        return self._segments("segment")
+
+    @property
+    def bare_segments(self) -> DataFrame:
+        """Segments without the level above them: seg_idx is null."""
+        return self._segments("bare_segment")
+
+    def _segments(self, kind: str) -> DataFrame:
+        return self._kind(kind).select(
             "symbol", "idx", "dir", "is_sure", F.col("begin_ref").alias("begin_stroke"),
             F.col("end_ref").alias("end_stroke"), "begin_bar", "end_bar", "begin_val", "end_val", "high", "low",
             F.col("owner").alias("seg_idx"), "reason", F.col("n_lines").alias("stroke_cnt"),
@@ -185,25 +199,31 @@ def _row(given: dict) -> list[Column]:
     return [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in LINES]
 
 
-def lines_of(strokes: DataFrame, conf: StructureConfig) -> DataFrame:
-    """Strokes with their segments, the segments of these, and the zones of both; `strokes` is read several times."""
-    segs = segments(strokes, conf.seg_algo, conf.left_seg_method)
+def upper_lines(segs: DataFrame, conf: StructureConfig) -> DataFrame:
     grand = segments(segs, conf.seg_algo, conf.left_seg_method)
-    own, own_segs = owned(strokes, segs), owned(segs, grand)
+    own = owned(segs, grand)
     parts = [
-        own.select(*_as_rows("stroke", False)), own_segs.select(*_as_rows("segment", True)),
+        own.select(*_as_rows("segment", True)),
         grand.withColumns({"owner": F.lit(0), "first_bar": F.col("a_bar"), "last_bar": F.col("b_bar")}).select(*_as_rows("segseg", True)),
-        _zone_rows(zones(own, segs, conf), "zone"), _zone_rows(zones(own_segs, grand, conf), "segzone"),
+        _zone_rows(zones(own, grand, conf), "segzone"),
     ]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def build(bars: DataFrame, conf: StructureConfig | None = None, keep: bool = True) -> Structure:
-    """Strokes by the fold, the rest by Spark steps. The line table is a small fraction of the bars and is read by many
-    branches, so it is written to the checkpoint folder by default."""
+def of_strokes(bars: DataFrame, strokes: DataFrame, conf: StructureConfig) -> Structure:
+    """Segments and zones over `strokes`, which is read several times. The tables are a small fraction of the bars and are read
+    by many branches, so they are written to the checkpoint folder."""
+    segs = segments(strokes, conf.seg_algo, conf.left_seg_method)
+    own = owned(strokes, segs)
+    bare = segs.withColumn("owner", F.lit(None).cast("int")).select(*_as_rows("bare_segment", True))
+    lines = own.select(*_as_rows("stroke", False)).unionByName(bare).unionByName(_zone_rows(zones(own, segs, conf), "zone"))
+    return Structure(bars, cut(lines), conf, segs)
+
+
+def build(bars: DataFrame, conf: StructureConfig | None = None) -> Structure:
+    """Strokes by the fold, the rest by Spark steps."""
     conf = conf or StructureConfig()
-    lines = lines_of(cut(stroke_lines(bars, conf)), conf)
-    return Structure(bars, cut(lines) if keep else lines, conf)
+    return of_strokes(bars, cut(stroke_lines(bars, conf)), conf)
 
 
 def fractals(merged: DataFrame) -> DataFrame:

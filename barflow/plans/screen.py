@@ -77,7 +77,7 @@ def structure_features(s: S.Structure, points: DataFrame, bars: DataFrame, compa
     packed = F.struct("dir", "begin_val", "end_val", "begin_mb", "end_mb", "in_full_area", "in_peak")
     stroke = lines.groupBy("symbol").agg(F.max_by(packed, "idx").alias("s"))
     zone = s.zones.groupBy("symbol").agg(F.max_by(F.struct("low", "high"), "idx").alias("z"), F.count("*").alias("zn"))
-    seg = s.segments.groupBy("symbol").agg(F.max_by(F.struct(F.col("stroke_cnt").alias("seg_strokes"), "end_stroke"), "idx").alias("g"))
+    seg = s.bare_segments.groupBy("symbol").agg(F.max_by(F.struct(F.col("stroke_cnt").alias("seg_strokes"), "end_stroke"), "idx").alias("g"))
     tail = s.strokes.select("symbol", F.col("idx").alias("end_stroke"), F.col("dir").alias("seg_dir"))
     seg = seg.select("symbol", "g.*").join(tail, ["symbol", "end_stroke"], "left").drop("end_stroke")
     base = summary(s, points, bars, zone_pick)

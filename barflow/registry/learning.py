@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barflow.plans import training as TR
 from barflow.registry.core import query, r
 from barflow.registry.prelude import HOURS, with_bars
+from barflow.registry.structure import HOUR_STROKES
 from barflow.session import checkpoint_dir, cut
 from barflow.sources import tables as T
 from barflow.streaming import bars as ST
@@ -196,7 +197,7 @@ def price_alerts(spark, sf):
     return spark.read.parquet(f"{path}/data").select("seq", "symbol", F.col("alerts")[0].alias("alert"))
 
 
-@query("stm01_05_stroke_stream")
+@query("stm01_05_stroke_stream", HOUR_STROKES)
 def stroke_stream(spark, sf):
     """The hourly bars arrive week by week; each arrival resumes the stream from its checkpoint."""
     from barflow.operators.scan import numbered
@@ -206,8 +207,8 @@ def stroke_stream(spark, sf):
     for week in range(5):
         h.filter(F.floor((F.dayofmonth("ts") - 1) / 7) == week).write.mode("append").parquet(f"{path}/bars")
         stream = spark.readStream.schema(h.schema).parquet(f"{path}/bars")
-        ST.to_folder(ST.strokes(stream), path, "append")
-    return ST.final_strokes(spark, path)
+        SF.upsert_strokes(SF.strokes(stream), path)
+    return SF.current_strokes(spark, path)
 
 
 @query("stm04_parent_child_join", "WITH " + HOURS + " SELECT symbol, ts + INTERVAL 1 HOUR AS child_end, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS parent_end FROM hbars")

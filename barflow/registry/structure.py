@@ -12,7 +12,7 @@ from barflow.operators.structure.strength import with_strengths
 from barflow.plans import screen
 from barflow.registry import shared
 from barflow.registry.core import query, r
-from barflow.registry.prelude import recursive
+from barflow.registry.prelude import HOURS, recursive
 from barflow.sources import tables as T
 
 # The inclusion merge as a recursion over bars: one state row per bar.
@@ -173,12 +173,13 @@ REPLAY_SQL = STROKE_SQL + """,
         island AS (
           SELECT *, t - row_number() OVER (PARTITION BY symbol, idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val ORDER BY t) AS run FROM shown),
         latest AS (SELECT symbol, max(idx) AS last FROM bars GROUP BY symbol)
-SELECT i.symbol, i.idx::INTEGER AS idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, min(t) AS from_bar, CASE WHEN bool_or(stays) OR max(t) = any_value(last) THEN NULL ELSE max(t) END AS to_bar
-FROM island i JOIN latest ON latest.symbol = i.symbol GROUP BY i.symbol, i.idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, run
 """
+_SHOWN = "SELECT i.symbol, i.idx::INTEGER AS idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val"
+_ISLANDS = " FROM island i JOIN latest ON latest.symbol = i.symbol GROUP BY i.symbol, i.idx, dir, is_sure, begin_mb, end_mb, begin_bar, end_bar, begin_val, end_val, run"
+_STAYS = "bool_or(stays) OR max(t) = any_value(last)"
 
 
-@query("stm02_replay", recursive(REPLAY_SQL))
+@query("stm02_replay", recursive(REPLAY_SQL + _SHOWN + f", min(t) AS from_bar, CASE WHEN {_STAYS} THEN NULL ELSE max(t) END AS to_bar" + _ISLANDS))
 def replay(spark, sf):
     """Every stroke version with the bars after which it was shown, for every bar of every series."""
     v = S.stroke_versions(T.walk_bars(spark, sf)).select("*", F.when(F.col("up"), 1).otherwise(-1).alias("dir"))
@@ -187,6 +188,10 @@ def replay(spark, sf):
     return S.compact(v, ["dir", *named]).withColumnRenamed("pos", "idx")
 
 
+#: the strokes of hourly bars after the last one
+HOUR_STROKES = "WITH RECURSIVE " + HOURS + ", bars AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1)::INTEGER AS idx, high, low FROM hbars)" + REPLAY_SQL + _SHOWN + _ISLANDS + " HAVING " + _STAYS
+
+
 @query("str08_strokes", recursive(STROKE_SQL + " SELECT * FROM sk"))
 def strokes(spark, sf):
     """All strokes but the last confirmed one, whose end the unconfirmed tail may move. The merged bar after an
@@ -271,7 +276,7 @@ def segment_attributes(spark, sf):
 @query("str20_trend_lines")
 def trend_lines(spark, sf):
     s = shared.structure(spark, sf)
-    return LN.trend_lines(s.strokes, s.segments)
+    return LN.trend_lines(s.strokes, s.bare_segments)
 
 
 @query("str21_zones")
@@ -297,7 +302,7 @@ def zones_peak(spark, sf):
 @query("str25_zone_in_segment")
 def zone_in_segment(spark, sf):
     s = shared.structure(spark, sf)
-    return LN.zones_in_segments(s.zones, s.segments, s.strokes)
+    return LN.zones_in_segments(s.zones, s.bare_segments, s.strokes)
 
 
 @query("str26_divergence")
@@ -309,7 +314,7 @@ def divergence(spark, sf):
 @query("str27_exit_is_peak")
 def exit_is_peak(spark, sf):
     s = shared.structure(spark, sf)
-    g = s.segments.select("symbol", F.col("idx").alias("g"), "dir", "is_sure", F.col("begin_stroke").alias("begin"), F.col("end_stroke").alias("end"))
+    g = s.bare_segments.select("symbol", F.col("idx").alias("g"), "dir", "is_sure", F.col("begin_stroke").alias("begin"), F.col("end_stroke").alias("end"))
     table = P._line_table(with_strengths(s.strokes, None, {"amp"}), {"amp"})
     return P.zone_exits(P._groups(g, s.zones), table)
 
@@ -391,4 +396,4 @@ def setup_countdown(spark, sf):
 @query("rule29_structure_state")
 def structure_state(spark, sf):
     s = shared.structure(spark, sf)
-    return LN.structure_state(s.zones, s.segments)
+    return LN.structure_state(s.zones, s.bare_segments)

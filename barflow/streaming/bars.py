@@ -1,18 +1,11 @@
-"""Streaming forms of bars, structure, alerts and session volume."""
+"""Streaming forms of bars, alerts and session volume."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barflow.operators.bars import ohlcv
-from barflow.operators.structure.config import StructureConfig
-from barflow.operators.structure.kernel import StrokeFold
 from barflow.plans.portfolio import alerts
 
 
@@ -61,52 +54,6 @@ def price_alerts(quotes: DataFrame, positions: DataFrame) -> DataFrame:
     return x.withColumn("pnl_pct", F.round(gain, 2)).withColumn("alerts", alerts()).filter(F.size("alerts") > 0)
 
 
-STROKES = (
-    "symbol string, kind string, idx int, dir int, is_sure boolean, begin_mb int, end_mb int, begin_bar int, end_bar int, begin_val double, end_val double"
-)
-
-
-def _advance(conf: StructureConfig) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            fold, base, last = pickle.loads(state.get[0])
-        else:
-            fold, base, last = StrokeFold(conf), 0, None
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        late = 0
-        for bar, ts, high, low in zip(pdf["idx"], pdf["ts"], pdf["high"], pdf["low"]):
-            if last is not None and ts <= last:
-                late += 1  # out of order or repeated: counted, not applied
-                continue
-            last = ts
-            fold.push(int(bar), float(high), float(low))
-        rows = [
-            (key[0], "stroke", base + x.pos, 1 if x.up else -1, x.sure, x.ref_a, x.ref_b, x.a_bar, x.b_bar, x.begin, x.end) for x in fold.strokes()
-        ]
-        if late:
-            rows.append((key[0], "late", late, None, None, None, None, None, None, None, None))
-        base += fold.settle()
-        state.update((pickle.dumps((fold, base, last)),))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in STROKES.split(", ")])
-
-    return step
-
-
-def strokes(bars: DataFrame, conf: StructureConfig | None = None) -> DataFrame:
-    """Strokes of a bar stream (symbol, idx, ts, high, low). Each batch re-emits the strokes from the first one that
-    may have changed, so a sink replaces rows with idx >= the smallest emitted one (see `replace_tail`)."""
-    return bars.select("symbol", "idx", "ts", "high", "low").groupBy("symbol").applyInPandasWithState(
-        _advance(conf or StructureConfig()), STROKES, "fold binary", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def replace_tail(stored: DataFrame, update: DataFrame) -> DataFrame:
-    """Stored rows before the first re-emitted number of their symbol, and the update."""
-    first = update.groupBy("symbol").agg(F.min("idx").alias("first_idx"))
-    kept = stored.join(first, "symbol", "left").filter(F.col("first_idx").isNull() | (F.col("idx") < F.col("first_idx"))).drop("first_idx")
-    return kept.unionByName(update)
-
-
 def to_folder(df: DataFrame, path: str, mode: str = "update") -> None:
     """Run an available-now stream; each micro-batch goes to its own folder, so a repeated batch overwrites itself."""
 
@@ -122,13 +69,3 @@ def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     df = spark.read.parquet(f"{path}/data")
     w = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "epoch")
-
-
-def final_strokes(spark: SparkSession, path: str) -> DataFrame:
-    """Strokes after all epochs: a row counts unless a later epoch re-emitted its symbol from a number at or below it."""
-    df = spark.read.parquet(f"{path}/data").filter("kind = 'stroke'")
-    first = df.groupBy("symbol", "epoch").agg(F.min("idx").alias("lo"))
-    later = Window.partitionBy("symbol").orderBy("epoch").rowsBetween(1, Window.unboundedFollowing)
-    cutoff = first.select("symbol", "epoch", F.min("lo").over(later).alias("cutoff"))
-    x = df.join(cutoff, ["symbol", "epoch"])
-    return x.filter(F.col("cutoff").isNull() | (F.col("idx") < F.col("cutoff"))).drop("cutoff", "epoch", "kind")

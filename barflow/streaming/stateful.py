@@ -1,4 +1,4 @@
-"""Stateful operators with typed state: windows by count, and a ledger of late rows."""
+"""Stateful operators with typed state: strokes, windows by count, and a ledger of late rows."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from barflow.operators.structure.config import StructureConfig
+from barflow.operators.structure.kernel import Merged, StrokeFold
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -112,3 +115,82 @@ def late_counts(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, kept, late) over all epochs of `split_ledger`."""
     parts = [spark.read.parquet(f"{path}/{kind}").select("symbol", F.lit(kind).alias("kind")) for kind in ("kept", "late")]
     return parts[0].unionByName(parts[1]).groupBy("symbol").agg(F.count_if(F.col("kind") == "kept").alias("kept"), F.count_if(F.col("kind") == "late").alias("late"))
+
+
+STROKES = "symbol string, kind string, idx int, dir int, is_sure boolean, begin_mb int, end_mb int, begin_bar int, end_bar int, begin_val double, end_val double"
+_WHOLE = {"pos", "first", "last", "dir", "fx", "hi_bar", "lo_bar", "n"}
+MERGED = ", ".join(f"{f} {'int' if f in _WHOLE else 'double'}" for f in Merged.__slots__) + ", inside boolean"
+
+
+class Strokes(StatefulProcessor):
+    """Bars in, strokes out. The state is typed: the merged bars since the last stroke end, the strokes that can still change, and
+    the number of those that no longer can; it does not grow with the series. An arrival emits the strokes that it settled
+    ('settled', once each), those that are open ('open'), and how many of its bars came late or twice ('late')."""
+
+    def __init__(self, conf: StructureConfig):
+        self.conf = conf
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "strokes int, newest timestamp, late long")
+        self.merged = handle.getListState("merged", MERGED)
+        self.ends = handle.getListState("ends", "a int, b int, sure boolean, used boolean")
+        self.free = handle.getListState("free", "pos int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        base, newest, before = self.done.get() if self.done.exists() else (0, None, 0)
+        held = [[tuple(x) for x in s.get()] if s.exists() else [] for s in (self.merged, self.ends, self.free)]
+        fold = StrokeFold.load(self.conf, held[0], held[1], [p for (p,) in held[2]])
+        newest, late = None if newest is None else pd.Timestamp(newest), 0
+        for bar in pd.concat(list(rows)).sort_values("ts").itertuples():
+            if newest is not None and bar.ts <= newest:
+                late += 1
+                continue
+            newest = bar.ts
+            fold.push(int(bar.idx), float(bar.high), float(bar.low))
+        strokes = fold.strokes()
+        settled = fold.settle()
+        out = [(key[0], "settled" if x.pos < settled else "open", base + x.pos, 1 if x.up else -1, x.sure, x.ref_a, x.ref_b, x.a_bar, x.b_bar, x.begin, x.end) for x in strokes]
+        if late:
+            out.append((key[0], "late", late, *[None] * 8))
+        merged, ends, free = fold.dump()
+        for state, values in ((self.merged, merged), (self.ends, ends), (self.free, [(p,) for p in free])):
+            state.put(values) if values else state.clear()
+        self.done.update((base + settled, newest.to_pydatetime(), before + late))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STROKES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def strokes(bars: DataFrame, conf: StructureConfig | None = None) -> DataFrame:
+    """Strokes of a bar stream (symbol, idx, ts, high, low)."""
+    use_typed_state(bars.sparkSession)
+    x = bars.select("symbol", "idx", "ts", "high", "low")
+    return x.groupBy("symbol").transformWithStateInPandas(Strokes(conf or StructureConfig()), STROKES, "append", "none")
+
+
+def upsert_strokes(stream: DataFrame, path: str) -> None:
+    """Run an available-now stream of strokes into versioned folders: settled strokes are only ever added, and each epoch writes the
+    whole short table of open ones anew: its own series' and, of the others, what the epoch before had. A repeated epoch overwrites itself."""
+    spark = stream.sparkSession
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        for kind in ("settled", "late"):
+            batch.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{path}/{kind}/epoch={epoch}")
+        fresh = batch.filter("kind = 'open'").drop("kind")
+        if epoch:
+            old = spark.read.schema(fresh.schema).parquet(f"{path}/open-{epoch - 1}")
+            fresh = old.join(batch.select("symbol").distinct(), "symbol", "left_anti").unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(f"{path}/open-{epoch}")
+        spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("overwrite").json(f"{path}/newest")
+        batch.unpersist()
+
+    q = stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def current_strokes(spark: SparkSession, path: str) -> DataFrame:
+    """All strokes as of the newest epoch: the settled ones and the short table of open ones."""
+    epoch = spark.read.schema("epoch long").json(f"{path}/newest").first()[0]
+    return spark.read.parquet(f"{path}/settled").drop("epoch").unionByName(spark.read.parquet(f"{path}/open-{epoch}"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from barflow.operators import structure as S
 from barflow.plans import training as TR
 from barflow.streaming import bars as ST
+from barflow.streaming import stateful as SF
 
 COLS = ["symbol", "idx", "dir", "is_sure", "begin_mb", "end_mb", "begin_val", "end_val"]
 
@@ -12,45 +13,39 @@ def rows(df):
 
 
 def test_stream_of_bars_gives_the_batch_strokes(spark, bars, tmp_path):
+    """Four arrivals, each resumed from the checkpoint, one with bars seen before; some series miss an arrival."""
     src = bars.select("symbol", "idx", F.col("day").cast("timestamp").alias("ts"), "high", "low")
-    path, stream = str(tmp_path / "bars"), None
-    for lo, hi in ((0, 99), (100, 101), (102, 350), (351, 10**6)):
-        src.filter(F.col("idx").between(lo, hi)).write.mode("append").parquet(path)
+    path, out, stream = str(tmp_path / "bars"), str(tmp_path / "out"), None
+    for lo, hi in ((0, 99), (90, 101), (102, 350), (351, 10**6)):
+        part = src.filter(F.col("idx").between(lo, hi))
+        part = part.filter("symbol <> '3'") if lo == 90 else part
+        part = part.unionByName(src.filter("symbol = '3' and idx between 100 and 101")) if lo == 102 else part
+        part.write.mode("append").parquet(path)
         stream = stream or spark.readStream.schema(src.schema).parquet(path)
-        ST.to_folder(ST.strokes(stream), str(tmp_path / "out"), "append")  # resumes from its checkpoint
-    assert spark.read.parquet(str(tmp_path / "out/data")).filter("kind = 'late'").isEmpty()
-    assert rows(ST.final_strokes(spark, str(tmp_path / "out"))) == rows(S.build(bars, S.StructureConfig()).strokes)
+        SF.upsert_strokes(SF.strokes(stream), out)
+    late = {r.symbol: r.idx for r in spark.read.parquet(f"{out}/late").collect()}
+    assert set(late.values()) == {10} and "3" not in late and len(late) == bars.select("symbol").distinct().count() - 1
+    assert rows(SF.current_strokes(spark, out)) == rows(S.build(bars, S.StructureConfig()).strokes)
+    assert spark.read.parquet(f"{out}/open-3").groupBy("symbol").count().filter("count > 3").count() == 0
 
 
-def test_late_and_repeated_bars_are_counted_not_applied(bars):
+def test_the_state_of_strokes_is_plain_and_short(bars):
+    """Dumping and loading after every bar changes nothing, and the state does not grow with the series."""
     from barflow.operators.structure.kernel import StrokeFold
-    import pandas as pd
-    import pickle
 
-    class State:
-        exists, get = False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-    pdf = bars.filter("symbol = '1'").select("idx", F.col("day").alias("ts"), "high", "low").orderBy("idx").toPandas()
-    step, state = ST._advance(S.StructureConfig()), State()
-    list(step(("1",), iter([pdf.iloc[:300]]), state))
-    out = pd.concat(list(step(("1",), iter([pd.concat([pdf.iloc[250:260], pdf.iloc[300:]])]), state)))
-    assert out[out.kind == "late"].idx.tolist() == [10]
-    whole = StrokeFold(S.StructureConfig())
-    for r in pdf.itertuples():
-        whole.push(r.idx, r.high, r.low)
-    want = [(x.pos, x.begin, x.end) for x in whole.strokes()]
-    got = [(r.idx, r.begin_val, r.end_val) for r in out[out.kind == "stroke"].itertuples()]
-    assert got == want[-len(got):]
-    assert len(pickle.loads(state.get[0])[0].ends) <= 2
-
-
-def test_replace_tail(spark):
-    old = spark.createDataFrame([("a", 0, "x"), ("a", 1, "x"), ("b", 0, "x")], "symbol string, idx int, v string")
-    new = spark.createDataFrame([("a", 1, "y"), ("a", 2, "y")], old.schema)
-    assert {tuple(r) for r in ST.replace_tail(old, new).collect()} == {("a", 0, "x"), ("a", 1, "y"), ("a", 2, "y"), ("b", 0, "x")}
+    for conf in (S.StructureConfig(), S.StructureConfig(bi_allow_sub_peak=False), S.StructureConfig(bi_strict=False, gap_as_kl=True)):
+        whole, base, settled = StrokeFold(conf), 0, []
+        part = StrokeFold(conf)
+        for r in bars.filter("symbol = '1'").orderBy("idx").select("idx", "high", "low").collect():
+            whole.push(r.idx, r.high, r.low)
+            part = StrokeFold.load(conf, *part.dump())
+            part.push(r.idx, r.high, r.low)
+            now = [x._replace(pos=x.pos + base) for x in part.strokes()]
+            n = part.settle()
+            settled, base = settled + now[:n], base + n
+            assert settled + now[n:] == whole.strokes()
+        if conf.bi_allow_sub_peak:
+            assert len(part.dump()[0]) < 200 and len(part.dump()[1]) <= 2
 
 
 def test_window_strokes_equal_a_fold_of_each_window(bars):
@@ -106,8 +101,6 @@ def test_training_round_trip(spark, bars, tmp_path):
 
 def test_windows_by_count_and_the_ledger(spark, tmp_path):
     """Arrivals in any order inside a batch; bars seen before are passed over; late rows are counted exactly per series."""
-    from barflow.streaming import stateful as SF
-
     r = __import__("random").Random(2)
     path = str(tmp_path / "in")
     bars = [(s, i, float(r.randint(1, 9)), 9.0 + r.random(), r.random(), float(r.randint(1, 9)), float(i)) for s in "ab" for i in range(60)]
