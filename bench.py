@@ -51,7 +51,7 @@ def merged(spark, sf):
 
 
 def structure(spark, sf):
-    return S.build(T.walk_bars(spark, sf), S.StructureConfig.from_dict(S.config.SCREEN), keep=False).lines
+    return S.build(T.walk_bars(spark, sf), S.StructureConfig.from_dict(S.config.SCREEN)).lines
 
 
 def points(spark, sf):
