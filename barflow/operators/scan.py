@@ -9,12 +9,15 @@ series is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SUB = 128
+SUB = 1024
+#: decimal orders by which a stretch may shrink a value: scaled inputs must fit a double, and two stretches must forget
+MOST, LEAST = 280.0, 30.0
 
 
 @dataclass(frozen=True)
@@ -106,31 +109,56 @@ class Recur:
     at: int = 0
 
 
-def _decaying_sum(decay: float):
-    return lambda acc, tail: acc * decay + tail
+def stretch_of(a: float) -> int:
+    """Positions of a stretch for weight `a`: SUB where that suits it, else the longest power of two that may be scaled."""
+    per_row = -math.log10(1 - a) if a < 1 else math.inf
+    if LEAST <= per_row * SUB <= MOST:
+        return SUB
+    # two stretches of 2^30 hold every position, however slowly a weight forgets
+    return 1 << int(math.log2(min(2.0**30, max(1.0, MOST / per_row)))) if per_row else 1 << 30
 
 
 def recur(df: DataFrame, axis: Axis, specs: list[Recur]) -> DataFrame:
-    """Several linear recurrences in one pass of two windows over one sort order.
+    """Several linear recurrences by running sums and last values over one sort order; no row holds a list.
 
-    Inside a stretch of SUB positions the recurrence is a plain running sum of scaled inputs; positions before the
-    seed add nothing. The ends of the stretches form a short list whose fold gives the value carried into each.
+    Inside a stretch the recurrence is a plain running sum of inputs scaled by their decay; positions before the seed add
+    nothing. A stretch shrinks what it is handed by at least LEAST orders, so the values carried into it come from the ends
+    of the two stretches before: what is left out is below 10^-60 of an earlier value. Weights that forget slower or faster
+    than the common stretch allows get stretches of their own length and a sort of their own. A weight of 1 gives the inputs.
     """
-    rows, ax = gridded(df, axis)
-    t = F.pmod(F.col(ax.order), F.lit(SUB))
+    out = df
+    for length in sorted({stretch_of(s.a) for s in specs}):
+        out = _recur(out, axis, [s for s in specs if stretch_of(s.a) == length], length)
+    return out
+
+
+def _recur(df: DataFrame, axis: Axis, specs: list[Recur], length: int) -> DataFrame:
+    if length == SUB:
+        rows, ax = gridded(df, axis)
+    else:
+        own = f"_run{length}"
+        rows, ax = df.withColumn(own, F.floor(F.col(axis.order) / length).cast("int")), replace(axis, run=own)
+    t = F.pmod(F.col(ax.order), F.lit(length))
     since = {n: F.col(ax.order) - F.greatest(ax.first(), F.lit(s.at)) for n, s in enumerate(specs)}
     inner = Window.partitionBy(*ax.keys, ax.run).orderBy(ax.order).rowsBetween(Window.unboundedPreceding, 0)
     before = ax.w().rowsBetween(Window.unboundedPreceding, -1)
+    decay = {n: F.lit(1.0 - s.a) for n, s in enumerate(specs)}
     inputs = {
-        f"_x{n}": F.when(since[n] == 0, s.seed).when(since[n] > 0, s.a * s.x).otherwise(0.0) * F.pow(F.lit(1 / (1 - s.a)), t)
-        for n, s in enumerate(specs)
+        f"_rec_x{n}": F.when(since[n] == 0, s.seed).when(since[n] > 0, s.a * s.x).otherwise(0.0) * F.pow(decay[n], -t) for n, s in enumerate(specs)
     }
     rows = rows.withColumns(inputs)
-    rows = rows.withColumns({f"_l{n}": F.sum(f"_x{n}").over(inner) * F.pow(F.lit(1 - s.a), t) for n, s in enumerate(specs)})
-    rows = rows.withColumns({f"_c{n}": F.collect_list(F.when(t == SUB - 1, F.col(f"_l{n}"))).over(before) for n in range(len(specs))})
-    out: dict[str, Column] = {}
-    for n, s in enumerate(specs):
-        carry = F.aggregate(f"_c{n}", F.lit(0.0), _decaying_sum((1 - s.a) ** SUB))
-        out[s.out] = F.when(since[n] >= 0, F.col(f"_l{n}") + carry * F.pow(F.lit(1 - s.a), t + 1))
-    tmp = [f"_{k}{n}" for k in "xlc" for n in range(len(specs))]
-    return ungridded(rows.withColumns(out).drop(*tmp), axis)
+    rows = rows.withColumns({f"_rec_l{n}": F.sum(f"_rec_x{n}").over(inner) * F.pow(decay[n], t) for n in since})
+
+    def handed(end: str) -> dict[int, Column]:
+        """The value at the end of the stretch before."""
+        return {n: F.last(F.when(t == length - 1, F.col(f"{end}{n}")), ignorenulls=True).over(before) for n in since}
+
+    def whole(n: int, carry: Column) -> Column:
+        return F.col(f"_rec_l{n}") + F.coalesce(carry, F.lit(0.0)) * F.pow(decay[n], t + 1)
+
+    rows = rows.withColumns({f"_rec_c{n}": c for n, c in handed("_rec_l").items()})
+    rows = rows.withColumns({f"_rec_e{n}": whole(n, F.col(f"_rec_c{n}")) for n in since})
+    rows = rows.withColumns({f"_rec_d{n}": c for n, c in handed("_rec_e").items()})
+    out = {s.out: F.when(since[n] >= 0, whole(n, F.col(f"_rec_d{n}"))) for n, s in enumerate(specs)}
+    rows = rows.withColumns(out).drop(*[f"_rec_{k}{n}" for k in "xlced" for n in since])
+    return rows.drop(ax.run) if length != SUB else ungridded(rows, axis)

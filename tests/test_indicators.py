@@ -25,7 +25,7 @@ def walk(n, seed=3):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 29, 30, 128, 129, 700])
+@pytest.mark.parametrize("n", [1, 29, 30, 128, 1024, 1025, 5000])
 def test_recurrence_equals_a_loop(spark, n):
     xs = walk(n)
     df = recur(series(spark, xs), SERIES, [Recur("y", F.col("close"), 2 / 13, F.col("close")), Recur("z", F.col("close"), 1 / 3, F.lit(50.0), at=5)])
@@ -37,6 +37,22 @@ def test_recurrence_equals_a_loop(spark, n):
     assert all(math.isclose(g.z, w, rel_tol=1e-12) for g, w in zip(got[5:], late))
 
 
+@pytest.mark.parametrize("a", [0.0, 1e-9, 1e-3, 0.03, 1 / 3, 0.6, 0.97, 1 - 1e-12, 1.0])
+def test_recurrence_of_any_weight(spark, a):
+    xs = walk(4200)
+    plan = recur(series(spark, xs), SERIES, [Recur("y", F.col("close"), a, F.col("close"))])
+    got = [r.y for r in plan.orderBy("idx").select("y").collect()]
+    assert all(math.isclose(g, w, rel_tol=1e-11) for g, w in zip(got, ema(xs, a, xs[0]), strict=True))
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
+
+
+def test_recurrence_forgets_a_huge_start(spark):
+    """A first value 20 orders above the rest is still there where the rest is zero, two stretches later."""
+    xs = [1e20] + [0.0] * 2200
+    got = [r.y for r in recur(series(spark, xs), SERIES, [Recur("y", F.col("close"), 0.05, F.col("close"))]).orderBy("idx").select("y").collect()]
+    assert all(math.isclose(g, w, rel_tol=1e-11) for g, w in zip(got, ema(xs, 0.05, xs[0]), strict=True))
+
+
 def test_blocks_give_the_same_values_as_whole_series(bars):
     whole = ind.kdj(ind.macd(bars)).select("symbol", "idx", "macd", "kdj_d", ind.sma(SERIES, 60).alias("ma"))
     cut, axis = blocked(bars, rows=150, halo=600)
