@@ -1,7 +1,8 @@
 """Secrets in documents: candidate strings judged by a random forest trained on labelled findings.
 
-Candidates are the values in tokens that hold a digit, a sign of assignment or a long run of capitals: every issued key, assigned
-value, quoted string, URL parameter and field; and whatever is assigned to a name with a secret word. They never overlap. Each is described by its length and character
+Candidates are the values in tokens that hold a digit, a sign of assignment, a long run of capitals or the beginning of an issued
+key: every issued key, assigned value, quoted string, URL parameter and field; whatever is assigned to a name with a secret word;
+and the word after a secret word. They never overlap. Each is described by its length and character
 classes, transitions between characters, coverage by dictionary words, its likeness to paths, addresses and numbers, and
 the words around it. The forest removes false positives such as hashes, identifiers, placeholders and phone numbers.
 
@@ -22,16 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "<secret>"
+#: characters of a candidate that no name is assigned to; assigned values may have any length
 LEAST = 8
 BEFORE, AFTER = 60, 40
 
-#: what a token worth a look holds: a digit, a sign of assignment or many capitals; other words are passed over quickly
-_SIGN = re.compile(r"[0-9=:]|[A-Z]{12}")
+#: what a token worth a look holds; other words are passed over quickly
+_SIGN = re.compile(r"[0-9=:]|[A-Z]{12}|gh[pousr]_|xox[abprs]-|AIza|sk_live_|eyJ")
 _REST = re.compile(r"\S*")
 _ASSIGNED = re.compile(r"^[\"'({\[<]*([A-Za-z][\w.\-]{1,40})[\"']?(?::=|=>|[=:])[\"'({\[<]*(.*)$", re.S)
 #: a word that may belong to a secret's name, up to the sign of assignment
-_NAMED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|key|access|credential|auth|bearer|private)[\w.\-]{0,40}[\"']?[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}", re.I)
-_VALUE = re.compile(r"\"([^\"\n]{1,400})\"|'([^'\n]{1,400})'|(\S+)")
+_NAMED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|key|access|credential|auth|bearer|private)[\w.\-]{0,200}[\"']?[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}", re.I)
+#: a secret word, and what may stand between it and the secret where nothing is assigned
+_SPOKEN = re.compile(r"(?<![A-Za-z])(password|passwd|pwd|passphrase|secret|token|apikey|key|credentials?|auth|bearer)\s{1,8}(?:(is|was|are|ist|est|es|->|-)\s{1,8})?(?=\S)", re.I)
+_VALUE = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|(\S+)")
 _NAME_END = re.compile(r"[A-Za-z][\w.\-]{0,80}$")
 _HEAD = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"']?(?::=|=>|[=:])(?!//)")
 #: where a value ends if another assignment follows, and where fields end
@@ -61,6 +65,8 @@ class Candidate:
     name: str
     before: str
     after: str
+    #: how a secret word leads to the value: 0 not at all, 1 it stands before it, 2 with a word between, 3 by assignment
+    joined: int = 0
 
 
 def _words_of(name: str) -> set[str]:
@@ -107,7 +113,7 @@ def _assigned(text: str) -> list[tuple[int, int, str]]:
         head = re.match(r"[\w.\-]+", m[0])[0]
         name = _NAME_END.search(text[max(0, m.start() - 40) : m.start()] + head)
         v = _VALUE.match(text, m.end())
-        if not name or not v or not _words_of(name[0]) & SECRET_WORDS:
+        if not name or not v or not _words_of(name[0]) & SECRET_WORDS or v[0].lower() in SECRET_WORDS:
             continue
         k = v.lastindex
         if k < 3:
@@ -122,9 +128,26 @@ def _assigned(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _spoken(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, name, joined) of the word or quoted string after a secret word, where no span that is taken meets it."""
+    k = 0
+    for m in _SPOKEN.finditer(text):
+        v = _VALUE.match(text, m.end())
+        start, end = v.span(v.lastindex)
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        # a word with a sign is split into its values by itself
+        if not (k < len(taken) and taken[k][0] < end) and not (v[3] and _SIGN.search(v[3])):
+            yield start, end, m[1], 2 if m[2] else 1
+
+
 def candidates(text: str) -> list[Candidate]:
     """Candidate strings with their start (in code points) and what stands around them."""
     spans = _assigned(text)
+    spoken = list(_spoken(text, spans))
+    how = {start: joined for start, _, _, joined in spoken}
+    assigned = {start for start, _, _ in spans}
+    spans = sorted(spans + [(a, b, name) for a, b, name, _ in spoken])
     # what the rest of a token gives, where nothing is assigned to a secret's name
     taken, k, seen, more = spans, 0, 0, []
     while m := _SIGN.search(text, seen):
@@ -147,12 +170,12 @@ def candidates(text: str) -> list[Candidate]:
         value = text[start:end]
         left = len(value) - len(value.lstrip(_EDGES))
         value = value.strip(_EDGES)
-        if len(value) >= LEAST:
+        if len(value) >= (1 if start in assigned else LEAST):
             first = start
             while first > max(0, start - 200) and not text[first - 1].isspace():
                 first -= 1
             last = _REST.match(text, end).end() if end - start < 4000 else end
-            out.append(Candidate(start + left, value, name, text[max(0, first - BEFORE) : first], text[last : last + AFTER]))
+            out.append(Candidate(start + left, value, name, text[max(0, first - BEFORE) : first], text[last : last + AFTER], how.get(start, 3 if name else 0)))
     return out
 
 
@@ -181,7 +204,7 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
 
 
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "entropy", "changes", "letter_digit", "vowel_rhythm", "covered", "slashes", "dots", "at", "numbers", "named_secret", "near_secret", "near_benign", "named", "quoted", "hex", "uuid", "issued", "longest_letters"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "entropy", "changes", "letter_digit", "vowel_rhythm", "covered", "slashes", "dots", "at", "numbers", "named_secret", "near_secret", "near_benign", "named", "quoted", "hex", "uuid", "issued", "longest_letters", "joined"]
 
 
 def features(c: Candidate) -> list[float]:
@@ -197,7 +220,7 @@ def features(c: Candidate) -> list[float]:
         sum(a != b for a, b in zip(letters, letters[1:])) / max(1, len(letters)), _covered(s),
         s.count("/") + s.count("\\"), s.count("."), float("@" in s), float(bool(_NUMBERS.match(s))), float(bool(names & SECRET_WORDS)),
         float(any(w in SECRET_WORDS for w in around)), float(any(w in BENIGN_WORDS for w in (*around, *names))), float(bool(c.name)),
-        float(c.before.rstrip()[-1:] in "=:" and bool(c.before.strip())), float(all(x in "0123456789abcdefABCDEF" for x in s)), float(bool(_UUID.match(s))), float(bool(_ISSUED.match(s))), max(runs, default=0),
+        float(c.before.rstrip()[-1:] in "=:" and bool(c.before.strip())), float(all(x in "0123456789abcdefABCDEF" for x in s)), float(bool(_UUID.match(s))), float(bool(_ISSUED.match(s))), max(runs, default=0), c.joined,
     ]
 
 
@@ -217,6 +240,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     mixed = upper + upper.lower() + digits
     keys = ["password", "passwd", "pwd", "secret", "token", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "DB_PASSWORD"]
+    spoken = ["password", "passphrase", "secret", "token", "key", "Bearer", "the api key", "Authorization: Bearer"]
     with_digit = lambda s: s if any(x.isdigit() for x in s) else s[:-1] + r.choice(digits)
     secrets = [
         lambda: f"AKIA{draw(r.choice([upper, upper + digits]), 16, 16)}",
@@ -229,6 +253,9 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"sk_live_{draw(mixed, 24, 32)}",
         lambda: f"eyJ{draw(mixed, 20, 40)}.eyJ{draw(mixed, 30, 60)}.{draw(mixed, 30, 43)}",
         lambda: f"Bearer {with_digit(draw(mixed, 24, 48))}",
+        lambda: f"{r.choice(spoken)} {draw(r.choice([mixed, upper + upper.lower()]), 20, 40)}",
+        lambda: f"{r.choice(spoken[:4])} {r.choice(['is', 'was', '->'])} {'-'.join(prose(1) for _ in range(r.randint(3, 5)))}",
+        lambda: f"{r.choice(keys)}{r.choice(['=', ': ', ' = '])}{draw(upper.lower(), 3, 7)}{r.choice(['', r.choice('!$%&+')])}{draw(digits, 1, 4)}",
         lambda: f'{r.choice(keys)} = "{"-".join(prose(1) for _ in range(3))}-{prose(1)}"',
         lambda: f"{r.choice(keys)}: {prose(1).capitalize()}{r.choice('!$%&+')}{prose(2).replace(' ', '').capitalize()}{r.choice(filler)}",
     ]
@@ -247,6 +274,10 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"{prose(1)}:{prose(1).replace(' ', '')}{prose(1)}",
         lambda: f"{prose(1)}{prose(1)}{draw(digits, 1, 2)}",
         lambda: f"{r.choice(keys)}: {prose(3).replace(' ', '')}",
+        lambda: f"{r.choice(spoken)} {r.choice(['', 'is ', 'was '])}{prose(3).replace(' ', '')}",
+        lambda: f"{r.choice(spoken)} {r.choice(['', 'is '])}{prose(1)}{r.choice(['-', '/', ''])}{prose(2).replace(' ', '')}er{r.choice(['', ',', '.'])}",
+        lambda: f"{r.choice(spoken)} {r.choice(['', 'is '])}{'-'.join(prose(1) for _ in range(2))}-{r.choice(['based', 'free', 'like', 'time'])}",
+        lambda: f"{r.choice([*keys, 'key', 'access'])}{r.choice(['=', ': ', ' = '])}{r.choice([prose(1), prose(1), draw(digits, 1, 3), r.choice(['yes', 'none', 'null', 'true', 'required', 'public', 'N/A', '...', '-'])])}",
         lambda: f"order {draw(upper, 2, 3)}-{draw(digits, 5, 8)}",
         lambda: f"{r.choice(['width', 'page', 'name', 'class', 'size'])}={prose(1)}{prose(1)}{draw(digits, 0, 2)}",
         lambda: f"{prose(6).replace(' ', '')[: r.randint(12, 24)].upper()}{r.choice(['', '!!', ',', '.'])}",
@@ -344,7 +375,9 @@ def _judged(texts: list[str | None], forest: Forest, threshold: float) -> list[l
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """doc_id, start and length (code points), name of what is assigned and score of every secret.
 
-    Null and empty texts have none; repeated rows are scanned each for itself; an empty table gives an empty result.
+    Null and empty texts have none; repeated rows are scanned each for itself, ids may be null; an empty table gives an empty
+    result. Texts of any length are scanned whole, in one task each. A score equal to the threshold counts as a secret. Other
+    columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
@@ -363,7 +396,11 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
 
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
-    """The same rows and columns with every secret in `text` replaced by a mark; `n_chars`, where present, is counted anew."""
+    """The same rows and columns with every secret in `text` replaced by a mark; `n_chars`, where present, is counted anew.
+
+    Null texts stay null and keep their n_chars, empty ones stay empty; repeated rows and null ids are kept, each masked for
+    itself; an empty table gives an empty result. Other columns, of whatever name, pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     schema = docs.schema
     where = docs.columns.index("text")
