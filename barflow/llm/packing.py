@@ -4,6 +4,7 @@
    shorter one. Full pieces are sequences of their own; all others are items of 1 to `length - 1` tokens.
 2. Items are dealt over partitions by a hash and packed there by best fit, longest first. Dual feasible functions give a
    lower bound of each partition's bin count: a partition that reaches it is certified.
+   In one that does not, bins with gaps exchange items and what is left in bins with gaps is packed anew.
 3. Bins with a gap of partitions that are not certified are opened; their items are dealt anew over other partitions and
    packed again, until all are certified or a round saves no bin. Full bins stay as they are.
 
@@ -17,6 +18,7 @@ result; texts that hold the file's special strings, which that library treats as
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import zlib
 from collections import defaultdict
@@ -151,16 +153,90 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
+def exchange(lengths: np.ndarray, bins: np.ndarray, size: int, steps: int = 10) -> np.ndarray:
+    """The same packing after bins exchanged items, with no more bins than before.
+
+    The bin with the smallest gap fills up: it takes an item of exactly that length from another bin with a gap, or gives one
+    of its own for an item longer by the gap. The gap passes on to the other bin, so that gaps gather in few bins. Where no bin
+    with a gap has such an item, a full bin gives it and takes over the gap, up to `steps` times per bin with a gap. What is
+    left in bins with gaps is packed anew by best fit.
+    """
+    bins = bins.copy()
+    room = size - np.bincount(bins, lengths).astype(np.int64)
+    inside: list[list[int]] = [[] for _ in range(len(room))]
+    by_length: list[tuple[dict[int, int], dict[int, int]]] = [({}, {}) for _ in range(size + 1)]  # items of full bins, of others
+    for i, (x, b) in enumerate(zip(lengths.tolist(), bins.tolist())):
+        inside[b].append(i)
+        by_length[x][int(room[b] > 0)][i] = b
+    queue = [(int(g), b) for b, g in enumerate(room) if g]
+    heapq.heapify(queue)
+    through_full = steps * len(queue)
+
+    def partner(length: int, b: int, gap: bool) -> int | None:
+        return next((i for i, other in by_length[length][gap].items() if other != b), None) if length < size else None
+
+    def longer(b: int, gap: bool) -> tuple[int | None, int | None]:
+        for mine in inside[b]:
+            if (i := partner(int(lengths[mine]) + int(room[b]), b, gap)) is not None:
+                return mine, i
+        return None, None
+
+    def listed(b: int, gap: bool) -> None:
+        for i in inside[b]:
+            x = int(lengths[i])
+            by_length[x][not gap].pop(i, None)
+            by_length[x][gap].pop(i, None)
+            by_length[x][gap][i] = b
+
+    def shift(i: int, b: int) -> None:
+        old = int(bins[i])
+        inside[old].remove(i), inside[b].append(i)
+        bins[i] = b
+        room[old] += lengths[i]
+        room[b] -= lengths[i]
+
+    while queue:
+        gap, b = heapq.heappop(queue)
+        if gap != room[b] or not inside[b]:
+            continue
+        give, take = None, partner(gap, b, True)
+        if take is None:
+            give, take = longer(b, True)
+        if take is None and through_full > 0:
+            through_full -= 1
+            give, take = longer(b, False)
+        if take is None:
+            continue  # its gap stays, and so do its items for others to take
+        other = int(bins[take])
+        shift(take, b)
+        if give is not None:
+            shift(give, other)
+        listed(b, False), listed(other, True)
+        heapq.heappush(queue, (int(room[other]), other))
+    loose = np.flatnonzero(room[bins] > 0)
+    if len(loose):
+        again = best_fit(lengths[loose], size)
+        if again.max() + 1 < len(np.unique(bins[loose])):
+            bins[loose] = len(room) + again
+    return np.unique(bins, return_inverse=True)[1]
+
+
 def _pack(size: int):
-    """Packs one partition of (item, length); `certified`: its bin count reaches the lower bound."""
+    """Packs one partition of (item, length); `certified`: its bin count reaches the lower bound.
+
+    Where best fit decreasing does not reach the bound, bins with gaps exchange items until that saves no bin.
+    """
 
     def run(pdf):
         n = pdf["length"].to_numpy(np.int64)
         order = np.lexsort((pdf["item"].to_numpy(np.int64), n))  # reruns agree whatever order the rows come in
         pdf, n = pdf.iloc[order], n[order]
-        bins = best_fit(n, size)
+        bins, bound, before = best_fit(n, size), lower_bound(n, size), None
+        while len(n) and bins.max() + 1 > bound and (before is None or bins.max() < before):
+            before = bins.max()
+            bins = exchange(n, bins, size)
         filled = np.bincount(bins, n).astype(np.int64)
-        return pdf[["item", "length", "part"]].assign(bin=bins, room=size - filled[bins], certified=len(filled) <= lower_bound(n, size))
+        return pdf[["item", "length", "part"]].assign(bin=bins, room=size - filled[bins], certified=len(filled) <= bound)
 
     return run
 

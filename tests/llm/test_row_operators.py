@@ -46,6 +46,20 @@ def test_bins_against_bounds():
     assert packing.lower_bound(np.array([400] * 5), 1024) == 3
 
 
+def test_exchange_between_bins():
+    """Bins trade items: never more bins, none overfull, every item kept; fewer bins where best fit wastes room."""
+    r = np.random.default_rng(7)
+    for low, high, n in ((1, 1024, 0), (1, 1024, 1), (1, 1024, 400), (200, 500, 3000), (330, 350, 2000), (512, 513, 50), (1, 3, 4000)):
+        x = r.integers(low, high, n)
+        before = packing.best_fit(x, 1024)
+        after = packing.exchange(x, before, 1024)
+        used = np.bincount(after, x) if n else np.zeros(0)
+        assert len(after) == n and (used <= 1024).all() and (used > 0).all()
+        assert packing.lower_bound(x, 1024) <= len(used) <= len(np.unique(before))
+        assert (low, high) != (200, 500) or len(used) < 0.98 * len(np.unique(before))
+        assert (packing.exchange(x, before, 1024) == after).all()
+
+
 def test_packing(documents, tokenizer):
     from tokenizers import Tokenizer
 
