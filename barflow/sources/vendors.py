@@ -267,8 +267,9 @@ def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 def json_leaves(text: Column) -> Column:
     """The scalar values of a JSON text in their order, as strings; keys and nulls are left out.
 
-    A string is a value unless a colon follows it, and strings are taken whole, so marks inside them do not count."""
-    token = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?[0-9][0-9.eE+\-]*|true|false|null'
+    A string is a value unless a colon follows it, and strings are taken whole, so marks inside them do not count. The inside of
+    a string is matched possessively: a plain repeated choice recurses once per character and overflows the stack on long texts."""
+    token = r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?|-?[0-9][0-9.eE+\-]*|true|false|null'
     tokens = F.filter(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: ~t.endswith(":") & (t != "null"))
     # booleans are spelled as the record text has them
     spelled = F.transform(tokens, lambda t: F.when(t == "true", '"True"').when(t == "false", '"False"').otherwise(t))

@@ -169,3 +169,10 @@ def test_filters_reach_the_scan(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_suppkey), EqualTo(l_suppkey,3)]" in plan
     assert "l_comment" not in plan and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_long_strings_do_not_overflow_the_stack(spark):
+    long = 'wörd "x" \\ ' * 20000
+    df = spark.createDataFrame([(json.dumps({"a": long, "b": [1, long]}, ensure_ascii=False),)], "t string")
+    got = df.select(V.json_leaves(F.col("t")).alias("l")).first().l
+    assert got == [long, "1", long]
