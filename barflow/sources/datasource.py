@@ -21,13 +21,15 @@ SCHEMA = "symbol string, time_key string, open double, high double, low double,
 NUMBERS = ["open", "high", "low", "close", "volume"]
 ARROW = pa.schema([("symbol", pa.string()), ("time_key", pa.string()), *((c, pa.float64()) for c in NUMBERS), ("bad", pa.string())])
 BLOCK, ROWS = 64_000_000, 10_000
+#: small files share a partition up to this many bytes, since a task for each would cost more than its rows
+GROUP, CHUNK = 4_000_000, 1 << 20
 
 
 @dataclass
 class Piece(InputPartition):
-    path: str
-    start: int
-    end: int
+    """Byte ranges (path, start, end) that one task reads."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 def symbol_of(path: str) -> str:
@@ -70,11 +72,20 @@ class Vendor:
         return sorted(found, key=lambda f: (f.mtime_ns, f.path))
 
     def pieces(self, files: Iterable[fs.FileInfo]) -> list[Piece]:
-        out = []
+        """Large files are cut into ranges of a block, small ones are put together."""
+        out: list[Piece] = []
+        most, room = min(GROUP, self.block), 0
         for f in files:
             if self.symbols is None or symbol_of(f.path) in self.symbols:
                 step = self.block if self.layout == "csv" else max(f.size, 1)
-                out += [Piece(f.path, at, min(at + step, f.size)) for at in range(0, f.size, step)]
+                for at in range(0, f.size, step):
+                    one = (f.path, at, min(at + step, f.size))
+                    size = one[2] - at
+                    if size > room:
+                        out.append(Piece([]))
+                        room = most
+                    out[-1].ranges.append(one)
+                    room -= size
         return out
 
     def wanted(self, day: str | None) -> bool:
@@ -82,28 +93,28 @@ class Vendor:
 
     def batches(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for row in self._csv(piece) if self.layout == "csv" else self._arrays(piece):
-            rows.append(row)
-            if len(rows) == ROWS:
-                yield _batch(rows)
-                rows = []
+        store, _ = self.store()
+        for one in piece.ranges:
+            for row in self._csv(store, *one) if self.layout == "csv" else self._arrays(store, one[0]):
+                rows.append(row)
+                if len(rows) == ROWS:
+                    yield _batch(rows)
+                    rows = []
         if rows:
             yield _batch(rows)
 
-    def _csv(self, piece: Piece) -> Iterator[tuple]:
+    def _csv(self, store: fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple]:
         """Lines that begin in the range; the header is read for every range."""
-        store, _ = self.store()
-        symbol = symbol_of(piece.path)
-        with store.open_input_file(piece.path) as lines:
-            header = next(csv.reader([_line(lines).decode("utf-8-sig")]))
-            first = lines.tell()
-            if piece.start > first:
-                lines.seek(piece.start - 1)
-                _line(lines)  # the rest of a line of the range before
-            while lines.tell() < piece.end:
-                text = _line(lines).decode("utf-8", "replace").rstrip("\r\n")
+        symbol = symbol_of(path)
+        with store.open_input_file(path) as fh:
+            header = next(csv.reader([_line(fh).decode("utf-8-sig")]))
+            if start > fh.tell():
+                fh.seek(start - 1)
+                _line(fh)  # the rest of a line of the range before
+            for line in _lines(fh, end):
+                text = line.decode("utf-8", "replace").rstrip("\r\n")
                 if text:
-                    cells = next(csv.reader([text]))
+                    cells = next(csv.reader([text])) if '"' in text else text.split(",")
                     row = dict(zip(header, cells))
                     day = row.get("time_key")
                     values = [_number(row.get(c)) for c in NUMBERS]
@@ -113,10 +124,9 @@ class Vendor:
                     if bad or self.wanted(day):
                         yield (symbol, day, *values, bad)
 
-    def _arrays(self, piece: Piece) -> Iterator[tuple]:
-        store, _ = self.store()
-        symbol = symbol_of(piece.path)
-        with store.open_input_stream(piece.path) as fh:
+    def _arrays(self, store: fs.FileSystem, path: str) -> Iterator[tuple]:
+        symbol = symbol_of(path)
+        with store.open_input_stream(path) as fh:
             raw = fh.read().decode("utf-8-sig", "replace")
         try:
             data = json.loads(raw)
@@ -149,6 +159,21 @@ def _line(fh) -> bytes:
     return out
 
 
+def _lines(fh, end: int) -> Iterator[bytes]:
+    """The lines that begin between where the file stands and `end`, read in large steps."""
+    at, held = fh.tell(), b""
+    while at < end:
+        part = fh.read(min(CHUNK, max(end - at - len(held), 4096)))
+        *lines, held = (held + part).split(b"\n")
+        for line in lines if part else [held]:
+            if at >= end:
+                return
+            yield line
+            at += len(line) + 1
+        if not part:
+            return
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
 

@@ -186,3 +186,16 @@ def test_saved_model_takes_odd_balances(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.c_custkey: r["class"] for r in saved_model(spark, str(tmp_path)).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0, 5: 2.0, 6: 2.0, 7: 2.0, 8: 2.0, 9: 0.0}
+
+
+def test_small_vendor_files_share_tasks(spark, tmp_path):
+    from barflow.sources.datasource import VendorReader, register
+
+    for n in range(300):
+        (tmp_path / f"s{n}.csv").write_text(f'time_key,open,high,low,close,volume\n2024-01-02,1,2,0.5,1.5,{n}\n"2024-01-03",1,2,0.5,1.5,1\n2024-01-04,x,2,0.5,1.5,1')
+    pieces = VendorReader({"path": str(tmp_path)}).partitions()
+    assert len(pieces) == 1 and len(pieces[0].ranges) == 300
+    register(spark)
+    x = spark.read.format("vendor_bars").load(str(tmp_path))
+    got = x.groupBy("symbol").agg(F.count("*").alias("n"), F.count("bad").alias("bad"), F.sum("volume").alias("v"))
+    assert {(r.symbol, r.n, r.bad, r.v) for r in got.collect()} == {(f"s{n}", 3, 1, n + 2.0) for n in range(300)}
