@@ -23,6 +23,11 @@ def bars_so_far() -> Column:
     return F.col("idx") + 1
 
 
+def full_at(axis: Axis, n: int) -> Column:
+    """Whether there are n bars, or the axis takes fewer."""
+    return F.lit(True) if axis.partial else bars_so_far() >= n
+
+
 def prev(axis: Axis, col: str, k: int) -> Column:
     return F.lag(col, k).over(axis.w())
 
@@ -72,17 +77,18 @@ def bollinger_summary(axis: Axis, n: int = 20, k: float = 2.0) -> dict[str, Colu
 
 
 def percent_b(axis: Axis) -> dict[str, Column]:
-    mid, sd, full = sma(axis, 20), sigma(axis, 20), bars_so_far() >= 20
+    mid, sd, full = sma(axis, 20), sigma(axis, 20), full_at(axis, 20)
     span = 4 * sd
     return {
-        "boll_pct_b": F.when(full & (span != 0), (F.col("close") - (mid - 2 * sd)) / span * 100).otherwise(50.0),
+        "boll_pct_b": F.when(full & (span != 0), (F.col("close") - (mid - 2 * sd)) / span * 100).otherwise(math.nan if axis.partial else 50.0),
         "boll_width": F.when(full, span / F.greatest(mid, F.lit(TINY)) * 100).otherwise(0.0),
     }
 
 
 def returns(axis: Axis, k: int) -> Column:
-    """Percent change over k bars, 0 while there is no such bar."""
-    return F.coalesce((F.col("close") / prev(axis, "close", k) - 1) * 100, F.lit(0.0))
+    """Percent change over k bars, 0 (on a partial axis null) while there is no such bar."""
+    change = (F.col("close") / prev(axis, "close", k) - 1) * 100
+    return change if axis.partial else F.coalesce(change, F.lit(0.0))
 
 
 def range_pct() -> Column:
@@ -95,29 +101,30 @@ def body_ratio() -> Column:
 
 def ma_distance(axis: Axis, w: int) -> Column:
     dist = (F.col("close") - sma(axis, w)) / F.greatest("close", F.lit(TINY)) * 100
-    return F.when(bars_so_far() >= w, dist).otherwise(0.0)
+    return F.when(full_at(axis, w), dist).otherwise(0.0)
 
 
 def ma_spread(axis: Axis) -> Column:
     ma20 = sma(axis, 20)
     spread = (sma(axis, 5) - ma20) / F.greatest(ma20, F.lit(TINY)) * 100
-    return F.when(bars_so_far() >= 20, spread).otherwise(0.0)
+    return F.when(full_at(axis, 20), spread).otherwise(0.0)
 
 
 def with_moves(df: DataFrame, axis: Axis) -> DataFrame:
     """Close-to-close move, true range and directional moves: the inputs of the range-based indicators."""
     pc, ph, pl = (prev(axis, c, 1) for c in ("close", "high", "low"))
     up, down = F.col("high") - ph, pl - F.col("low")
+    there = F.lit(True) if axis.partial else pc.isNotNull()
     return df.withColumns(
         {
             "diff": F.col("close") - pc,
             "ret1": (F.col("close") - pc) / pc * 100,
             "tr": F.when(
-                pc.isNotNull(),
+                there,
                 F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)),
             ),
-            "plus_dm": F.when(up > down, F.greatest(up, F.lit(0.0))).otherwise(F.when(pc.isNotNull(), 0.0)),
-            "minus_dm": F.when(down > up, F.greatest(down, F.lit(0.0))).otherwise(F.when(pc.isNotNull(), 0.0)),
+            "plus_dm": F.when(up > down, F.greatest(up, F.lit(0.0))).otherwise(F.when(there, 0.0)),
+            "minus_dm": F.when(down > up, F.greatest(down, F.lit(0.0))).otherwise(F.when(there, 0.0)),
         }
     )
 
@@ -125,7 +132,7 @@ def with_moves(df: DataFrame, axis: Axis) -> DataFrame:
 def atr_pct(axis: Axis) -> Column:
     """Mean true range of 14 bars as % of the close; needs `with_moves`."""
     value = F.avg("tr").over(axis.back(14)) / F.greatest("close", F.lit(TINY)) * 100
-    return F.when(bars_so_far() >= 15, value).otherwise(0.0)
+    return F.when(full_at(axis, 15), value).otherwise(0.0)
 
 
 def directional_index(axis: Axis, n: int = 14) -> Column:
@@ -133,15 +140,16 @@ def directional_index(axis: Axis, n: int = 14) -> Column:
     tr, plus, minus = (F.sum(c).over(axis.back(n)) for c in ("tr", "plus_dm", "minus_dm"))
     p, m = plus / tr * 100, minus / tr * 100
     value = F.when((tr == 0) | (p + m <= 0), 0.0).otherwise(F.abs(p - m) / (p + m) * 100)
-    return F.when(bars_so_far() >= 2 * n, value).otherwise(0.0)
+    return F.when(full_at(axis, 2 * n), value).otherwise(0.0)
 
 
 def volatility(axis: Axis) -> dict[str, Column]:
-    v5, v10, full = sigma(axis, 5, "ret1"), sigma(axis, 10, "ret1"), bars_so_far() >= 15
+    v5, v10, full = sigma(axis, 5, "ret1"), sigma(axis, 10, "ret1"), full_at(axis, 15)
+    flat = F.when(v10 == 0, math.nan) if axis.partial else F.lit(1.0)
     return {
         "volatility_5": F.when(full, v5).otherwise(0.0),
         "volatility_10": F.when(full, v10).otherwise(0.0),
-        "volatility_ratio": F.when(full, F.when(v10 > 0, v5 / F.greatest(v10, F.lit(TINY))).otherwise(1.0)).otherwise(0.0),
+        "volatility_ratio": F.when(full, F.when(v10 > 0, v5 / F.greatest(v10, F.lit(TINY))).otherwise(flat)).otherwise(0.0),
     }
 
 
@@ -150,17 +158,17 @@ def rsi_simple(axis: Axis, n: int = 14, flat: float = 50.0) -> Column:
     gain = F.avg(F.greatest("diff", F.lit(0.0))).over(axis.back(n))
     loss = F.avg(F.greatest(-F.col("diff"), F.lit(0.0))).over(axis.back(n))
     value = F.when(loss > 0, 100 - 100 / (1 + gain / F.greatest(loss, F.lit(TINY)))).otherwise(flat)
-    return F.when(bars_so_far() >= n + 1, value).otherwise(50.0)
+    return F.when(full_at(axis, n + 1), value).otherwise(50.0)
 
 
 def rsi_divergence(axis: Axis) -> Column:
     """RSI minus the share of up moves in the 15 bars that ended 14 bars ago."""
     ups = F.sum(F.when(F.col("diff") > 0, 1).otherwise(0)).over(axis.w().rowsBetween(-28, -14))
-    return F.when(bars_so_far() >= 30, rsi_simple(axis) - ups / 15 * 100).otherwise(0.0)
+    return F.when(full_at(axis, 30), rsi_simple(axis) - ups / 15 * 100).otherwise(0.0)
 
 
 def volume_features(axis: Axis) -> dict[str, Column]:
-    mean, sd, full = F.avg("volume").over(axis.back(20)), F.stddev_pop("volume").over(axis.back(20)), bars_so_far() >= 20
+    mean, sd, full = F.avg("volume").over(axis.back(20)), F.stddev_pop("volume").over(axis.back(20)), full_at(axis, 20)
     return {
         "volume_zscore": F.when(full & (sd > 0), (F.col("volume") - mean) / F.greatest(sd, F.lit(TINY))).otherwise(0.0),
         "volume_ratio_ma": F.when(full, F.col("volume") / F.greatest(mean, F.lit(TINY))).otherwise(1.0),
@@ -295,7 +303,7 @@ def macd_seeded(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
     df = df.withColumn("_sig", F.coalesce("_sig", F.lit(0.0))).withColumn("_hist", F.col("_line") - F.col("_sig"))
     w = axis.w()
     pl, ps, ph = F.lag("_line", 1).over(w), F.lag("_sig", 1).over(w), F.lag("_hist", 4).over(w)
-    ok, scale = bars_so_far() >= 26, F.greatest("close", F.lit(TINY))
+    ok, scale = full_at(axis, 26), F.greatest("close", F.lit(TINY))
     cross = (
         F.when((pl < ps) & (F.col("_line") > F.col("_sig")), 1.0)
         .when((pl > ps) & (F.col("_line") < F.col("_sig")), -1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barflow.functions import labels as L
@@ -127,7 +129,9 @@ VOL_SCORE_SQL = f"CASE {VOL_SIGNAL_SQL} WHEN '{L.VOL_UP}' THEN 70 WHEN '{L.VOL_D
 
 
 def latest(spark, sf):
-    b = ind.price_features(T.walk_bars(spark, sf)).withColumns({**ind.volume_price(SERIES), "year_chg": ind.year_change(SERIES)})
+    """The features of the last bars, short series included: windows that are not full give what they hold."""
+    axis = replace(SERIES, partial=True)
+    b = ind.price_features(T.walk_bars(spark, sf), axis).withColumns({**ind.volume_price(axis), "year_chg": ind.year_change(axis)})
     return screen.last_bar(b).withColumn("zs_breakout_dir", F.lit(0.0))
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,24 @@ def test_countdown_starts_at_nine_and_is_cancelled(spark):
     jump = falling[:16] + [400.0] + falling[17:]
     counts = [(r.idx, r["count"]) for r in setups(series(spark, jump)).orderBy("idx").collect() if r.kind == "countdown"]
     assert [c for i, c in counts if i < 16] == [1, 2, 3] and [c for i, c in counts if i >= 16][0] == 1
+
+
+def test_short_series_as_the_feature_queries_have_them(spark, tmp_path):
+    """Series of 1 to 90 bars: the feature queries give what their windows hold, as their SQL does; the features stay neutral."""
+    import duckdb
+
+    from barflow.registry import all_queries
+
+    queries, oracles = all_queries()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT k AS l_suppkey, n AS l_orderkey, 1 AS l_linenumber, n AS l_partkey, ((k * 31 + n * 17) % 50 + 1)::DOUBLE AS l_quantity, (900 + (n * n * 7919 + k * 104729) % 90000 / 100)::DOUBLE AS l_extendedprice, (n % 10) / 100 AS l_discount, (n % 8) / 100 AS l_tax, 'A' AS l_returnflag, TIMESTAMP '1995-01-01' + n * INTERVAL 1 DAY AS l_shipdate FROM range(1, 91) a(k), range(90) b(n) WHERE n < k")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    shown = lambda v: None if v is None else repr(round(float(v), 6) + 0.0) if isinstance(v, (float, Decimal)) else v
+    for name in ("rule01_price_features", "rule02_feature_score", "rule04_blend"):
+        df = queries[name](spark, str(tmp_path))
+        sql = con.execute(oracles[name])
+        order = [df.columns.index(d[0]) for d in sql.description]
+        want = sorted([tuple(map(shown, row)) for row in sql.fetchall()], key=str)
+        assert sorted([tuple(shown(row[i]) for i in order) for row in df.collect()], key=str) == want, name
+    one = ind.price_features(series(spark, [100.0, 101.0])).filter("idx = 1").first()
+    assert (one.rsi, one.boll_pct_b, one.price_return_10, one.macd_value) == (50.0, 50.0, 0.0, 0.0)
