@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.scan import SERIES, Axis, Recur, gridded, recur, ungridded
+from barflow.operators.scan import SERIES, Axis, Recur, arranged, gridded, recur, recur_in_order, ungridded
 
 TINY = 1e-10
 
@@ -284,14 +284,17 @@ def macd(df: DataFrame, axis: Axis = SERIES, fast: int = 12, slow: int = 26, sig
     return ungridded(df.withColumn(f"{prefix}macd", 2 * (dif - F.col(f"{prefix}dea"))).drop(f, s), axis)
 
 
-def macd_seeded(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
-    """EMAs seeded by the mean of the first window and 0 before it; signal seeded at its own window; % of close."""
+def macd_seeded(df: DataFrame, axis: Axis = SERIES, in_order: bool = False) -> DataFrame:
+    """EMAs seeded by the mean of the first window and 0 before it; signal seeded at its own window; % of close.
+
+    `in_order` goes row by row: the slope of the histogram divides by values near zero, which shows last bits."""
     outer, (df, axis) = axis, gridded(df, axis)
     close = F.col("close")
     seed = {w: F.avg("close").over(axis.back(w)) for w in (12, 26)}
     df = df.withColumns({"_m12": seed[12], "_m26": seed[26]})
-    df = recur(
-        df,
+    step = recur_in_order if in_order else recur
+    df = step(
+        arranged(df, axis) if in_order else df,
         axis,
         [
             Recur("_e12", close, 2 / 13, F.col("_m12"), at=11),
@@ -299,7 +302,7 @@ def macd_seeded(df: DataFrame, axis: Axis = SERIES) -> DataFrame:
         ],
     )
     df = df.withColumn("_line", F.coalesce("_e12", F.lit(0.0)) - F.coalesce("_e26", F.lit(0.0)))
-    df = recur(df, axis, [Recur("_sig", F.col("_line"), 2 / 10, F.col("_line"), at=8)])
+    df = step(df, axis, [Recur("_sig", F.col("_line"), 2 / 10, F.col("_line"), at=8)])
     df = df.withColumn("_sig", F.coalesce("_sig", F.lit(0.0))).withColumn("_hist", F.col("_line") - F.col("_sig"))
     w = axis.w()
     pl, ps, ph = F.lag("_line", 1).over(w), F.lag("_sig", 1).over(w), F.lag("_hist", 4).over(w)

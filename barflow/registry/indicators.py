@@ -125,7 +125,7 @@ def macd(spark, sf):
     ),
 )
 def macd_seeded(spark, sf):
-    b = ind.macd_seeded(T.walk_bars(spark, sf))
+    b = ind.macd_seeded(T.walk_bars(spark, sf).select("symbol", "day", "idx", "close"), in_order=True)
     return b.select("symbol", "day", *[r(c, 4) for c in ("macd_value", "macd_signal", "macd_hist")], "macd_cross", r("macd_hist_slope", 1))
 
 
