@@ -131,17 +131,21 @@ def count_windows(spark, sf):
     """Windows of 300 bars at every fifth bar from bar 200; the bars arrive in three parts."""
     path = folder(spark)
     b = T.walk_bars(spark, sf).select("symbol", "idx", "open", "high", "low", "close", "volume")
-    arrive(b, F.floor(F.col("idx") / 190), 3, f"{path}/bars")
-    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/bars")
-    ST.to_folder(SF.count_windows(stream), path, "append")
+    for _ in arrivals(b, F.least(F.floor(F.col("idx") / 190), F.lit(2)), 3, path, "bars"):
+        ST.to_folder(SF.count_windows(spark.readStream.schema(b.schema).parquet(f"{path}/bars")), path, "append")
     return spark.read.parquet(f"{path}/data").select("symbol", "end", "n", "open", "high", "low", "close", "volume")
 
 
-def arrive(df, part, parts, path):
-    """Write rows as `parts` arrivals, one file each, so that a stream of one file a batch sees them in turn."""
+def arrivals(df, part, parts, path, name):
+    """Write rows as `parts` arrivals, each of as many files as there are tasks, and stop after each for the stream to take it.
+
+    The rows are made once and kept by part, so an arrival only copies its own."""
+    marked = df.withColumn("_part", part.cast("int"))
+    marked.write.partitionBy("_part").parquet(f"{path}/staged")
+    staged = df.sparkSession.read.schema(marked.schema).parquet(f"{path}/staged")
     for n in range(parts):
-        some = df.filter(part == n) if n < parts - 1 else df.filter(part >= n)
-        some.coalesce(1).write.mode("append").parquet(path)
+        staged.filter(F.col("_part") == n).drop("_part").write.mode("append").parquet(f"{path}/{name}")
+        yield n
 
 
 LATE = """m AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, event_id % 3 AS part FROM events),
@@ -155,9 +159,8 @@ def ledger(spark, sf):
     path = folder(spark)
     e = T.load(spark, sf, "events")
     t = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    arrive(t, F.col("seq") % 3, 3, f"{path}/ticks")
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ticks")
-    SF.split_ledger(SF.ledger(stream, "9 days"), path)
+    for _ in arrivals(t, F.col("seq") % 3, 3, path, "ticks"):
+        SF.split_ledger(SF.ledger(spark.readStream.schema(t.schema).parquet(f"{path}/ticks"), "9 days"), path)
     return path
 
 

@@ -136,3 +136,15 @@ def test_windows_by_count_and_the_ledger(spark, tmp_path):
         SF.split_ledger(SF.ledger(stream, "2 days"), str(tmp_path / "ledger"))
     counts = {x["symbol"]: (x["kept"], x["late"]) for x in SF.late_counts(spark, str(tmp_path / "ledger")).collect()}
     assert counts == {s: (120 - late[s], late[s]) for s in "ab"} and min(late.values()) > 5
+
+
+def test_an_arrival_is_written_by_many_tasks(spark, tmp_path):
+    from barflow.registry.learning import arrivals
+
+    df = spark.range(0, 900, 1, 6).withColumnRenamed("id", "k")
+    seen = []
+    for n in arrivals(df, F.col("k") % 3, 3, str(tmp_path), "in"):
+        rows = [r.k for r in spark.read.parquet(str(tmp_path / "in")).collect()]
+        assert sorted(rows) == [k for k in range(900) if k % 3 <= n]
+        seen.append(len(list((tmp_path / "in").glob("*.parquet"))))
+    assert seen[0] > 1
