@@ -107,7 +107,7 @@ def live_buy_list(spark: SparkSession, sf: str, quotes: DataFrame | None = None)
     m = ind.macd(bars)
     s = S.build(bars, S.StructureConfig.from_dict(S.config.SCREEN))
     base = screen.summary(s, P.stroke_points(s, m), bars, zone_pick="latest").filter("is_buy").withColumns(R.trade_levels())
-    extra = screen.last_bar(bars.withColumns({**ind.volume_price(SERIES), "ma60": ind.sma(SERIES, 60), "year_chg": ind.year_change(SERIES), "change_pct": ind.returns(SERIES, 1)}))
+    extra = screen.last_bar(ind.tail(bars, SERIES, 2 * ind.REACH).withColumns({**ind.volume_price(SERIES), "ma60": ind.sma(SERIES, 60), "year_chg": ind.year_change(SERIES), "change_pct": ind.returns(SERIES, 1)}))
     x = base.join(extra.select("symbol", "vol_ratio", "ma60", "year_chg", "change_pct"), "symbol").join(T.universe(spark, sf).select("symbol", "name"), "symbol", "left")
     score = R.second_pass()["screen_score"]
     return x.select(

@@ -90,7 +90,7 @@ def surge_in_zone(spark, sf):
     """Surging volume ∩ in-zone buy, on real structure."""
     s = shared.structure(spark, sf)
     in_zone = screen.summary(s, shared.points(spark, sf), s.bars).filter(F.col("is_buy") & (F.col("position") == L.INSIDE)).select("symbol")
-    surge = screen.last_bar(s.bars.withColumns(ind.volume_price(SERIES))).filter("vol_ratio > 1.0").select("symbol")
+    surge = screen.last_bar(ind.tail(s.bars, SERIES, ind.REACH).withColumns(ind.volume_price(SERIES))).filter("vol_ratio > 1.0").select("symbol")
     return surge.intersect(in_zone)
 
 

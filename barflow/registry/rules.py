@@ -131,7 +131,8 @@ VOL_SCORE_SQL = f"CASE {VOL_SIGNAL_SQL} WHEN '{L.VOL_UP}' THEN 70 WHEN '{L.VOL_D
 def latest(spark, sf):
     """The features of the last bars, short series included: windows that are not full give what they hold."""
     axis = replace(SERIES, partial=True)
-    b = ind.price_features(T.walk_bars(spark, sf), axis).withColumns({**ind.volume_price(axis), "year_chg": ind.year_change(axis)})
+    b = T.walk_bars(spark, sf).withColumn("year_chg", ind.year_change(axis))
+    b = ind.price_features(b, axis, last=ind.REACH).withColumns(ind.volume_price(axis))
     return screen.last_bar(b).withColumn("zs_breakout_dir", F.lit(0.0))
 
 
