@@ -14,7 +14,7 @@ from barflow.operators.scan import SERIES, numbered
 from barflow.operators.structure import points as P
 from barflow.plans import context as C
 from barflow.plans import screen
-from barflow.session import cut
+from barflow.session import cut, cut_in_place
 from barflow.sources import tables as T
 
 
@@ -104,6 +104,7 @@ def live_buy_list(spark: SparkSession, sf: str, quotes: DataFrame | None = None)
     bars = T.walk_bars(spark, sf)
     if quotes is not None:
         bars = B.autofix(B.live_close(bars, quotes))
+    bars = cut_in_place(bars)
     m = ind.macd(bars)
     s = S.build(bars, S.StructureConfig.from_dict(S.config.SCREEN))
     base = screen.summary(s, P.stroke_points(s, m), bars, zone_pick="latest").filter("is_buy").withColumns(R.trade_levels())

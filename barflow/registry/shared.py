@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from barflow.operators import indicators as ind
 from barflow.operators import structure as S
 from barflow.operators.structure import points as P
-from barflow.session import cut
+from barflow.session import cut, cut_in_place
 from barflow.sources import tables as T
 
 
+@lru_cache(maxsize=2)
+def _bars(app: str, sf: str) -> DataFrame:
+    """The walk bars, read by the fold, the strengths and what is shown beside the structure."""
+    return cut_in_place(T.walk_bars(SparkSession.getActiveSession(), sf))
+
+
 @lru_cache(maxsize=8)
 def _built(app: str, sf: str, items: tuple) -> S.Structure:
-    spark = SparkSession.getActiveSession()
-    return S.build(T.walk_bars(spark, sf), S.StructureConfig.from_dict(dict(items)))
+    return S.build(_bars(app, sf), S.StructureConfig.from_dict(dict(items)))
 
 
 @lru_cache(maxsize=8)
