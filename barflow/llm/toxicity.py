@@ -12,6 +12,8 @@ Scoring runs over whole texts in the tasks that read them, with no shuffle; the
 from __future__ import annotations
 
 import dataclasses
+import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,10 +52,19 @@ def buckets(words: Words, s: Settings) -> np.ndarray:
     return np.stack(cols).astype(np.int32)
 
 
+def start(s: Settings, rng: np.random.Generator | None = None) -> np.ndarray:
+    """The embedding table before training: the first values drawn from the seed, in blocks."""
+    rng = rng or np.random.default_rng(s.seed)
+    out = np.empty((s.word_rows + len(PREFIXES) * s.stem_rows, s.dims), np.float32)
+    for at in range(0, len(out), 1 << 14):
+        block = out[at : at + (1 << 14)]
+        block[:] = rng.normal(0, 0.05, block.shape)
+    return out
+
+
 @dataclasses.dataclass
 class Model:
     settings: Settings
-    table: np.ndarray
     filters: list[np.ndarray]
     biases: list[np.ndarray]
     weights: np.ndarray
@@ -61,6 +72,23 @@ class Model:
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict | None = None
     constant: float | None = None
+    #: rows of the table that training changed, and their values
+    learned: tuple[np.ndarray, np.ndarray] | None = None
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        out = start(self.settings)
+        if self.learned is not None:
+            out[self.learned[0]] = self.learned[1]
+        return out
+
+    def __getstate__(self) -> dict:
+        """Without the rows of the table that are as drawn: they are drawn anew where the table is used."""
+        state = dict(self.__dict__)
+        if (table := state.pop("table", None)) is not None:
+            rows = np.flatnonzero((table != start(self.settings)).any(1))
+            state["learned"] = rows, table[rows]
+        return state
 
     def responses(self, ids: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pooled filter responses by document, embeddings of the words). Texts shorter than a filter have response 0."""
@@ -105,9 +133,10 @@ def _join(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: list[np.ndarray], toxic: np.ndarray, langs: list, s: Settings = Settings()) -> Model:
     """Fit on documents given as embedding rows. With no row or one class only the score is that constant (0 with none)."""
     rng = np.random.default_rng(s.seed)
-    table = rng.normal(0, 0.05, (s.word_rows + len(PREFIXES) * s.stem_rows, s.dims)).astype(np.float32)
+    table = start(s, rng)
     filters = [rng.normal(0, 1 / np.sqrt(w * s.dims), (w, s.dims, s.filters)).astype(np.float32) for w in s.widths]
-    model = Model(s, table, filters, [np.zeros(s.filters, np.float32) for _ in s.widths], rng.normal(0, 0.3, len(s.widths) * s.filters).astype(np.float32), 0.0)
+    model = Model(s, filters, [np.zeros(s.filters, np.float32) for _ in s.widths], rng.normal(0, 0.3, len(s.widths) * s.filters).astype(np.float32), 0.0)
+    model.table = table
     toxic = np.asarray(toxic, np.float64)
     model.thresholds = {}
     if not len(docs) or toxic.min() == toxic.max():
@@ -196,8 +225,8 @@ def _calibrate(model: Model, docs, toxic, langs, rows) -> None:
         model.thresholds[lang] = min(max(c, 0.2), 0.8)
 
 
-def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray, list]:
-    """The labelled sample as embedding rows: `per_class` rows of each class at most, those with the smallest hash.
+def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The labelled sample as embedding rows (id, toxic, lang, ids): `per_class` rows of each class at most, those with the smallest hash.
 
     Labels other than 0 and 1, and null ids, do not count; of several labels of a document the largest does.
     """
@@ -215,11 +244,8 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tupl
             rows = [np.ascontiguousarray(ids[:, i:j]).tobytes() for i, j in zip(w.per_doc, w.per_doc[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.binary())], ["id", "toxic", "lang", "ids"])
 
-    # the sample's size is bounded by the settings
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long"), F.col("toxic").cast("int"), "lang", "text")
-    got = rows.mapInArrow(run, "id long, toxic int, lang string, ids binary").toArrow().sort_by([("id", "ascending")])
-    docs_ = [np.frombuffer(x, np.int32).reshape(1 + len(PREFIXES), -1) for x in got.column("ids").to_pylist()]
-    return docs_, np.array(got.column("toxic").to_pylist(), np.int64), got.column("lang").to_pylist()
+    return rows.mapInArrow(run, "id long, toxic int, lang string, ids binary")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,4 +283,14 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    return train(*sample(docs, labels, s), s)
+    """Trains in one task, as the settings bound the sample; the driver gets only what training changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(got).sort_by([(c, "ascending") for c in ("id", "lang", "ids")]).to_pydict() if got else {c: [] for c in ("ids", "toxic", "lang")}
+        ids = [np.frombuffer(x, np.int32).reshape(1 + len(PREFIXES), -1) for x in rows["ids"]]
+        model = train(ids, np.array(rows["toxic"], np.int64), rows["lang"], s)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = sample(docs, labels, s).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else train([], np.zeros(0, np.int64), [], s)
