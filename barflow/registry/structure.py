@@ -13,6 +13,7 @@ from barflow.plans import screen
 from barflow.registry import shared
 from barflow.registry.core import query, r
 from barflow.registry.prelude import HOURS, recursive
+from barflow.session import cut, in_place
 from barflow.sources import tables as T
 
 # The inclusion merge as a recursion over bars: one state row per bar.
@@ -229,8 +230,10 @@ SELECT s.symbol, s.idx, (high - low) / high / (end_bar - begin_bar + 1) AS slope
 FROM sb s JOIN v ON v.symbol = s.symbol AND v.idx = s.idx"""),
 )
 def settled_strengths(spark, sf):
-    b = T.walk_bars(spark, sf).withColumn("turnover_rate", F.col("volume") / 1000)
-    x = with_strengths(LN.settled(shared.structure(spark, sf).strokes), b, {"slope", "amp", "amount", "amount_avg", "volumn", "volumn_avg", "turnrate_avg"})
+    s = shared.structure(spark, sf)
+    b = s.bars.withColumn("turnover_rate", F.col("volume") / 1000)
+    with in_place(spark):
+        x = cut(with_strengths(LN.settled(s.strokes), b, {"slope", "amp", "amount", "amount_avg", "volumn", "volumn_avg", "turnrate_avg"}))
     n = F.col("end_bar") - F.col("begin_bar") + 1
     same = [F.col(f"in_{k}").alias(k) for k in ("slope", "amp", "volumn", "volumn_avg")]
     # money adds up in any order, so its cents are fixed before the division
@@ -239,8 +242,10 @@ def settled_strengths(spark, sf):
 
 @query("str11_strengths")
 def strengths(spark, sf):
-    b = ind.rsi_wilder(ind.macd(T.walk_bars(spark, sf))).withColumn("turnover_rate", F.col("volume") / 1000)
-    return with_strengths(shared.structure(spark, sf).strokes, b, set(S.config.STRENGTHS))
+    s = shared.structure(spark, sf)
+    with in_place(spark):
+        b = ind.rsi_wilder(ind.macd(s.bars)).withColumn("turnover_rate", F.col("volume") / 1000)
+        return cut(with_strengths(s.strokes, b, set(S.config.STRENGTHS)))
 
 
 @query("str14_segments")
