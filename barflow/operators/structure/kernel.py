@@ -72,15 +72,6 @@ class Merged:
         return self.last == other.last and self.first == other.first and all(getattr(self, f) == getattr(other, f) for f in Merged.__slots__[3:])
 
 
-def relation(high: float, low: float, h: float, l: float) -> int:
-    """UP or DOWN when the second range moves away, FLAT when one range contains the other."""
-    if high > h and low > l:
-        return DOWN
-    if high < h and low < l:
-        return UP
-    return FLAT
-
-
 def as_stroke(n: int, p: Merged, q: Merged, sure: bool, used: bool, shift: int = 0) -> Stroke:
     """Stroke `n` from p to q; `shift` is added to the numbers of merged bars."""
     up = p.fx == DOWN
@@ -104,17 +95,22 @@ class StrokeFold:
     # -- merging --
 
     def push(self, bar: int, high: float, low: float) -> None:
-        if not self.win:
+        win = self.win
+        if not win:
             self._open(bar, high, low, UP)
             return
-        mid = self.win[-1]
-        rel = relation(mid.high, mid.low, high, low)
-        if rel == FLAT:
+        mid = win[-1]
+        # a range that moves away opens a merged bar; one that contains the other, or lies in it, is taken in
+        if mid.high > high and mid.low > low:
+            rel = DOWN
+        elif mid.high < high and mid.low < low:
+            rel = UP
+        else:
             mid.absorb(bar, high, low)
             return
         self._open(bar, high, low, rel)
         # bars taken in only carry a merged bar on in its direction, so it still says how the bar before it was left
-        if len(self.win) >= 3 and mid.dir != rel:
+        if mid.dir != rel and len(win) >= 3:
             mid.fx = mid.dir
             self._fractal(mid)
             self._forget()

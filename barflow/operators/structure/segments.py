@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.operators.columns import values
 from barflow.session import cut, placed
 
 #: lines of one direction that the first look-ahead holds; most turns show within a handful
@@ -308,7 +309,7 @@ def by_series(batches: Iterator[pa.RecordBatch], key: str = "symbol") -> Iterato
     """(series, its columns) from batches that Spark has sorted by series; one series is held at a time."""
     name, held = None, None
     for b in batches:
-        columns = {c: b.column(c).to_pylist() for c in b.schema.names}
+        columns = {c: values(b.column(c)) for c in b.schema.names}
         keys, at = columns.pop(key), 0
         while at < len(keys):
             end = at + 1

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.operators.columns import values
 from barflow.operators.structure.config import StructureConfig
 from barflow.operators.structure.kernel import StrokeFold
 from barflow.operators.structure.segments import ENDS, owned, segments
@@ -54,7 +55,7 @@ def emit(cols: list[tuple[str, str]], rows: list[tuple]) -> pa.RecordBatch:
 
 def series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, float, float]]:
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in ("symbol", "idx", "high", "low")))
+        yield from zip(*(values(b.column(c)) for c in ("symbol", "idx", "high", "low")))
 
 
 def _merged_rows(symbol: str, fold: StrokeFold) -> list[tuple]:

@@ -2,8 +2,8 @@
 
 `walk_bars` turns ticks into bars whose level is a running sum over the whole series. The running sum is
 computed as an associative scan in three steps (ticks of one order range, order ranges of one day, days of
-one symbol), so a symbol holding a third of all ticks is still spread over many tasks and only its day rows,
-bounded by the calendar, ever meet in one window.
+one symbol), so a symbol holding a third of all ticks is still spread over many tasks and only its rows of a day and
+order range meet in one task: at most the days of the calendar times one for every 2^20 orders.
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ def walk_bars(spark: SparkSession, sf_dir: str, order_range_bits: int = ORDER_RA
             F.sum("qty").alias("volume"),
             F.sum("px").alias("turnover"),
         )
+        # by series at once: the windows and groups below are finer or the same, so they stay where the rows are
+        .repartition("symbol")
     )
     before_range = Window.partitionBy("symbol", "day").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     days = (
