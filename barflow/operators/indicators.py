@@ -135,10 +135,12 @@ def atr_pct(axis: Axis) -> Column:
     return F.when(full_at(axis, 15), value).otherwise(0.0)
 
 
-def directional_index(axis: Axis, n: int = 14) -> Column:
-    """Single directional index from n-bar sums, not smoothed a second time; 0 before 2n bars."""
+def directional_index(axis: Axis, n: int = 14, of_sums: bool = False) -> Column:
+    """Single directional index from n-bar sums, not smoothed a second time; 0 before 2n bars.
+
+    The range cancels out. `of_sums` leaves it out, which rounds less, so that an index of just 30 is not above 30."""
     tr, plus, minus = (F.sum(c).over(axis.back(n)) for c in ("tr", "plus_dm", "minus_dm"))
-    p, m = plus / tr * 100, minus / tr * 100
+    p, m = (plus, minus) if of_sums else (plus / tr * 100, minus / tr * 100)
     value = F.when((tr == 0) | (p + m <= 0), 0.0).otherwise(F.abs(p - m) / (p + m) * 100)
     return F.when(full_at(axis, 2 * n), value).otherwise(0.0)
 
@@ -482,7 +484,7 @@ def price_features(df: DataFrame, axis: Axis = SERIES, last: int | None = None)
             **volatility(axis),
             "rsi": rsi_simple(axis),
             "rsi_divergence": rsi_divergence(axis),
-            "adx": directional_index(axis),
+            "adx": directional_index(axis, of_sums=True),
             **volume_features(axis),
         }
     )
