@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -257,15 +262,89 @@ def manifest(chunks: DataFrame, concepts: DataFrame, limit: int = MANIFEST_LIMIT
     return x.select("concept", n.alias("chunk_count"), F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"), (n > limit).alias("chunks_truncated"))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Assets with hash, size and role."""
+#: bytes up to which a file is read whole, in one row; larger ones are read by lines
+WHOLE = 64 << 20
+#: endings by which Spark would unpack a file that it reads by lines
+UNPACKED = r"\.(gz|bz2|lz4|snappy|deflate|zst)$"
+PIECE = 4 << 20
+BOM = b"\xef\xbb\xbf"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring lines of a file joined to pieces, numbered in the order of the split."""
+    seq = 0
+    for b in batches:
+        path, start = b.column("path").dictionary_encode(), b.column("start").to_numpy()
+        new = np.flatnonzero(np.diff(path.indices.to_numpy()) | np.diff(start)) + 1
+        lines = b.column("bytes").cast(pa.large_binary())
+        at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        rows = []
+        for first, end in zip([0, *new], [*new, b.num_rows]) if b.num_rows else ():
+            for low in range(int(at[first]), int(at[end]), PIECE):
+                piece = lines.buffers()[2][low : min(low + PIECE, int(at[end]))].to_pybytes()
+                rows.append((b.column("path")[first].as_py(), b.column("size")[first].as_py(), int(start[first]), seq, piece))
+                seq += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["path", "size", "start", "seq", "bytes"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, size, sha256) of files whose pieces come one after the other. Every line came with a line end, the last one even where the
+    file has none, and a mark of the encoding at the start was left out; the size tells."""
+    path, size, total, plain, marked, rows = None, 0, 0, None, None, []
+
+    def close() -> None:
+        if path is None:
+            return
+        over = total - size
+        if over not in (0, 1, -len(BOM), 1 - len(BOM)):
+            raise ValueError(f"{path}: {total} bytes were read of {size}")
+        h = plain if over >= 0 else marked
+        if over in (0, -len(BOM)):
+            h.update(b"\n")
+        rows.append((path, size, h.hexdigest()))
+
+    for b in batches:
+        for n in range(b.num_rows):
+            if (name := b.column("path")[n].as_py()) != path:
+                close()
+                path, size, total, plain, marked = name, b.column("size")[n].as_py(), 0, hashlib.sha256(), hashlib.sha256(BOM)
+            piece = memoryview(b.column("bytes")[n].as_buffer())
+            for h in (plain, marked):
+                # the last byte waits until it is known whether the file has it; it is a line end or in the middle of the file
+                h.update(held if total else b"")
+                h.update(piece[:-1])
+            held, total = bytes(piece[-1:]), total + len(piece)
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.int64(), pa.string()])], ["uri", "size", "sha256"])
+
+
+def streamed_hashes(spark: SparkSession, path: str, over: int) -> DataFrame:
+    """(uri, size, sha256) of the files larger than `over` bytes, of any size, in little memory: their lines are read by many tasks and joined to
+    pieces, and a task takes the pieces of a file in order, since a SHA-256 is one chain. Only a single line must fit in memory."""
+    meta = {"path": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size"), "start": F.col("_metadata.file_block_start")}
+    x = spark.read.option("lineSep", "\n").text(path).filter((meta["size"] > over) & ~F.lower(meta["path"]).rlike(UNPACKED))
+    x = x.select(*[c.alias(n) for n, c in meta.items()], F.concat(F.col("value").cast("binary"), F.lit(bytearray(b"\n"))).alias("bytes"))
+    pieces = x.mapInArrow(_pieces, "path string, size long, start long, seq long, bytes binary")
+    return pieces.repartition("path").sortWithinPartitions("path", "start", "seq").mapInArrow(_digests, "uri string, size long, sha256 string")
+
+
+def inventory(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """Assets with hash, size and role. Files over `whole` bytes are hashed piece by piece, except packed ones, which Spark would unpack."""
     f = spark.read.format("binaryFile").load(path)
+    # of what is known of a file before it is opened, so that a file that is left out is not read
+    large = (F.col("_metadata.file_size") > whole) & ~F.lower("_metadata.file_path").rlike(UNPACKED)
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     role = (
         F.when(F.contains(F.col("path"), F.lit("kb/generated")), "generated_index").when(F.contains(F.col("path"), F.lit("kb/sources")), "normalized_source")
         .when(ext == "svg", "visual_card").otherwise("reference")
     )
-    return f.select("path", ext.alias("type"), role.alias("role"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    out = f.filter(~large).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    if not f.select("path", "length").filter(large).isEmpty():
+        # the reader of lines has its paths as URIs
+        named = f.filter(large).select("path", F.col("_metadata.file_path").alias("uri"))
+        out = out.unionByName(named.join(streamed_hashes(spark, path, whole), "uri").drop("uri"))
+    return out.select("path", ext.alias("type"), role.alias("role"), "sha256", "size")
 
 
 def integrity_errors(expected: DataFrame, actual: DataFrame) -> DataFrame:
